@@ -5,18 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from seqloom.llm import chat, linededup, sstable
 from seqloom.llm.common import table
 from seqloom.llm.simhash_neardup import near_groups
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return chat.digest(table(spark, sf_dir, "conversations").select(*extra.columns).unionByName(extra))
+
+
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.shards_digest(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2)
+
+
 def op8_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", text.alias("text"), F.length(text).cast("long").alias("n_chars"), "removed_lines")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat_format": chat.DIGEST_SQL, "op10_line_dedup": linededup.OP_SQL}
