@@ -51,7 +51,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Documents of fewer than three lines with content have no window and stay whole; so do the blank lines between. A document whose lines are
     all covered keeps its row with an empty text; a null text stays null. Rows that repeat a doc_id and text count as one document.
     """
-    covered = materialize(covered_positions(docs), "covered")
+    # A merge join at every size: a small table would be broadcast and a larger one not.
+    covered = materialize(covered_positions(docs), "covered").hint("merge")
     text = text_or_empty(docs.text)
     joined = docs.join(covered, docs.doc_id.cast("long").eqNullSafe(covered.d) & (F.xxhash64(text) == covered.h), "left")
     lines = F.split(text, "\n")
