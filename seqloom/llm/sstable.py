@@ -18,10 +18,13 @@ through its commit protocol: a lost executor's shard is written again and never
 from __future__ import annotations
 
 import binascii
+import json
 import os
+import re
 import struct
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,7 @@ FOOTER = struct.Struct("<QQQQQQB4s")
 BLOCK_BYTES = 256 << 10
 #: Cached encodings of a worker; beyond that it begins anew.
 CACHE_CHUNKS = 400_000
+CACHE_WORDS = 1_000_000
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 
 
@@ -175,36 +179,87 @@ class Shard:
 
 
 class ChunkEncoder:
-    """Encodes texts chunk by chunk between white space, each distinct chunk once.
+    """Encodes texts chunk by chunk between white space, each distinct chunk once, and each distinct word of Latin letters once.
 
-    For tokenizers that drop white space before splitting words: there no token, merge or normalisation crosses it.
+    For tokenizers that drop white space before they split words: there no token, merge or normalisation crosses it. If the vocabulary marks word
+    ends and the text is lower-cased first, a plain word's ids are the same alone and before punctuation, so words are looked up without their
+    case and punctuation, and unknown words are encoded together and parted at the marks.
     """
 
     #: str.split() also splits here, where the tokenizer sees no white space.
     CONTROLS = "\x1c\x1d\x1e\x1f"
+    PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?|*#%&$]*)").fullmatch
 
     def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), f"<u{width}"
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(f"<u{width}")
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # a word comes but once here
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+        suffix = found["model"].get("end_of_word_suffix")
+        steps = (found.get("normalizer") or {}).get("normalizers", [])
+        self.words: dict[str, bytes] | None = {} if suffix and any(x["type"] == "Lowercase" for x in steps) else None
+        vocabulary = found["model"]["vocab"]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.cache: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _learn_words(self, words: list[str]) -> None:
+        for k in range(0, len(words), 200):
+            part = words[k : k + 200]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
+            if len(stops) != len(part):
+                self.words.update(zip(part, self._encode(part), strict=True))
+                continue
+            data = ids.tobytes()
+            self.words.update(zip(part, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=False))
+
+    def _learn(self, chunks: set[str]) -> None:
+        cache, words = self.cache, self.words
+        if len(cache) + len(chunks) > CACHE_CHUNKS:
+            cache.clear()
+        if words is not None:
+            if len(words) > CACHE_WORDS:
+                words.clear()
+            plain = {c: (m[1].lower(), m[2]) for c in chunks if (m := self.PLAIN(c))}
+            self._learn_words(list({w for w, _ in plain.values() if w not in words}))
+            signs = {p for _, p in plain.values() if p and p not in words}
+            words.update(zip(signs, self._encode(list(signs)), strict=True))
+            for c, (w, p) in plain.items():
+                cache[c] = words[w] + words[p] if p else words[w]
+            chunks = chunks - plain.keys()
+        cache.update(zip(chunks, self._encode(list(chunks)), strict=True))
 
     def __call__(self, text: str) -> bytes:
         if any(c in text for c in self.CONTROLS):
             return self._encode([text])[0]
-        chunks, cache = text.split(), self.cache
+        chunks = text.split()
+        get = self.cache.__getitem__
         try:
-            return b"".join(map(cache.__getitem__, chunks))
+            return b"".join(map(get, chunks))
         except KeyError:
-            if len(cache) > CACHE_CHUNKS:
-                cache.clear()
-            missing = list({c for c in chunks if c not in cache})
-            cache.update(zip(missing, self._encode(missing), strict=True))
-            return b"".join(map(cache.__getitem__, chunks))
+            distinct = set(chunks)
+            if len(distinct) > CACHE_CHUNKS // 2:  # a text that the cache can't hold
+                return b"".join(self(" ".join(chunks[i : i + CACHE_CHUNKS // 4])) for i in range(0, len(chunks), CACHE_CHUNKS // 4))
+            self._learn(distinct.difference(self.cache))
+            try:
+                return b"".join(map(get, chunks))
+            except KeyError:  # the cache was emptied meanwhile
+                self._learn(distinct.difference(self.cache))
+                return b"".join(map(get, chunks))
+
+
+@lru_cache(1)
+def _encoder(path: str, width: int) -> ChunkEncoder:
+    """One to a worker: its caches serve the worker's later tasks too."""
+    return ChunkEncoder(path, width)
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
@@ -215,11 +270,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
     """
 
     def work(batches):
-        import json
-
         with open(tokenizer, encoding="utf-8") as f:
             width = 2 if len(json.load(f)["model"]["vocab"]) <= 1 << 16 and end_id < 1 << 16 else 4
-        encode, end = ChunkEncoder(tokenizer, width), np.array([end_id], dtype=f"<u{width}").tobytes()
+        encode, end = _encoder(tokenizer, width), np.array([end_id], dtype=f"<u{width}").tobytes()
         shard = ShardWriter(width)
         rows = lambda pieces: pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary())], ["piece"])
         for batch in batches:
