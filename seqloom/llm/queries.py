@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import chat, decontaminate, linededup, quality, sstable, toxicity
+from seqloom.llm import chat, decontaminate, fingerprints, html_extract, linededup, quality, sentencepiece_codec, sstable, toxicity
 from seqloom.llm.common import table
 from seqloom.llm.simhash_neardup import near_groups
 
@@ -18,6 +18,18 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "item_id", "coverage")
