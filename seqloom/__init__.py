@@ -1,0 +1 @@
+"""seqloom: sequence files and training corpora as DataFrames."""
