@@ -15,10 +15,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import BROADCAST_BYTES, map_arrow, materialize, small_rows, text_or_empty
+from seqloom.llm.common import map_arrow, materialize, small_rows, text_or_empty
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
+#: A benchmark of so many bytes is held by every worker, whose index takes some ten times that.
+HELD_BYTES = 16 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"\w+")
 
@@ -57,10 +59,11 @@ def tiled(item: np.ndarray, doc: np.ndarray, least: int = MIN_MATCH) -> int:
     power = _powers(max(len(item), len(doc)))
     prefix = []
     for ids in (item, doc):
-        h = np.zeros(len(ids) + 1, dtype=np.uint64)
-        for i, x in enumerate(ids):
-            h[i + 1] = h[i] * _BASE + x
-        prefix.append(h)
+        h, whole = 0, [0]
+        for x in ids.tolist():
+            h = (h * int(_BASE) + x) & ((1 << 64) - 1)
+            whole.append(h)
+        prefix.append(np.array(whole, dtype=np.uint64))
 
     def hashes(which: int, starts: np.ndarray, length: int) -> np.ndarray:
         return prefix[which][starts + length] - prefix[which][starts] * power[length]
@@ -196,7 +199,7 @@ def _by_join(docs: DataFrame, items: DataFrame, least: int, threshold: float) ->
     return out.select("doc_id", "h", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.col("best.item_id").alias("item_id"), (-F.col("best.c")).alias("coverage"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, threshold: float = THRESHOLD, held_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, threshold: float = THRESHOLD, held_bytes: int = HELD_BYTES) -> DataFrame:
     """(doc_id, h, n_items, item_id, coverage): one row per row of docs.
 
     n_items: benchmark items whose tokens are covered to the threshold. item_id and coverage: of the most covered one (ties: the smallest id), null
