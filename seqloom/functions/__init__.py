@@ -1,7 +1,10 @@
-"""Column functions over records. JVM only, but for byte_sum over bytes that aren't ASCII."""
+"""Column functions over records, all JVM only."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,22 +31,29 @@ def strip_newlines(c: str | Column) -> Column:
 
 
 def byte_sum(c: str | Column = "seq") -> Column:
-    """The sum of a field's byte values.
+    """The sum of a field's byte values, for any bytes.
 
-    Of the hexadecimal digits each value's share is its count: sum = 16 * (upper digits) + lower digits. Counting digits by length differences
-    keeps it inside generated code, for any bytes.
+    The letters of nucleotides are taken out one after another, and how much shorter the rest gets is each one's count; what is still left, if
+    anything, is summed by its hexadecimal digits. All of it stays inside generated code.
     """
-    digits = F.hex(F.col(c) if isinstance(c, str) else c)
-    # Odd positions hold upper digits: the digits of each byte are parted by a space so that a pattern tells them apart.
+    rest = (F.col(c) if isinstance(c, str) else c).cast("string")
+    total = F.lit(0).cast("long")
+    for letter in "ACGTNacgtn":
+        shorter = F.replace(rest, F.lit(letter), F.lit(""))
+        total = total + (F.octet_length(rest) - F.octet_length(shorter)) * F.lit(ord(letter))
+        rest = shorter
+    return F.when(F.octet_length(rest) > 0, total + _digit_sum(rest.cast("binary"))).otherwise(total)
+
+
+def _digit_sum(c: Column) -> Column:
+    """Of the hexadecimal digits each value's share is its count: sum = 16 * (upper digits) + lower digits."""
+    digits = F.hex(c)
+    # The digits of each byte are parted by a pattern that takes them two at a time.
     upper, lower = F.regexp_replace(digits, "(.).", "$1"), F.regexp_replace(digits, ".(.)", "$1")
 
     def total(d: Column) -> Column:
         n = F.length(d)
-        parts = [(n - F.length(F.translate(d, x, ""))) * v for v, x in enumerate("0123456789ABCDEF") if v]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out + p
-        return out
+        return reduce(add, ((n - F.length(F.translate(d, x, ""))) * v for v, x in enumerate("0123456789ABCDEF") if v))
 
     return (total(upper) * 16 + total(lower)).cast("long")
 

@@ -12,6 +12,7 @@ from seqloom.errors import CollectionSizeMismatchError
 from seqloom.operators import combine
 from seqloom.operators.ranges import take_range
 from seqloom.sources.reader import read_fastx
+from seqloom.sources.remote import is_remote
 from seqloom.storage import list_files
 
 KINDS = ("single", "paired", "interleaved", "multi", "interleaved_multi")
@@ -52,10 +53,11 @@ class Collection:
 
     def records(self) -> DataFrame:
         """All records with file_ord, the file's place in the collection."""
-        names = [(f, i) for i, p in enumerate(self.paths) for f, _ in list_files(self.spark, [p])]
-        order = self.spark.createDataFrame(names, "named string, file_ord int")  # a row for each path given
+        names = [(f, i) for i, p in enumerate(self.paths) for f, _ in ([(p, 0)] if is_remote(p) else list_files(self.spark, [p]))]
+        order = self.spark.createDataFrame(names, "named string, file_ord int")  # a row for each path given, so a path may come twice
+        files = list(dict.fromkeys(f for f, _ in names))
         plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-        records = read_fastx(self.spark, self.paths, **self.options)
+        records = read_fastx(self.spark, files, **self.options)
         return records.join(F.broadcast(order), plain(F.col("file")) == plain(F.col("named"))).drop("named")
 
     def _grouped(self, n: int) -> list[DataFrame]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from seqloom.errors import FastxFormatError
 from seqloom.schema import DROPMALFORMED, ERROR_FIELD, FAILFAST, FASTA, FASTQ, PERMISSIVE, RECORD_COLUMNS, RECORD_SCHEMA, SAM
 from seqloom.sources import parse
-from seqloom.storage import file_system, read_bytes
+from seqloom.storage import file_system, read_bytes, scratch
 
 #: The table of blocks goes to every worker up to this many bytes; beyond, records are framed by a shuffle.
 BLOCK_TABLE_BYTES = 64 << 20
@@ -27,17 +27,24 @@ def _raw(spark: SparkSession, paths: list[str], separator: str) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value"))
 
 
-def numbered(spark: SparkSession, paths: list[str], separator: str = NEWLINE) -> DataFrame:
-    """(file, n, total, value): each line with its 0-based number in its file, and how many the file has. JVM only.
+def numbered(spark: SparkSession, paths: list[str], separator: str = NEWLINE, marked: Column | None = None) -> DataFrame:
+    """(file, n, total, marked, value): each line with its 0-based number in its file, and how many the file has. JVM only.
 
+    marked: an aggregate over a block's lines (file, block, mid, value), added up for each file in the same pass.
     Lines of a block have consecutive ids in a task, so the block's least id and first number give each line's. Both scans see the same splits.
+    The table of blocks is written to the shared folder, so its size is known: it is broadcast up to BLOCK_TABLE_BYTES and merged beyond.
     """
     raw = _raw(spark, paths, separator).withColumn("mid", F.monotonically_increasing_id())
-    blocks = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines"), F.min("mid").alias("least"))
+    blocks = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines"), F.min("mid").alias("least"), (F.lit(0) if marked is None else marked).cast("long").alias("marked"))
     file = Window.partitionBy("file")
     before = F.coalesce(F.sum("lines").over(file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select("file", "block", (before - F.col("least")).alias("shift"), F.sum("lines").over(file).alias("total"))
-    return raw.join(blocks, ["file", "block"]).select("file", (F.col("mid") + F.col("shift")).alias("n"), "total", "value")
+    blocks = blocks.select("file", "block", (before - F.col("least")).alias("shift"), F.sum("lines").over(file).alias("total"), F.sum("marked").over(file).alias("marked"))
+    path = scratch(spark, "blocks")
+    blocks.write.parquet(path)
+    blocks = spark.read.schema(blocks.schema).parquet(path)
+    size = blocks.agg(F.sum(F.octet_length("file") + 64)).first()[0] or 0
+    blocks = F.broadcast(blocks) if size <= BLOCK_TABLE_BYTES else blocks.hint("merge")
+    return raw.join(blocks, ["file", "block"]).select("file", (F.col("mid") + F.col("shift")).alias("n"), "total", "marked", "value")
 
 
 def _checked(df: DataFrame, error: Column, mode: str) -> DataFrame:
@@ -189,39 +196,34 @@ def read_fastq(spark: SparkSession, paths: list[str], mode: str = FAILFAST) -> D
 
 def read_fasta(spark: SparkSession, paths: list[str], mode: str = FAILFAST) -> DataFrame:
     """FASTA records, one or many lines each; JVM only. Chunks between "\\n>" are numbered; a file's first is a record only if it begins with >."""
-    chunks = numbered(spark, paths, "\n>")
+    junk = F.when((F.col("block") == 0) & ~F.min_by(F.col("value").startswith(">"), "mid"), 1).otherwise(0)
+    chunks = numbered(spark, paths, "\n>", junk)
     first, last = F.col("n") == 0, F.col("n") == F.col("total") - 1
-    # Whether the first chunk is a record: a flag for each file, not a window over its records.
-    junk = chunks.where(first & ~F.coalesce(F.col("value").startswith(">"), F.lit(False))).select(F.col("file").alias("junk_file"))
-    value = F.when(first, F.substring("value", F.lit(2), F.octet_length("value"))).otherwise(F.col("value"))
-    rows = chunks.join(F.broadcast(junk) if _few(junk) else junk, F.col("file") == F.col("junk_file"), "left").where(~(first & F.col("junk_file").isNotNull()))
-    rows = rows.select("file", (F.col("n") - F.col("junk_file").isNotNull().cast("long")).alias("rec_index"), F.when(last, F.regexp_replace(value, "\n\\z", "")).otherwise(value).alias("v"))
-    header = F.substring_index("v", NEWLINE, 1)
-    # Bytes stay as they are: positions count bytes.
-    binary, skip = F.col("v").cast("binary"), F.octet_length(header) + 2
+    # Bytes stay as they are: positions count bytes, and nothing decodes them.
+    binary = F.col("value").cast("binary")
+    begin, end = F.when(first, 2).otherwise(1), F.octet_length("value") - F.when(last & F.col("value").endswith(NEWLINE), 1).otherwise(0)
+    rows = chunks.where(~(first & (F.col("marked") > 0)))
+    rows = rows.select("file", (F.col("n") - F.col("marked")).alias("rec_index"), F.substring(binary, begin, end - begin + 1).alias("v"))
+    header = F.substring_index(F.col("v").cast("string"), NEWLINE, 1)
+    raw = F.substring("v", F.octet_length(header) + 2, F.octet_length("v"))
     out = rows.select(
-        "file", "rec_index", header.cast("binary").alias("id"), F.replace(F.substring(binary, skip, F.octet_length("v")).cast("string"), F.lit(NEWLINE), F.lit("")).cast("binary").alias("seq"),
-        F.substring(binary, skip, F.octet_length("v")).alias("seq_raw"), F.lit(None).cast("binary").alias("qual"), F.lit(None).cast("binary").alias("sep"), F.lit(FASTA).alias("format"),
+        "file", "rec_index", header.cast("binary").alias("id"), F.replace(raw.cast("string"), F.lit(NEWLINE), F.lit("")).cast("binary").alias("seq"),
+        raw.alias("seq_raw"), F.lit(None).cast("binary").alias("qual"), F.lit(None).cast("binary").alias("sep"), F.lit(FASTA).alias("format"),
     )
     return out.withColumn("_error", F.lit(None).cast("string")) if mode == PERMISSIVE else out
 
 
-def _few(df: DataFrame, most: int = 100_000) -> bool:
-    return df.limit(most + 1).count() <= most
-
-
 def read_sam(spark: SparkSession, paths: list[str]) -> DataFrame:
     """SAM alignments in file order, one row each whatever the flags; JVM only. * for a missing quality is null, seq_raw too."""
-    lines = numbered(spark, paths).where("value <> ''")
-    # Header lines come first: their number is the alignments' shift. One row for each file.
-    heads = lines.where(F.col("value").startswith("@")).groupBy("file").agg(F.count(F.lit(1)).alias("heads"))
+    # Header lines come first: their number is the alignments' shift.
+    lines = numbered(spark, paths, marked=F.count_if(F.col("value").startswith("@"))).where("value <> ''")
     f = F.split("value", "\t")
     text = lambda k: F.get(f, F.lit(k))
     present = lambda k: F.when(text(k) != "*", text(k)).cast("binary")
-    rows = lines.where(~F.col("value").startswith("@")).join(heads, "file", "left")
+    rows = lines.where(~F.col("value").startswith("@"))
     rows = rows.where(F.when(F.size(f) < 11, F.raise_error(F.concat(F.lit("not an alignment: "), F.col("file"))).cast("boolean")).otherwise(F.lit(True)))
     return rows.select(
-        "file", (F.col("n") - F.coalesce("heads", F.lit(0))).alias("rec_index"), text(0).cast("binary").alias("id"), F.coalesce(present(9), F.lit(b"")).alias("seq"),
+        "file", (F.col("n") - F.col("marked")).alias("rec_index"), text(0).cast("binary").alias("id"), F.coalesce(present(9), F.lit(b"")).alias("seq"),
         F.lit(None).cast("binary").alias("seq_raw"), present(10).alias("qual"), F.lit(None).cast("binary").alias("sep"), F.lit(SAM).alias("format"), text(1).cast("int").alias("flag"),
     )
 

@@ -1,0 +1,249 @@
+"""Ranges, combinations, collections, processors, sinks and streams."""
+
+import gzip
+import random
+import warnings
+
+import pytest
+
+from seqloom import errors, functions
+from seqloom.operators import aggregates, combine, process, ranges, sinks
+from seqloom.operators.collection import Collection
+from seqloom.schema import PERMISSIVE
+from seqloom.sources import reader
+from seqloom.streaming import each_batch, read_stream
+
+
+def make_fastq(n, salt="", length=4):
+    return "".join(f"@seq{i}{salt}\n{'ACGT' * (length // 4)}\n+\n{'I' * length}\n" for i in range(n)).encode()
+
+
+@pytest.fixture
+def file(spark, tmp_path):
+    def make(n, name=None, **kinds):
+        path = tmp_path / (name or f"{n}-{len(list(tmp_path.iterdir()))}.fq")
+        path.write_bytes(make_fastq(n, **kinds))
+        return str(path)
+
+    return make
+
+
+def indices(df):
+    return sorted(r.rec_index for r in df.select("rec_index").collect())
+
+
+RANGES = [
+    ((10, 50), {}, range(10, 50)), ((0, 300), {}, range(300)), ((250, None), {}, range(250, 300)), ((None, 77), {}, range(77)), ((290, 400), {}, range(290, 300)), ((400, 500), {}, []), ((50, 10), {}, []),
+    ((50, 50), {}, []), ((None, None), {}, range(300)), ((10, 50), {"end_included": True}, range(10, 51)), ((10, 50), {"start_excluded": True}, range(11, 50)), ((7, 13), {}, range(7, 13)), ((0, 0), {}, []), ((5, 5), {"end_included": True}, [5]),
+]
+
+
+@pytest.mark.parametrize(("args", "kinds", "want"), RANGES)
+def test_ranges(spark, args, kinds, want):
+    rows = spark.range(300).withColumnRenamed("id", "rec_index")
+    assert indices(ranges.take_range(rows, *args, **kinds)) == list(want)
+
+
+def test_negative_ordinals():
+    for args in ((-1, 5), (0, -1)):
+        with pytest.raises(ValueError):
+            ranges.bounds(*args)
+
+
+def test_limits(spark, file):
+    paths = [file(30), file(5)]
+    assert reader.read_fastx(spark, paths, record_limit=10).count() == 15
+    assert ranges.limit_records(reader.read_fastx(spark, paths), 10).count() == 15
+    assert [r.rec_index for r in ranges.peek(reader.read_fastx(spark, paths[0]), 4).collect()] == [0, 1, 2, 3]
+
+
+def test_pairs(spark, file):
+    a, b = (reader.read_fastx(spark, file(200, salt=s)) for s in ("a", "b"))
+    got = combine.paired(a, b)
+    assert indices(got) == list(range(200))
+    assert {(bytes(r.r1.id), bytes(r.r2.id)) for r in got.where("rec_index = 7").collect()} == {(b"seq7a", b"seq7b")}
+    assert indices(ranges.take_range(got, 10, 50)) == list(range(10, 50))
+    with pytest.raises(Exception, match="DIFFERENT_NAMES"):
+        combine.paired(a, b, check_names=True).collect()
+    assert combine.paired(a, a, check_names=True).count() == 200
+
+
+@pytest.mark.parametrize(("n", "short"), [((200, 150), "r2"), ((150, 200), "r1"), ((250, 200), "r2")])
+def test_pairs_of_unequal_files(spark, file, n, short):
+    a, b = (reader.read_fastx(spark, file(k)) for k in n)
+    with pytest.raises(Exception, match=f"LENGTH_MISMATCH: fewer records in {short}"):
+        combine.paired(a, b).collect()
+
+
+def test_groups_of_files(spark, file):
+    sides = [reader.read_fastx(spark, file(100, salt=s)) for s in "abcd"]
+    got = combine.multi(sides)
+    assert indices(got) == list(range(100)) and [c for c in got.columns if c[1:].isdigit()] == ["r1", "r2", "r3", "r4"]
+    assert len(combine.members(got).first().members) == 4
+    with pytest.raises(Exception, match="LENGTH_MISMATCH"):
+        combine.multi([*sides, reader.read_fastx(spark, file(99))]).collect()
+    with pytest.raises(ValueError):
+        combine.multi([])
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 9])
+def test_interleaved_groups(spark, file, k):
+    got = combine.interleaved_multi(reader.read_fastx(spark, file(45 * k)), k).collect()
+    assert sorted((r.rec_index, *(m.rec_index for m in r.members)) for r in got) == [(i, *range(k * i, k * i + k)) for i in range(45)]
+    if k > 1:
+        with pytest.raises(Exception, match="ARITY_MISMATCH"):
+            combine.interleaved_multi(reader.read_fastx(spark, file(45 * k + 1)), k).collect()
+    with pytest.raises(ValueError):
+        combine.interleaved_multi(reader.read_fastx(spark, file(4)), 0)
+
+
+def test_interleaved_pairs(spark, file):
+    got = combine.interleaved(reader.read_fastx(spark, file(3072)))  # the batch of 1024 isn't seen
+    assert indices(got) == list(range(1536))
+    assert {(r.r1.rec_index, r.r2.rec_index) for r in got.where("rec_index = 3").collect()} == {(6, 7)}
+
+
+def test_collections(spark, file):
+    paths = [file(20, salt=s) for s in "abcd"]
+    c = Collection(spark, paths)
+    assert sorted(r.file_ord for r in c.single(0, 5).collect()) == [i for i in range(4) for _ in range(5)]
+    assert c.unique_format() == "fastq" and c.limited(3).single().count() == 12
+    p = Collection(spark, paths, "paired").paired(2, 5)
+    assert sorted((r.group_id, r.rec_index, bytes(r.r1.id)[-1:], bytes(r.r2.id)[-1:]) for r in p.collect()) == [(g, i, *x) for g, x in ((0, (b"a", b"b")), (1, (b"c", b"d"))) for i in range(2, 5)]
+    assert Collection(spark, paths, "multi", 4).multi().count() == 20
+    assert Collection(spark, paths, "interleaved").interleaved().count() == 40
+    assert Collection(spark, paths, "interleaved_multi", 5).interleaved_multi().count() == 16
+    with pytest.warns(UserWarning, match="read as paired"):
+        c.paired()
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        c.single()
+    again = Collection(spark, [paths[0], paths[0]], "paired").paired()  # one file twice
+    assert again.count() == 20
+    for args, kinds in ((paths[:3], {"kind": "paired"}), (paths, {"kind": "multi", "arity": 3}), ([], {})):
+        with pytest.raises(errors.CollectionSizeMismatchError):
+            Collection(spark, args, **kinds)
+    for kinds in ({"kind": "x"}, {"arity": 0}):
+        with pytest.raises(ValueError):
+            Collection(spark, paths, **kinds)
+
+
+def test_sums(spark, file):
+    r = reader.read_fastx(spark, file(50))
+    each = sum(b"ACGT")
+    assert tuple(aggregates.seq_sum(r).first()) == (50, 50 * each)
+    assert tuple(aggregates.seq_sum_groups(combine.paired(r, r)).first()) == (50, 100 * each)
+    assert tuple(aggregates.seq_sum_groups(combine.interleaved_multi(r, 5)).first()) == (10, 50 * each)
+    assert aggregates.count_records(r).first().n_records == 50
+    assert {x.seq_length for x in aggregates.lengths(r).collect()} == {4}
+
+
+def test_byte_sum_of_any_bytes(spark):
+    rng = random.Random(1)
+    values = [bytes(rng.randrange(256) for _ in range(rng.randrange(40))) for _ in range(200)] + [b"", None, bytes(range(256))]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, b binary").select("i", functions.byte_sum("b").alias("s")).collect()
+    assert {r.i: r.s for r in got} == {i: None if v is None else sum(v) for i, v in enumerate(values)}
+
+
+def test_functions(spark):
+    row = spark.createDataFrame([(b"AC\nGT\xff", bytes([0, 40, 93]), b"", None)], "s binary, q binary, e binary, n binary")
+    got = row.select(functions.strip_newlines("s").alias("s"), functions.phred33("q").alias("q"), functions.phred33("e").alias("e"), functions.default_quality("n", "q").alias("d"), functions.qual_text("n").alias("t"), functions.seq_length("s").alias("l")).first()
+    assert (bytes(got.s), bytes(got.q), got.e, bytes(got.d), got.t, got.l) == (b"ACGT\xff", b"!I~", None, b"???", "", 6)
+    with pytest.raises(Exception, match="UTF-?8"):
+        row.select(functions.as_text("s")).collect()
+
+
+class Count(process.Processor):
+    def __init__(self):
+        self.n = self.batches = 0
+
+    def process_record(self, row):
+        self.n += 1
+
+    def on_batch_complete(self):
+        self.batches += 1
+        return ()
+
+    def on_complete(self):
+        return [{"n": self.n, "worker": self.worker_id}]
+
+
+def test_processors(spark, file):
+    r = reader.read_fastx(spark, file(500)).repartition(5)
+    first = Count()
+    got = process.process(r, first, "n long, worker int").collect()
+    assert sum(x.n for x in got) == 500 and len({x.worker for x in got}) == len(got) and first.n == 0
+    got = process.process(r, lambda rows: [{"k": sum(1 for _ in rows)}], "k long").collect()
+    assert sum(x.k for x in got) == 500
+    pairs = combine.paired(r, r)
+    assert sum(x.n for x in process.process(pairs, Count(), "n long, worker int").collect()) == 500
+
+    def fail(rows):
+        raise ValueError("stop here")
+
+    with pytest.raises(Exception, match="stop here"):
+        process.process(r, fail, "k long").collect()
+
+
+class Order(process.Processor):
+    requires_ordering = True
+
+    def __init__(self):
+        self.seen = []
+
+    def process_record(self, row):
+        self.seen.append(row["rec_index"])
+
+    def on_complete(self):
+        return [{"low": self.seen[0], "high": self.seen[-1], "sorted": self.seen == sorted(self.seen)}] if self.seen else []
+
+
+def test_ordering(spark, file):
+    got = process.process(reader.read_fastx(spark, file(400)).repartition(4), Order(), "low long, high long, sorted boolean").collect()
+    spans = sorted((r.low, r.high) for r in got)
+    assert all(r.sorted for r in got) and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_sinks_round_trip(spark, tmp_path, file):
+    source = file(300, length=2060)
+    records = reader.read_fastx(spark, source)
+    out = str(tmp_path / "out.fq")
+    sinks.write_file(records.repartition(7), out)
+    assert open(out, "rb").read() == open(source, "rb").read()
+    fa = str(tmp_path / "out.fa")
+    sinks.write_file(records, fa, "fasta")
+    assert open(fa, "rb").read() == "".join(f">seq{i}\n{'ACGT' * 515}\n" for i in range(300)).encode()
+    back = str(tmp_path / "back.fq")
+    sinks.write_file(reader.read_fastx(spark, fa), back)
+    assert open(back, "rb").read() == make_fastq(300, length=2060).replace(b"I", b"?")
+    sinks.write_file(combine.paired(records, records), out)
+    assert reader.read_fastx(spark, out).count() == 600
+    sinks.write_file(combine.interleaved_multi(records, 3), out)
+    assert open(out, "rb").read() == open(source, "rb").read()
+    folder = str(tmp_path / "parts")
+    sinks.write_records(records, folder, compression="gzip", ordered=True)
+    assert reader.read_fastx(spark, folder).count() == 300
+    with pytest.raises(ValueError):
+        sinks.write_file(records, out, "sam")
+
+
+def test_any_bytes_round_trip(spark, tmp_path):
+    data = b"@\xff\x00 \xc3\r\n\xffAC\r\n+x\nIIII\n"
+    path = tmp_path / "x"
+    path.write_bytes(data)
+    sinks.write_file(reader.read_fastx(spark, str(path)), str(tmp_path / "y"))
+    assert (tmp_path / "y").read_bytes() == data.replace(b"+x", b"+")
+
+
+def test_stream(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.fq").write_bytes(make_fastq(30))
+    (folder / "b").write_bytes(gzip.compress(b">x\nAC\nGT\n>y\n"))
+    seen = []
+    stream = read_stream(spark, str(folder), max_files=1)
+    each_batch(stream, lambda df, n: seen.append((n, df.count())), str(tmp_path / "cp")).awaitTermination()
+    assert [n for n, _ in seen] == [0, 1] and sorted(c for _, c in seen) == [2, 30]
+    (folder / "c.fq").write_bytes(b"@a\nA\n-\nI\n")
+    each_batch(read_stream(spark, str(folder), mode=PERMISSIVE).where("_error is not null"), lambda df, n: seen.append((n, df.count())), str(tmp_path / "cp2")).awaitTermination()
+    assert seen[-1][1] == 1
