@@ -199,6 +199,17 @@ def _by_join(docs: DataFrame, items: DataFrame, least: int, threshold: float) ->
     return out.select("doc_id", "h", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.col("best.item_id").alias("item_id"), (-F.col("best.c")).alias("coverage"))
 
 
+def _held_items(items: DataFrame, held_bytes: int):
+    """A broadcast of the benchmark's rows if their measured size is within held_bytes, else None."""
+    rows = small_rows(items, held_bytes)
+    return None if rows is None else items.sparkSession.sparkContext.broadcast(sorted((r.item_id, r.text) for r in rows))
+
+
+def _usable(benchmark: DataFrame) -> DataFrame:
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty(F.col("text")).alias("text"))
+    return items.where("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, threshold: float = THRESHOLD, held_bytes: int = HELD_BYTES) -> DataFrame:
     """(doc_id, h, n_items, item_id, coverage): one row per row of docs.
 
@@ -207,11 +218,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
     used; repeated rows give repeated results. The benchmark is held by every worker if its measured size is within held_bytes, else joined.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty(F.col("text")).alias("text")).where("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text"))
-    rows = small_rows(items, held_bytes)
-    if rows is None:
+    items = _usable(benchmark)
+    held = _held_items(items, held_bytes)
+    if held is None:
         return _by_join(narrow, items, least, threshold)
-    held = docs.sparkSession.sparkContext.broadcast(sorted((r.item_id, r.text) for r in rows))
 
     def work(batches):
         index = Items(held.value, least)
@@ -221,8 +231,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
     return map_arrow(narrow.select("doc_id", F.xxhash64("text").alias("h"), "text"), work, "doc_id long, h long, n_items long, item_id long, coverage double")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that a benchmark item leaked into; their columns stay as they are."""
-    found = contamination(docs, benchmark, least, threshold).where("n_items > 0").select("doc_id", "h").distinct()
-    found = materialize(found, "leaks")
-    return docs.join(found, docs.doc_id.cast("long").eqNullSafe(found.doc_id) & (F.xxhash64(text_or_empty(docs.text)) == found.h), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, threshold: float = THRESHOLD, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """docs without those that a benchmark item leaked into; their columns stay as they are.
+
+    Rows are judged where they are read, and no text is shuffled, if the benchmark can be held.
+    """
+    held = _held_items(_usable(benchmark), held_bytes)
+    if held is None:
+        found = contamination(docs, benchmark, least, threshold, held_bytes).where("n_items > 0").select("doc_id", "h").distinct()
+        found = materialize(found, "leaks")
+        return docs.join(found, docs.doc_id.cast("long").eqNullSafe(found.doc_id) & (F.xxhash64(text_or_empty(docs.text)) == found.h), "left_anti")
+
+    def work(batches):
+        index = Items(held.value, least)
+        for batch in batches:
+            yield batch.filter(pa.array([not index.match(t or "", threshold) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return map_arrow(docs, work, docs.schema)

@@ -275,32 +275,42 @@ def _left(counts: tuple[int, int], y: int, n_toxic: int, n_clean: int) -> float:
     return float(weight(toxic, clean, n_toxic, n_clean)) if toxic >= MIN_DOCS else 0.0
 
 
+def train(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1):
+    """A broadcast (character model, lexicon, logistic weights): the first from all docs, the others from labels outside the held fold."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
+    log_p = language_model(char_counts(narrow))
+    known = labels.where("doc_id is not null and toxic is not null").where(crc32_mod(F.col("doc_id"), fold) != held)
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
+    return docs.sparkSession.sparkContext.broadcast((log_p, *fit(narrow, materialize(known, "labels"), log_p)))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted, h): one row per row of docs; h is xxhash64 of the text.
+    """(doc_id, held_out, score, predicted): one row per row of docs.
 
     labels: doc_id and toxic; only rows whose crc32(doc_id) mod `fold` isn't `held` are learned from, null labels and ids are left out and a
     repeated doc_id counts with its largest label. Null and empty texts are scored as texts without evidence; a null doc_id is never held out.
     """
-    spark = docs.sparkSession
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
-    log_p = language_model(char_counts(narrow))
-    known = labels.where("doc_id is not null and toxic is not null").where(crc32_mod(F.col("doc_id"), fold) != held)
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
-    lexicon, beta = fit(narrow, materialize(known, "labels"), log_p)
-    model = spark.sparkContext.broadcast((log_p, lexicon, beta))
+    model = train(docs, labels, fold, held)
 
     def work(batches):
         scorer = Scorer(*model.value)
         for batch in batches:
             s = scorer.score(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(s)], ["doc_id", "h", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], ["doc_id", "score"])
 
-    scored = map_arrow(narrow.select("doc_id", F.xxhash64("text").alias("h"), "text"), work, "doc_id long, h long, score double")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
+    scored = map_arrow(narrow, work, "doc_id long, score double")
     held_out = F.coalesce(crc32_mod(F.col("doc_id"), fold) == held, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "h")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those predicted toxic; their columns stay as they are."""
-    bad = materialize(score_toxicity(docs, labels, threshold=threshold).where("predicted = 1").select("doc_id", "h").distinct(), "toxic")
-    return docs.join(bad, docs.doc_id.cast("long").eqNullSafe(bad.doc_id) & (F.xxhash64(text_or_empty(docs.text)) == bad.h), "left_anti")
+    """docs without those predicted toxic; their columns stay as they are. Rows are judged where they are read: no text is shuffled."""
+    model = train(docs, labels)
+
+    def work(batches):
+        scorer = Scorer(*model.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.score([t or "" for t in batch.column("text").to_pylist()]) < threshold))
+
+    return map_arrow(docs, work, docs.schema)

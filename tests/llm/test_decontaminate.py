@@ -70,10 +70,11 @@ def test_tiles_equal_brute_force():
         assert op.tiled(np.array(item, dtype=np.uint64), np.array(doc, dtype=np.uint64), 3) == brute_cover(item, doc, 3)
 
 
-def test_leaks_go_and_columns_stay(spark):
+@pytest.mark.parametrize("held_bytes", [op.HELD_BYTES, 0])
+def test_leaks_go_and_columns_stay(spark, held_bytes):
     item = " ".join(f"t{i}" for i in range(30))
     docs = [(1, "a b c d e f", "q"), (2, f"before {item} after", "q"), (3, None, "q"), (None, item, "q"), (4, " ".join(item.split()[15:] + ["x"] + item.split()[:15]), "q"), (5, " ".join(item.split()[:10]), "q")]
-    got = op.decontaminate(spark.createDataFrame(docs, "doc_id long, text string, h string"), spark.createDataFrame([(9, item)], "item_id long, text string"))
+    got = op.decontaminate(spark.createDataFrame(docs, "doc_id long, text string, h string"), spark.createDataFrame([(9, item)], "item_id long, text string"), held_bytes=held_bytes)
     assert got.columns == ["doc_id", "text", "h"] and sorted(r.doc_id for r in got.collect()) == [1, 3, 5]
 
 
