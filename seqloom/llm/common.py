@@ -78,7 +78,11 @@ def text_or_empty(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], limit_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+#: Bytes of a batch that a worker has in hand at once.
+SLICE_BYTES = 8 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], limit_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in parts of some MB, whatever a row's length (one row at least), so that a worker's memory stays bounded."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -88,11 +92,11 @@ def slices(batches: Iterator[pa.RecordBatch], limit_bytes: int = 8 << 20) -> Ite
             yield batch.slice(start, step)
 
 
-def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, limit_bytes: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over bounded slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return work(slices(batches))
+        return work(slices(batches, limit_bytes))
 
     return df.mapInArrow(run, schema)
 

@@ -28,7 +28,10 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import map_arrow, text_or_empty
 
 MARK = "▁"
-CACHE_WORDS, CACHE_PAIRS = 1_000_000, 1_000_000
+#: Words in the younger half of a worker's cache; pairs of pieces.
+CACHE_WORDS, CACHE_PAIRS = 500_000, 500_000
+#: Bytes of text whose words are in memory at once (one text at least).
+SLICE_BYTES = 2 << 20
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
@@ -138,7 +141,10 @@ class Codec:
     def __init__(self, model: Model):
         self.model = model
         self.cache: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.older: dict[str, bytes] = {}
+        #: For the last piece of a prefix and a piece after it whether the two stay apart; n_pairs counts them.
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
         # A line end that no piece has is a word of its own: nothing merges with it.
         line = "" if any("\n" in p for p in model.ids) else "\n"
         self.words = re.compile(f"{MARK}+[^{MARK}{line}]*|[^{MARK}{line}]+" + ("|\n" if line else "")).findall
@@ -160,7 +166,13 @@ class Codec:
                 self.score[p] = own
                 if len(parts) == 2:
                     self.split[p] = (parts[0], parts[1])
-        self.made = {p for p in model.ids if len(p) == 1 or p in self.split}
+        self.made = {p: p for p in model.ids if len(p) == 1 or p in self.split}
+        #: By their last three characters how long pieces of three or more are, longest first: other lengths needn't be tried.
+        lengths: dict[str, set[int]] = {}
+        for p in self.made:
+            if len(p) > 2:
+                lengths.setdefault(p[-3:], set()).add(len(p))
+        self.lengths = {tail: tuple(sorted(found, reverse=True)) for tail, found in lengths.items()}
 
     def _joins(self, left: str, right: str) -> bool:
         """Whether the pair is the encoding of its text: undoing merges from the latest, none across the middle comes before one undone."""
@@ -185,30 +197,39 @@ class Codec:
             else:
                 return True
 
-    def _extend_bpe(self, word: str, states: list[str], i: int) -> str:
-        """The last piece of the encoding of word[:i], given those of its prefixes."""
-        made, pairs = self.made, self.pairs
-        for j in range(max(0, i - self.model.longest), i - 1):
-            piece = word[j:i]
-            if piece in made:
-                if not j:
-                    return piece
-                pair = (states[j], piece)
-                joins = pairs.get(pair)
+    def _extend_bpe(self, word: str, states: list[str], begin: int) -> None:
+        """Adds the last piece of the encoding of word[:i] for each i from begin on, given those of the shorter prefixes."""
+        made, pairs, lengths = self.made, self.pairs, self.lengths
+        for i in range(begin, len(word) + 1):
+            for k in (*lengths.get(word[i - 3 : i], ()), 2) if i > 2 else (i,):
+                piece = made.get(word[i - k : i]) if k <= i else None
+                if piece is None:
+                    continue
+                if k == i:
+                    break
+                after = pairs.get(left := states[i - k])
+                if after is None:
+                    after = pairs[left] = {}
+                joins = after.get(piece)
                 if joins is None:
-                    joins = pairs[pair] = self._joins(*pair)
+                    joins = after[piece] = self._joins(left, piece)
+                    self.n_pairs += 1
                 if joins:
-                    return piece
-        return word[i - 1 : i]
+                    break
+            else:
+                piece = word[i - 1 : i]
+            states.append(piece)
 
-    def _extend_unigram(self, word: str, states: list[tuple[float, str]], i: int) -> tuple[float, str]:
+    def _extend_unigram(self, word: str, states: list[tuple[float, str]], begin: int) -> None:
+        """Adds the best score of word[:i] and its last piece for each i from begin on."""
         ids, score = self.model.ids, self.model.scores
-        best = (states[i - 1][0] + self.model.lowest, word[i - 1 : i])
-        for j in range(max(0, i - self.model.longest), i):
-            piece = word[j:i]
-            if (at := ids.get(piece)) is not None and (s := states[j][0] + score[at]) > best[0]:
-                best = (s, piece)
-        return best
+        for i in range(begin, len(word) + 1):
+            best = (states[i - 1][0] + self.model.lowest, word[i - 1 : i])
+            for j in range(max(0, i - self.model.longest), i):
+                piece = word[j:i]
+                if (at := ids.get(piece)) is not None and (s := states[j][0] + score[at]) > best[0]:
+                    best = (s, piece)
+            states.append(best)
 
     def _ids(self, pieces: list[str]) -> list[int]:
         out, ids, model = [], self.model.ids, self.model
@@ -228,8 +249,8 @@ class Codec:
         states: list = ["" if bpe else (0.0, "")]
         last = ""
         ids, pack = self.model.ids.__getitem__, lambda x: array("i", x).tobytes()
-        if bpe and len(self.pairs) > CACHE_PAIRS:
-            self.pairs.clear()
+        if self.n_pairs > CACHE_PAIRS:
+            self.pairs, self.n_pairs = {}, 0
         for word in sorted(words):
             if bpe and MARK * 2 in word:  # runs of marks are pieces of equal score, which ranks can't order
                 self.cache[word] = np.array(self._ids(merge(word, self.score)), dtype="<i4").tobytes()
@@ -240,8 +261,7 @@ class Codec:
                     break
                 shared += 1
             del states[shared + 1 :]
-            for i in range(shared + 1, len(word) + 1):
-                states.append(extend(word, states, i))
+            extend(word, states, shared + 1)
             pieces, i = [], len(word)
             while i:
                 piece = states[i] if bpe else states[i][1]
@@ -261,10 +281,16 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
         split = [self.marked(t) for t in texts]
-        self.learn(list({w for words in split for w in words}.difference(self.cache)))
+        if len(self.cache) > CACHE_WORDS:  # words that aren't met again until the younger half is full go
+            self.older, self.cache = self.cache, {}
+        unknown = []
+        for w in {w for words in split for w in words}.difference(self.cache):
+            if (found := self.older.get(w)) is not None:
+                self.cache[w] = found
+            else:
+                unknown.append(w)
+        self.learn(unknown)
         return [b"".join(map(self.cache.__getitem__, words)) for words in split]
 
     def decode(self, ids: list[int]) -> str:
@@ -294,23 +320,22 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
 
     def work(batches):
         codec = _codec(model_path)
-        pieces = [p if k != BYTE else None for p, k in zip(codec.model.pieces, codec.model.kinds, strict=True)]
-        plain = [p.replace(MARK, " ") if p is not None and k == NORMAL else None for p, k in zip(pieces, codec.model.kinds, strict=True)]
+        plain = [p.replace(MARK, " ").encode() if k == NORMAL else None for p, k in zip(codec.model.pieces, codec.model.kinds, strict=True)]
         for batch in batches:
             encoded = codec.encode(batch.column("text").to_pylist())
             hashes = []
             for data in encoded:
                 ids = np.frombuffer(data, dtype="<i4").tolist()
                 try:
-                    text = "".join(map(plain.__getitem__, ids))
-                    text = text[1:] if codec.model.dummy_prefix and text.startswith(" ") else text
+                    text = b"".join(map(plain.__getitem__, ids))
+                    text = text[1:] if codec.model.dummy_prefix and text.startswith(b" ") else text
                 except TypeError:  # bytes or unknown pieces
-                    text = codec.decode(ids)
-                hashes.append(hashlib.sha256(text.encode()).hexdigest())
+                    text = codec.decode(ids).encode()
+                hashes.append(hashlib.sha256(text).hexdigest())
             lengths = np.array([len(e) // 4 for e in encoded])
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(encoded))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, values), pa.array(lengths, pa.int64()), pa.array(hashes)], ["doc_id", "ids", "n_pieces", "decoded_sha256"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
-    return map_arrow(narrow, work, "doc_id long, ids array<int>, n_pieces long, decoded_sha256 string")
+    return map_arrow(narrow, work, "doc_id long, ids array<int>, n_pieces long, decoded_sha256 string", SLICE_BYTES)
