@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 PAIRED, FIRST, LAST = 0x1, 0x40, 0x80
 DEFAULT_QUALITY = "?"
+NUCLEOTIDES = "ACGTNacgtn"
 
 
 def as_text(c: str | Column) -> Column:
@@ -33,29 +34,17 @@ def strip_newlines(c: str | Column) -> Column:
 def byte_sum(c: str | Column = "seq") -> Column:
     """The sum of a field's byte values, for any bytes.
 
-    The letters of nucleotides are taken out one after another, and how much shorter the rest gets is each one's count; what is still left, if
-    anything, is summed by its hexadecimal digits. All of it stays inside generated code.
+    Of nucleotides each letter's count is how much shorter the field gets without it. A field with any other byte is summed byte by byte.
     """
-    rest = (F.col(c) if isinstance(c, str) else c).cast("string")
-    total = F.lit(0).cast("long")
-    for letter in "ACGTNacgtn":
-        shorter = F.replace(rest, F.lit(letter), F.lit(""))
-        total = total + (F.octet_length(rest) - F.octet_length(shorter)) * F.lit(ord(letter))
-        rest = shorter
-    return F.when(F.octet_length(rest) > 0, total + _digit_sum(rest.cast("binary"))).otherwise(total)
-
-
-def _digit_sum(c: Column) -> Column:
-    """Of the hexadecimal digits each value's share is its count: sum = 16 * (upper digits) + lower digits."""
-    digits = F.hex(c)
-    # The digits of each byte are parted by a pattern that takes them two at a time.
-    upper, lower = F.regexp_replace(digits, "(.).", "$1"), F.regexp_replace(digits, ".(.)", "$1")
-
-    def total(d: Column) -> Column:
-        n = F.length(d)
-        return reduce(add, ((n - F.length(F.translate(d, x, ""))) * v for v, x in enumerate("0123456789ABCDEF") if v))
-
-    return (total(upper) * 16 + total(lower)).cast("long")
+    c = F.col(c) if isinstance(c, str) else c
+    text, n = c.cast("string"), F.octet_length(c)
+    letters = reduce(add, ((n - F.octet_length(F.replace(text, F.lit(x), F.lit("")))) * ord(x) for x in NUCLEOTIDES))
+    return F.when(text.rlike(f"[^{NUCLEOTIDES}]"), _each_byte(c)).otherwise(letters.cast("long"))
+
+
+def _each_byte(c: Column) -> Column:
+    pairs = F.split(F.regexp_replace(F.hex(c), "(..)(?=.)", "$1 "), " ")
+    return F.aggregate(pairs, F.lit(0).cast("long"), lambda total, x: total + F.conv(x, 16, 10).cast("long"))
 
 
 def phred33(c: str | Column) -> Column:

@@ -16,10 +16,9 @@ def seq_sum(records: DataFrame) -> DataFrame:
 def seq_sum_groups(combined: DataFrame) -> DataFrame:
     """(n_groups, byte_sum) over pairs or groups: each counts once, all of its records are summed."""
     names = [c for c in combined.columns if c[0] == "r" and c[1:].isdigit()]
-    if names:
-        total = sum((byte_sum(F.col(n).seq) for n in names), F.lit(0))
-    else:
-        total = F.aggregate("members", F.lit(0).cast("long"), lambda s, r: s + byte_sum(r.seq))
+    # Bytes add up over a group's sequences, so they are summed as one.
+    whole = F.concat(*(F.col(n).seq for n in names)) if names else F.array_join(F.transform("members", lambda r: r.seq.cast("string")), "").cast("binary")
+    total = byte_sum(whole)
     return combined.agg(F.count(F.lit(1)).alias("n_groups"), F.coalesce(F.sum(total), F.lit(0)).cast("long").alias("byte_sum"))
 
 
