@@ -7,6 +7,8 @@ are the records' indices, whatever the partitioning.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -107,18 +109,18 @@ def block_table(spark: SparkSession, paths: list[str]) -> dict[tuple[int, int],
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held]), pa.array([k[1] for k in held]), pa.array([v[0] for v in held.values()]), pa.array([v[1] for v in held.values()], pa.list_(pa.binary()))], ["hash", "block", "lines", "head"])
 
-    rows = _hashed(spark, paths).mapInArrow(count, "hash long, block long, lines long, head array<binary>")
-    names = _raw(spark, paths, NEWLINE).select("file").distinct()  # from metadata: no column of the files is decoded
-    rows = rows.join(names.select("file", F.xxhash64("file").alias("hash")), "hash").persist()
+    rows = _hashed(spark, paths).mapInArrow(count, "hash long, block long, lines long, head array<binary>").persist()
     try:
         size = rows.agg(F.sum(F.lit(200) + F.aggregate("head", F.lit(0), lambda s, x: s + F.octet_length(x)))).first()[0] or 0
         if size > BLOCK_TABLE_BYTES:
             return None
-        found = sorted((r.file, r.block, r.hash, r.lines, [bytes(x) for x in r.head]) for r in rows.collect())
+        counted = rows.collect()
     finally:
         rows.unpersist()
-    if len({f[0] for f in found}) != len({f[2] for f in found}):
-        return None  # two files' names with one hash
+    names = _names(spark, paths, {r.hash for r in counted})
+    if names is None:
+        return None
+    found = sorted((names[r.hash], r.block, r.hash, r.lines, [bytes(x) for x in r.head]) for r in counted)
     table, base = {}, 0
     for i, (file, block, h, lines, _) in enumerate(found):
         base = base if i and found[i - 1][0] == file else 0
@@ -133,6 +135,19 @@ def block_table(spark: SparkSession, paths: list[str]) -> dict[tuple[int, int],
     return table
 
 
+def _names(spark: SparkSession, paths: list[str], hashes: set[int]) -> dict[int, str] | None:
+    """The files' names by hash; None if two have one hash. Names are made from the paths; only if that fails are the files asked, by another pass."""
+    if not hashes:
+        return {}
+    uris = dict.fromkeys(re.sub(r"^(\w+):/(?!/)", r"\1:///", p) if ":/" in p else f"file://{p}" for p in paths)
+    for files in (spark.createDataFrame(pa.table({"file": list(uris)})), _raw(spark, paths, NEWLINE).select("file").distinct()):
+        found = files.select("file", F.xxhash64("file").alias("hash")).collect()
+        names = {r.hash: r.file for r in found}
+        if hashes <= names.keys():
+            return names if len(names) == len(found) else None
+    return None
+
+
 def _hashed(spark: SparkSession, paths: list[str]) -> DataFrame:
     return _raw(spark, paths, NEWLINE).select(F.xxhash64("file").alias("hash"), "block", F.col("value").cast("binary").alias("value"))
 
