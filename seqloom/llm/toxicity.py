@@ -2,7 +2,8 @@
 
 1. A character trigram model is counted over every document.
 2. A token that hides letters behind look-alike signs, separators or repetition is a lattice: each sign stands for the letters it resembles, a
-   separator may be dropped, a run may be one letter or two. Viterbi decoding under the trigram model picks the restored spelling.
+   separator may be dropped, a run may be one letter or two. Viterbi decoding under the trigram model picks the restored spelling. In letters
+   spaced out one by one a word may end after any letter, and each word is weighed.
 3. Restored words and word stems are weighed by how much more often they occur in documents labelled toxic. A document's evidence is the largest
    weights of its distinct words; logistic regression makes it a probability.
 
@@ -14,6 +15,8 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from functools import lru_cache
+from itertools import product
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,8 @@ MIN_DOCS, MIN_WEIGHT = 2, 1.0
 DOUBT = 2.0
 THRESHOLD = 0.7
 CACHE_TOKENS = 400_000
+#: Longer tokens are decoded each time, so that the cache of spellings stays small.
+CACHED_LENGTH = 80
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "*": "abcdefghijklmnopqrstuvwxyz"}
 SEPARATORS = ".-_*~'`·+/\\,"
 _ALPHABET = 28
@@ -74,43 +79,61 @@ def _code(letter: str) -> int:
     return int(_LUT[c])
 
 
+@lru_cache(1 << 14)
+def _options(c: str, n: int, first: bool, last: bool, parts: str) -> list[tuple[str, tuple[int, ...], float]]:
+    """(letters, their codes, cost): what a run of n equal signs stands for; n = 7 means seven or more."""
+    options: list[tuple[str, float]] = []
+    if c.isalpha():
+        options = [(c, 0.0)] if n == 1 else [(c, -1.0 if n > 2 else -2.0), (c * 2, 0.0 if n == 2 else -1.0)]
+        if parts == "letters" and n > 1:  # the run may go over from one word to the next, or hold a word of one letter
+            for runs in (r for k in (2, 3) for r in product((1, 2), repeat=k) if sum(r) <= n):
+                options.append((" ".join(c * r for r in runs), 0.0 if sum(runs) == n else -1.0))
+    else:
+        options = [(letter * k, -1.0 - 0.5 * (k > 1)) for letter in LOOKALIKES.get(c, "") for k in {1, min(2, n)}]
+        if c in SEPARATORS or c not in LOOKALIKES:
+            options.append(("", -0.5))
+        elif first or last:
+            options.append(("", -2.0))
+    if parts == "letters" and not last:
+        options += [(letters + " ", cost) for letters, cost in options if letters]
+    return [(letters, tuple(map(_code, letters)), cost) for letters, cost in options]
+
+
 class Restorer:
     """Restored spellings of tokens under a character model."""
 
     def __init__(self, log_p: np.ndarray):
-        self.log_p = log_p.tolist()
-        self.decode = lru_cache(1 << 16)(self._decode)
+        self.rows = log_p.reshape(-1, _ALPHABET).tolist()
+        self._cached = lru_cache(1 << 16)(self._decode)
+
+    def decode(self, token: str, parts: str = "") -> str:
+        """The likeliest letters for a token. With parts="letters" a word may end after any letter, and words come with a space between."""
+        return self._cached(token, parts) if len(token) <= CACHED_LENGTH else self._decode(token, parts)
 
-    def _decode(self, token: str) -> str:
-        """The likeliest letters for a token: a Viterbi search over its lattice, whose states are the last two letters."""
-        states = {(0, 0): (0.0, "")}
-        i = 0
+    def _decode(self, token: str, parts: str) -> str:
+        """A Viterbi search over the token's lattice, whose states are the last two letters: linear in its length."""
+        rows, states, done, i, step = self.rows, {0: (0.0, "")}, [], 0, 0
         while i < len(token):
             c, j = token[i], i + 1
             while j < len(token) and token[j] == c:
                 j += 1
-            options: list[tuple[str, float]] = []
-            if c.isalpha():
-                options = [(c, 0.0)] if j - i == 1 else [(c, -1.0 if j - i > 2 else -2.0), (c * 2, 0.0 if j - i == 2 else -1.0)]
-            else:
-                options = [(letter * k, -1.0 - 0.5 * (k > 1)) for letter in LOOKALIKES.get(c, "") for k in {1, min(2, j - i)}]
-                if c in SEPARATORS or c not in LOOKALIKES:
-                    options.append(("", -0.5))
-                elif i == 0 or j == len(token):
-                    options.append(("", -2.0))
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in states.items():
-                for letters, cost in options:
-                    x, y, s = a, b, score + cost
-                    for letter in letters:
-                        z = _code(letter)
-                        s += self.log_p[x][y][z]
-                        x, y = y, z
-                    old = after.get((x, y))
+            options = _options(c, min(j - i, 7), i == 0, j == len(token), parts)
+            after: dict[int, tuple[float, str]] = {}
+            for state, (score, text) in states.items():
+                for letters, codes, cost in options:
+                    k, s = state, score + cost
+                    for z in codes:
+                        s += rows[k][z]
+                        k = k % _ALPHABET * _ALPHABET + z
+                    old = after.get(k)
                     if old is None or s > old[0]:
-                        after[(x, y)] = (s, text + letters)
-            states, i = after, j
-        return max(((s + self.log_p[a][b][0], t) for (a, b), (s, t) in states.items()), default=(0.0, ""))[1]
+                        after[k] = (s, text + letters)
+            states, i, step = after, j, step + 1
+            if not step % 64:  # what all spellings begin with is settled
+                n = len(commonprefix([t for _, t in states.values()]))
+                done.append(next(iter(states.values()))[1][:n])
+                states = {k: (s, t[n:]) for k, (s, t) in states.items()}
+        return "".join(done) + max(((s + rows[k][0], t) for k, (s, t) in states.items()), default=(0.0, ""))[1]
 
     def words(self, token: str) -> list[str]:
         """The lower-case words of a token between white space, as written and as restored."""
@@ -130,8 +153,13 @@ class Restorer:
         return found
 
     def spaced(self, text: str) -> list[str]:
-        """Words written with a space after each letter."""
-        return [self.decode(m.lower().replace(" ", "").replace("\t", "")) for m in _SPACED.findall(text) if len(m) <= 80 and sum(map(str.isalpha, m)) >= 2]
+        """Words written with a space after each letter: each run as one word, and as the words it falls into."""
+        found: dict[str, None] = {}
+        for m in _SPACED.findall(text):
+            if sum(map(str.isalpha, m)) >= 2:
+                run = "".join(m.lower().split())
+                found.update(dict.fromkeys([self.decode(run), *self.decode(run, "letters").split()]))
+        return list(found)
 
 
 def stems(word: str) -> list[str]:
@@ -256,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, log_p: np.ndarray, train_rows: int =
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 found = []
                 distinct = set(text.split())
-                for token_words in [*map(restore.words, distinct), restore.spaced(text)]:
+                for token_words in [*map(restore.words, distinct), *([w] for w in restore.spaced(text))]:
                     best = max(((_left(table[s], y, n_toxic, n_clean), s) for word in token_words for s in stems(word) if s in table), default=None)
                     if best and best[0] >= MIN_WEIGHT:
                         found.append((best[1], best[0]))

@@ -103,6 +103,25 @@ def test_restores_hidden_words(spark):
     assert restore.words("plain") == ["plain"] and restore.words("1234") == [] and restore.words("don't")[:2] == ["don", "t"]
 
 
+def test_words_in_spaced_runs(spark):
+    """Behind a one-letter word, second in a run, over a doubled letter, and in a run of any length."""
+    rows, _ = corpus(300)
+    restore = op.Restorer(op.language_model(op.char_counts(spark.createDataFrame(rows, "doc_id long, text string"))))
+    for run, words in [("a r i v e r", ["river"]), ("t h e r i v e r", ["the", "river"]), ("p a s t t h e h o u s e s", ["past", "the", "houses"]), ("o l d " * 3 + "v a s k u l l", ["old", "vaskull"])]:
+        assert set(words) <= set(restore.spaced(run)), (run, restore.spaced(run))
+    sentence = [*CLEAN, *BAD, *CLEAN]
+    found = restore.spaced(" ".join("".join(sentence)))
+    assert {*BAD} <= {*found} and len({*sentence} & {*found}) > 0.8 * len({*sentence}), found
+    assert restore.spaced("a " * 5000 + "a")[-1].strip("a") == ""
+
+
+def test_spaced_sentence_is_toxic(spark):
+    rows, labels = corpus()
+    rows.append((9000, " ".join("".join(["people", *BAD, "walk", "home", *BAD, "near", "water"]))))
+    got = op.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert len(rows[-1][1]) > 80 and got.where("doc_id = 9000").first().predicted == 1
+
+
 def test_scores(spark):
     rows, labels = corpus()
     rows += [(9000, None), (9001, ""), (9002, "river " * 100_000), (9003, "same"), (9003, "same"), (None, "no id")]
