@@ -3,7 +3,7 @@
 1. A character trigram model is counted over every document.
 2. A token that hides letters behind look-alike signs, separators or repetition is a lattice: each sign stands for the letters it resembles, a
    separator may be dropped, a run may be one letter or two. Viterbi decoding under the trigram model picks the restored spelling. In letters
-   spaced out one by one a word may end after any letter, and each word is weighed.
+   spaced out one by one a word may end after any letter, and in other tokens at any separator; each word is weighed.
 3. Restored words and word stems are weighed by how much more often they occur in documents labelled toxic. A document's evidence is the largest
    weights of its distinct words; logistic regression makes it a probability.
 
@@ -46,6 +46,8 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _HIDDEN = re.compile(r"[^\W_]")
 _RUN = re.compile(r"([^\W\d_])\1{2,}")
+#: Two plain words with a separator between: there is nothing to restore but those.
+_PLAIN = re.compile(r"[^\W\d_]+[.\-_~'`·+/\\,][^\W\d_]+")
 
 
 def char_counts(docs: DataFrame) -> DataFrame:
@@ -92,6 +94,8 @@ def _options(c: str, n: int, first: bool, last: bool, parts: str) -> list[tuple[
         options = [(letter * k, -1.0 - 0.5 * (k > 1)) for letter in LOOKALIKES.get(c, "") for k in {1, min(2, n)}]
         if c in SEPARATORS or c not in LOOKALIKES:
             options.append(("", -0.5))
+            if parts == "signs" and not first and not last:
+                options.append((" ", -0.5))
         elif first or last:
             options.append(("", -2.0))
     if parts == "letters" and not last:
@@ -107,7 +111,7 @@ class Restorer:
         self._cached = lru_cache(1 << 16)(self._decode)
 
     def decode(self, token: str, parts: str = "") -> str:
-        """The likeliest letters for a token. With parts="letters" a word may end after any letter, and words come with a space between."""
+        """The likeliest letters for a token. With parts a word may end after any letter ("letters") or at a sign ("signs"), and words come with a space between."""
         return self._cached(token, parts) if len(token) <= CACHED_LENGTH else self._decode(token, parts)
 
     def _decode(self, token: str, parts: str) -> str:
@@ -121,6 +125,8 @@ class Restorer:
             after: dict[int, tuple[float, str]] = {}
             for state, (score, text) in states.items():
                 for letters, codes, cost in options:
+                    if letters == " " and not state % _ALPHABET:  # a word has ended already
+                        continue
                     k, s = state, score + cost
                     for z in codes:
                         s += rows[k][z]
@@ -142,16 +148,27 @@ class Restorer:
             return [token]
         found = _WORDS.findall(token)
         core = token.strip(".,;:?\"'()[]{}<>#%&=*!$~^")
-        if len(core) > 40 or not any(map(str.isalpha, core)):
+        if not any(map(str.isalpha, core)):
             return found
         hidden = not core.isalpha() and any(c in LOOKALIKES or c in SEPARATORS for c in core)
         if hidden or _RUN.search(core):
             found.append(self.decode(core))
             for tail in {token.strip(".,;:?\"'()[]{}<>#%&=~^"), core} - {core}:
-                if len(tail) <= 40:
-                    found.append(self.decode(tail))
+                found.append(self.decode(tail))
         return found
 
+    def chained(self, token: str) -> list[str]:
+        """The words of a token whose separators part some letters and only stand between others; none where that is one word."""
+        core = token.lower().strip(".,;:?\"'()[]{}<>#%&=*!$~^")
+        if core.isalpha() or _PLAIN.fullmatch(core) and not _RUN.search(core) or not any(c in SEPARATORS for c in core) or not any(map(str.isalpha, core)):
+            return []
+        words = self.decode(core, "signs").split()
+        return words if len(words) > 1 else []
+
+    def groups(self, token: str) -> list[list[str]]:
+        """The words of a token, put together where only the heaviest counts."""
+        return [self.words(token), *([w] for w in self.chained(token))]
+
     def spaced(self, text: str) -> list[str]:
         """Words written with a space after each letter: each run as one word, and as the words it falls into."""
         found: dict[str, None] = {}
@@ -170,8 +187,9 @@ def stems(word: str) -> list[str]:
 def features(text: str, restore: Restorer) -> set[str]:
     found = set()
     for token in set(text.split()):
-        for word in restore.words(token):
-            found.update(stems(word))
+        for words in restore.groups(token):
+            for word in words:
+                found.update(stems(word))
     for word in restore.spaced(text):
         found.update(stems(word))
     return found
@@ -183,12 +201,15 @@ def evidence(weights: list[float], distinct: int) -> tuple[float, float, float]:
     return (weights[0], sum(max(0.0, w - DOUBT) for w in weights[1:]), float(np.log1p(distinct))) if weights else (0.0, 0.0, 0.0)
 
 
+_NOTHING: list = []
+
+
 class Scorer:
     """Scores texts; what a token contributes is cached."""
 
     def __init__(self, log_p: np.ndarray, lexicon: dict[str, float], beta: np.ndarray):
         self.restore, self.lexicon, self.beta = Restorer(log_p), lexicon, beta
-        self.cache: dict[str, tuple[float, str] | None] = {}
+        self.cache: dict[str, list[tuple[float, str]]] = {}
 
     def _best(self, words: list[str]) -> tuple[float, str] | None:
         get = self.lexicon.get
@@ -201,8 +222,8 @@ class Scorer:
         tokens = text.split()
         distinct = set(tokens)
         for t in distinct.difference(cache):
-            cache[t] = self._best(self.restore.words(t))
-        found = {x for x in map(cache.__getitem__, distinct) if x}
+            cache[t] = [x for words in self.restore.groups(t) if (x := self._best(words))] or _NOTHING
+        found = {x for xs in map(cache.__getitem__, distinct) if xs for x in xs}
         if any(len(t) == 1 for t in distinct):
             for word in self.restore.spaced(text):
                 if x := self._best([word]):
@@ -284,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, log_p: np.ndarray, train_rows: int =
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 found = []
                 distinct = set(text.split())
-                for token_words in [*map(restore.words, distinct), *([w] for w in restore.spaced(text))]:
+                for token_words in [*(g for t in distinct for g in restore.groups(t)), *([w] for w in restore.spaced(text))]:
                     best = max(((_left(table[s], y, n_toxic, n_clean), s) for word in token_words for s in stems(word) if s in table), default=None)
                     if best and best[0] >= MIN_WEIGHT:
                         found.append((best[1], best[0]))

@@ -115,6 +115,24 @@ def test_words_in_spaced_runs(spark):
     assert restore.spaced("a " * 5000 + "a")[-1].strip("a") == ""
 
 
+def test_long_tokens_are_decoded(spark):
+    """Stretched words, long words with signs, and words chained by separators."""
+    rows, _ = corpus(300)
+    restore = op.Restorer(op.language_model(op.char_counts(spark.createDataFrame(rows, "doc_id long, text string"))))
+    all_words = lambda token: {w for g in restore.groups(token) for w in g}
+    assert "vaskull" in all_words("v" + "a" * 60 + "skull") and "river" in all_words("r" + "1" * 45 + "ver")
+    chain = all_words(".-.".join(".".join(w) for w in ["the", *BAD, "people"]))
+    assert {*BAD, "people"} <= chain, chain
+    assert {"the", "river"} <= all_words("the.r1ver") and restore.chained("old-houses") == [] and restore.chained("w.a.t.e.r") == []
+
+
+def test_chained_sentence_is_toxic(spark):
+    rows, labels = corpus()
+    rows.append((9000, " ".join(CLEAN) + " " + ".-.".join(".".join(w) for w in ["people", *BAD, "walk"])))
+    got = op.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert got.where("doc_id = 9000").first().predicted == 1
+
+
 def test_spaced_sentence_is_toxic(spark):
     rows, labels = corpus()
     rows.append((9000, " ".join("".join(["people", *BAD, "walk", "home", *BAD, "near", "water"]))))
