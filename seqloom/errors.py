@@ -39,6 +39,10 @@ class MateError(SeqloomError):
     """Two alignments aren't the mates of a template."""
 
 
+class ConfigurationError(SeqloomError):
+    """The session lacks a setting that a cluster needs."""
+
+
 class UrlError(SeqloomError):
     pass
 

@@ -8,14 +8,18 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from seqloom.errors import ConfigurationError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where the session names none (tests, local mode) is one made and set."""
+    """spark.checkpoint.dir. Only in local mode (tests), where driver and executors are one machine, is a folder made and set if the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = given.get() if given.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ConfigurationError(f"spark.checkpoint.dir must name a folder that driver and executors share: the master is {spark.sparkContext.master}")
         found = "file://" + tempfile.mkdtemp(prefix="seqloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -174,6 +174,20 @@ def test_mates(spark, tmp_path, a, b, error):
         assert combine.paired(r1, r2).count() == 1
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Fake
+
+    from seqloom.storage import shared_dir
+
+    conf = Fake(get=lambda key, default=None: default)
+    none = Fake(isDefined=lambda: False)
+    session = lambda master: Fake(conf=conf, sparkContext=Fake(master=master, _jsc=Fake(sc=lambda: Fake(getCheckpointDir=lambda: none)), setCheckpointDir=lambda path: None))
+    assert shared_dir(session("local[2]")).startswith("file:///")
+    for master in ("yarn", "spark://h:1", "local-cluster[2,1,1024]"):
+        with pytest.raises(errors.ConfigurationError):
+            shared_dir(session(master))
+
+
 SSH_URLS = [
     ("ssh://user@example.com:2222/path/to/file.fastq", ("example.com", "/path/to/file.fastq", "user", 2222)), ("ssh://example.com/a", ("example.com", "/a", None, None)),
     ("user@example.com:path/to/file.fastq", ("example.com", "path/to/file.fastq", "user", None)), ("host:/abs", ("host", "/abs", None, None)),
