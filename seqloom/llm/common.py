@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.storage import remove, scratch
+
 #: Tables that fit in this many bytes may be collected or broadcast.
 BROADCAST_BYTES = 64 << 20
 
@@ -20,42 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the session names none (tests, local mode) is one made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = given.get() if given.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="seqloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001 - the session may be gone at exit
-        pass
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/seqloom-{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage, survives lost executors and has a known size."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes what materialize wrote, where nothing reads it any more."""
+    for df in tables:
+        remove(df.sparkSession, df._scratch)
+
+
+def held_small(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table of fixed-width columns that was materialized, at 8 bytes a column and 40 a row, stays within the limit: its rows are counted."""
+    return df.count() * (40 + 8 * len(df.columns)) <= limit_bytes
 
 
 def size_in_bytes(df: DataFrame) -> int:

@@ -12,16 +12,17 @@ both, so each member lists its points and meets its neighbours there, which is l
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations, islice, repeat
-from math import comb
+from math import acos, ceil, comb, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import majority_bits, map_arrow, materialize, text_or_empty
+from seqloom.llm.common import BROADCAST_BYTES, discard, held_small, majority_bits, map_arrow, materialize, text_or_empty
 
 SEED = 42
 #: A bucket's members are compared with each other up to this number; for more, listing the points around each is less work.
@@ -189,8 +190,10 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
+        discard(e)
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         e = materialize(small.select("x.u", "x.v").where("u <> v").distinct(), "edges")
+        discard(large)
         now = tuple(e.agg(*sign).first())
         if now == before:
             break
@@ -215,15 +218,243 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4, hot: int = HOT
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """docs without all but one document of each near-duplicate group: the one with the smallest doc_id stays, with all its columns.
+# Near copies by similarity: wide fingerprints, whose radius follows from the similarity asked for.
+
+#: Word shingles and their similarity (shared of all distinct ones) from which on documents are near copies.
+NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
+#: The share of pairs at exactly that similarity that may share no bucket.
+NEAR_MISSES = 0.05
+BLOCKS = 8
+#: A table's keys have so many bits that a bucket has this many random fingerprints at most.
+NEAR_BUCKET_BITS = 8
+#: Up to this size buckets are compared together, row by row; in larger ones reached members are dropped from the search.
+SMALL_BUCKET = 256
+#: Buckets beyond are cut into parts, and each two parts are searched in a task of their own.
+SPLIT_BUCKET = 32768
+
+
+@dataclass(frozen=True)
+class NearPlan:
+    """Fingerprints of so many words of 64 bits; a table for each choice of `chosen` of the 8 blocks of a word; links at `radius` bits or fewer."""
+
+    words: int
+    chosen: int
+    radius: int
+
+    @property
+    def masks(self) -> list[int]:
+        """Of one word; table t is mask t % len(masks) of word t // len(masks)."""
+        width = 64 // BLOCKS
+        return [sum(((1 << width) - 1) << width * b for b in blocks) for blocks in combinations(range(BLOCKS), self.chosen)]
+
+
+def near_plan(count: int, similarity: float = NEAR_SIMILARITY) -> NearPlan:
+    """The plan for `count` documents. Bits of such a pair differ with the probability angle / pi, so the radius is the expected number and a
+    standard deviation. Longer keys, which a larger table needs, are met less often; more words make up for it, whatever the count."""
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    chosen = min(BLOCKS, max(2, ceil((log2(max(count, 1)) - NEAR_BUCKET_BITS) / (64 // BLOCKS))))
+    agree = (1 - share) ** (64 // BLOCKS)
+    meets = sum(comb(BLOCKS, i) * agree**i * (1 - agree) ** (BLOCKS - i) for i in range(chosen, BLOCKS + 1))
+    words = max(3, ceil(log(NEAR_MISSES) / log(1 - meets)))
+    return NearPlan(words, chosen, int(64 * words * share + sqrt(64 * words * share * (1 - share))))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers in which each bit of the input reaches all of the output."""
+    with np.errstate(over="ignore"):
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32)
+
+
+def wide_fingerprints(texts: list[bytes], width: int, words: int = NEAR_WORDS) -> np.ndarray:
+    """(n, width) uint64: SimHash over the distinct shingles of each text; zeros for a text without words."""
+    found = []
+    for text in texts:
+        pieces = list(shingle_hashes(text, words))
+        found.append(np.unique(np.concatenate(pieces)) if pieces else np.zeros(0, dtype=np.uint64))
+    hashes = np.concatenate(found)
+    steps = np.uint64(0x9E3779B97F4A7C15) * np.arange(width, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        many = _mixed(hashes[:, None] + steps[None, :])
+    return majority_bits(many, np.array([len(f) for f in found])) if len(hashes) else np.zeros((len(texts), width), dtype=np.uint64)
+
+
+def _nodes(fps: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each wide fingerprint."""
+    name = fps[:, 0]
+    for k in range(1, fps.shape[1]):
+        name = _mixed(name) ^ fps[:, k]
+    return name.view(np.int64)
+
+
+def _close(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= radius
+
+
+def _small_links(fps: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (a, b) of spanning forests of all buckets at once; rows of a bucket stand together."""
+    left, right, d = [], [], 1
+    rows = np.flatnonzero(bucket[1:] == bucket[:-1])
+    while len(rows):
+        near = rows[_close(fps[rows], fps[rows + d], radius)]
+        left.append(near)
+        right.append(near + d)
+        d += 1
+        rows = rows[rows + d < len(bucket)]
+        rows = rows[bucket[rows] == bucket[rows + d]]
+    i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (left, right))
+    root, before = np.arange(len(fps)), None
+    while before is None or (root != before).any():
+        before = root.copy()
+        least = np.minimum(root[i], root[j])
+        np.minimum.at(root, i, least)
+        np.minimum.at(root, j, least)
+        root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    return moved, root[moved]
+
+
+def _large_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of one large bucket: a search that drops a member once it is reached."""
+    left, right, rest = [], [], np.arange(len(fps))
+    while len(rest) > 1:
+        frontier, rest = [rest[0]], rest[1:]
+        while frontier and len(rest):
+            at = frontier.pop()
+            near = _close(fps[rest], fps[at], radius)
+            if near.any():
+                left.append(np.full(near.sum(), at))
+                right.append(rest[near])
+                frontier.extend(rest[near].tolist())
+                rest = rest[~near]
+    empty = np.zeros(0, dtype=np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
+
+
+def _link_near(plan: NearPlan, most: int | None):
+    """Over rows sorted by key: edges (a, b) between names; of a bucket of over `most` rows its members instead, as (key, a, null, words)."""
+    columns = [f"w{k}" for k in range(plan.words)]
+
+    def edges(fps: np.ndarray, left: np.ndarray, right: np.ndarray):
+        names = _nodes(fps)
+        none = pa.nulls(len(left), pa.int64())
+        return pa.RecordBatch.from_arrays([none, pa.array(names[left]), pa.array(names[right]), *[none] * plan.words], ["key", "a", "b", *columns])
+
+    def crowd(key: np.ndarray, fps: np.ndarray):
+        words = [pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(plan.words)]
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(_nodes(fps)), pa.nulls(len(key), pa.int64()), *words], ["key", "a", "b", *columns])
+
+    def whole(key: np.ndarray, fps: np.ndarray):
+        """Edges of buckets that are there whole."""
+        cuts = np.flatnonzero(np.diff(key)) + 1
+        starts, ends = np.append(0, cuts), np.append(cuts, len(key))
+        large = np.flatnonzero(ends - starts > SMALL_BUCKET)
+        for g in large:
+            part = fps[starts[g] : ends[g]]
+            left, right = _large_links(part, plan.radius)
+            if len(left):
+                yield edges(part, left, right)
+        small = np.repeat(ends - starts, ends - starts) <= SMALL_BUCKET
+        if small.any():
+            part = fps[small]
+            left, right = _small_links(part, key[small], plan.radius)
+            if len(left):
+                yield edges(part, left, right)
+
+    def work(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the last key
+        size, over = 0, None
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            fps = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in columns], axis=1)
+            if over is not None:
+                n = int(np.searchsorted(key != over, True))
+                if n:
+                    yield crowd(key[:n], fps[:n])
+                key, fps = key[n:], fps[n:]
+                if not len(key):
+                    continue
+                over = None
+            last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
+            if last or (held and held[0][0][0] != key[-1]):
+                parts = [*held, (key[:last], fps[:last])]
+                yield from whole(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                held, size = [], 0
+            held.append((key[last:].copy(), fps[last:].copy()))
+            size += len(key) - last
+            if most is not None and size > most:
+                yield crowd(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                over, held, size = key[-1], [], 0
+        if held:
+            yield from whole(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    Rows without a doc_id stay (they can't be told apart); of rows that repeat a doc_id, one stays.
+    return work
+
+
+def near_links(distinct: DataFrame, plan: NearPlan, most: int = SPLIT_BUCKET) -> DataFrame:
+    """Edges (a, b) between the names of wide fingerprints, whose words are w0, w1, … of `distinct`: in each bucket they connect what pairs at
+    `radius` bits or fewer connect there."""
+    columns = [f"w{k}" for k in range(plan.words)]
+    masks = plan.masks
+    tables = distinct.select(*columns, F.explode(F.sequence(F.lit(0), F.lit(plan.words * len(masks) - 1))).alias("t"))
+    word = F.get(F.array(*columns), F.floor(F.col("t") / len(masks)).cast("int"))
+    mask = F.get(F.array(*(F.lit(_signed(m)) for m in masks)), F.col("t") % len(masks))
+    rows = tables.select(F.xxhash64("t", word.bitwiseAND(mask)).alias("key"), *columns)
+    schema = ", ".join(f"{c} long" for c in ("key", "a", "b", *columns))
+    linked = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_link_near(plan, most), schema)
+    # A pair is found in many tables: each task's own repeats go before the shuffle.
+    linked = materialize(linked, "near")
+    edges = linked.where("b is not null").select("a", "b")
+    crowded = linked.where("b is null").select("key", *columns)
+    if crowded.isEmpty():
+        return edges.distinct()
+    parts = crowded.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (most // 2)).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64(*columns, F.lit(1)), F.col("n")).cast("int")
+    each = crowded.join(parts, "key").select("key", *columns, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    each = each.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *columns)
+    more = each.repartition("key").sortWithinPartitions("key").mapInArrow(_link_near(plan, None), schema)
+    return edges.union(more.select("a", "b")).distinct()
+
+
+def near_dedup(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs without all but one document of each group of near copies; the columns stay as they are.
+
+    Documents are near copies if their wide fingerprints over shingles of `words` words differ in the plan's radius at most; groups are what such
+    pairs connect. Of a group the row with the smallest doc_id stays, of texts with one doc_id that whose xxhash64 is smallest, of rows that
+    repeat both the first by the hash of their other columns. Null and empty texts are one group. Rows without a doc_id stay and take no part.
+
+    The keys of what goes are broadcast, and no text is shuffled, while they measure broadcast_bytes at most; beyond they are joined.
     """
-    groups = near_groups(docs.select("doc_id", "text"), words, radius)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
-    keep = materialize(keep.groupBy("kept_id").agg(F.count(F.lit(1)).alias("n_rows")), "kept")
-    out = docs.join(keep, docs.doc_id == keep.kept_id, "left_semi")
-    if not keep.where("n_rows > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null"))
+    plan = near_plan(docs.count(), similarity)
+    columns = [f"w{k}" for k in range(plan.words)]
+
+    def work(batches):
+        for batch in batches:
+            fps = wide_fingerprints(batch.column("text").cast(pa.binary()).to_pylist(), plan.words, words)
+            each = [pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(plan.words)]
+            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("h"), pa.array(_nodes(fps)), *each], ["d", "h", "node", *columns])
+
+    text = text_or_empty(F.col("text"))
+    narrow = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
+    fps = materialize(map_arrow(narrow, work, ", ".join(f"{c} long" for c in ("d", "h", "node", *columns))), "wide")
+    distinct = materialize(fps.groupBy("node").agg(F.min(F.struct("d", "h")).alias("least"), *(F.first(c).alias(c) for c in columns)), "distinct")
+    roots = connected(near_links(distinct, plan)).withColumnRenamed("node", "n")
+    rooted = distinct.join(roots, distinct.node == roots.n, "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    stays = rooted.groupBy("root").agg(F.min("least").alias("stays"))
+    goes = fps.join(rooted.join(stays, "root").select("node", "stays"), "node").where(F.struct("d", "h") != F.col("stays"))
+    goes = materialize(goes.select("d", "h").distinct(), "goes")
+    keys = [docs.doc_id.cast("long"), F.xxhash64(text_or_empty(docs.text))]
+    meets = lambda other: (keys[0] == other.d) & (keys[1] == other.h)
+    small = held_small(goes, broadcast_bytes)
+    out = docs.join(F.broadcast(goes) if small else goes.hint("merge"), meets(goes), "left_anti")
+    twice = materialize(fps.groupBy("d", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d", "h"), "twice")
+    discard(fps, distinct)
+    if twice.isEmpty():
+        return out
+    held = F.broadcast(twice) if held_small(twice, broadcast_bytes) else twice.hint("merge")
+    others = [F.col(f"`{c}`") for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t]
+    order = Window.partitionBy(F.col("doc_id"), F.xxhash64(text_or_empty(F.col("text")))).orderBy(F.xxhash64(*others) if others else F.lit(0))
+    free = next(f"n{i}" for i in range(len(docs.columns) + 1) if f"n{i}" not in docs.columns)
+    first = out.join(held, meets(twice), "left_semi").withColumn(free, F.row_number().over(order)).where(f"{free} = 1").drop(free)
+    return out.join(held, meets(twice), "left_anti").unionByName(first)

@@ -7,7 +7,7 @@ from itertools import pairwise
 import pytest
 from test_decontaminate import brute as brute_leaks
 from test_linededup import brute as brute_lines
-from test_simhash_neardup import brute_groups
+from test_simhash_neardup import brute_near
 
 import corpus_pipeline
 from seqloom.llm import toxicity
@@ -69,9 +69,8 @@ def test_stages_equal_brute_force(spark, tmp_path):
     want = [(r[0], lines[r[0]][0], *r[2:4], len(lines[r[0]][0]) if lines[r[0]][1] else r[4]) for r in results[0]]
     assert any(n for _, n in lines.values()) and sorted(results[1], key=str) == sorted(want, key=str)
 
-    groups = brute_groups([r[:2] for r in results[1]])
-    kept = {d for d, _, root in groups if d is None or d == root}
-    assert len(kept) < len(results[1]) and sorted(results[2], key=str) == sorted((r for r in results[1] if r[0] in kept), key=str)
+    kept = set(brute_near([r[:2] for r in results[1]]))
+    assert len(kept) < len(results[1]) and sorted(results[2], key=str) == sorted((r for r in results[1] if (r[0], r[1] or "") in kept), key=str)
 
     leaks = {d for d, n, *_ in brute_leaks([r[:2] for r in results[2]], items) if n}
     assert leaks and sorted(results[3], key=str) == sorted((r for r in results[2] if r[0] not in leaks), key=str)
