@@ -8,18 +8,22 @@ so that one block leads, and two fingerprints within r bits agree on the leading
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from itertools import islice
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import majority_bits, map_arrow, text_or_empty
+from seqloom.llm.common import majority_bits, map_arrow, materialize, text_or_empty
 
 BITS, WORDS = 256, 4
 TERM_WORDS = 3
+#: Fingerprints that may share a leading block before the bits behind it are cut as well.
+HOT_LEAD = 1024
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 
 
@@ -67,22 +71,38 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text")), work, "doc_id long, fingerprint string")
 
 
-def search(queries: DataFrame, fingerprints: DataFrame, radius: int) -> DataFrame:
-    """(query_id, doc_id, distance): for each row of queries all rows of fingerprints (both doc_id, fingerprint) within radius bits.
+def search(queries: DataFrame, fingerprints: DataFrame, radius: int, hot: int = HOT_LEAD) -> DataFrame:
+    """(query_id, fingerprint, distance): for each row of queries (doc_id, fingerprint) the distinct fingerprints of the other table within radius bits.
 
-    Equal fingerprints are one row in the tables and are told apart at the end.
+    The documents of a fingerprint are those of the table given, so copies aren't multiplied. Null fingerprints match nothing. Where over `hot`
+    fingerprints share a leading block, the bits behind it, which differ in radius bits at most too, are cut into blocks again.
     """
-    blocks = [(BITS // 4 * i // (radius + 1), BITS // 4 * (i + 1) // (radius + 1)) for i in range(radius + 1)]  # in hexadecimal digits
-    tables = F.array(*(F.struct(F.lit(i).alias("tab"), F.substring("fingerprint", a + 1, b - a).alias("lead")) for i, (a, b) in enumerate(blocks)))
-    deal = lambda df, name: df.select("fingerprint").where("fingerprint is not null").distinct().select(F.col("fingerprint").alias(name), F.explode(tables).alias("t")).select(name, "t.*")
+    digits = BITS // 4
+    if not 0 <= radius < digits:
+        raise ValueError(f"radius {radius} isn't between 0 and {digits - 1}: each block needs a digit")
+    cut = lambda n: [(n * i // (radius + 1), n * (i + 1) // (radius + 1)) for i in range(radius + 1)]  # noqa: E731 - in hexadecimal digits
+    whole = cut(digits)
+    behind = lambda c, a, b: F.concat(F.substring(c, 1, a), F.substring(c, b + 1, digits - b))
+    tables = F.array(*(F.struct(F.lit(i).alias("tab"), F.substring("x", a + 1, b - a).alias("lead"), behind("x", a, b).alias("rest")) for i, (a, b) in enumerate(whole)))
+    deal = lambda df: df.select(F.col("fingerprint").alias("x")).where("x is not null").distinct().select("x", F.explode(tables).alias("t")).select("x", "t.*")
+    dealt = materialize(deal(fingerprints), "leads")
+    crowded = materialize(dealt.groupBy("tab", "lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("tab", "lead", F.lit(True).alias("crowded")), "crowded")
+    # Leading blocks differ by a digit in length, so what is behind them is cut by its own length.
+    lengths = sorted({digits - (b - a) for a, b in whole})
+    again = lambda n: F.array(*(F.struct(F.lit(i).alias("sub"), F.substring("rest", a + 1, b - a).alias("next")) for i, (a, b) in enumerate(cut(n))))
+    cuts = reduce(lambda c, n: F.when(F.length("rest") == n, again(n)).otherwise(c), lengths[1:], again(lengths[0]))
+    last = F.array(F.struct(F.lit(-1).alias("sub"), F.lit("").alias("next")))
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        return df.join(crowded, ["tab", "lead"], "left").select("tab", "lead", F.col("x").alias(name), F.explode(F.when(F.col("crowded"), cuts).otherwise(last)).alias("s")).select("tab", "lead", "s.*", name)
+
     part = lambda c, i: F.conv(F.substring(c, 16 * i + 1, 16), 16, -10).cast("long")
     distance = sum((F.bit_count(part("q", i).bitwiseXOR(part("f", i))) for i in range(WORDS)), F.lit(0))
-    near = deal(queries, "q").join(deal(fingerprints, "f"), ["tab", "lead"]).select("q", "f", distance.alias("distance")).where(F.col("distance") <= radius).distinct()
-    named = near.join(queries.select(F.col("doc_id").alias("query_id"), F.col("fingerprint").alias("q")), "q")
-    return named.join(fingerprints.select("doc_id", F.col("fingerprint").alias("f")), "f").select("query_id", "doc_id", "distance")
+    near = keyed(deal(queries), "q").join(keyed(dealt, "f"), ["tab", "lead", "sub", "next"]).select("q", "f", distance.alias("distance")).where(F.col("distance") <= radius).distinct()
+    return near.join(queries.select(F.col("doc_id").alias("query_id"), F.col("fingerprint").alias("q")), "q").select("query_id", F.col("f").alias("fingerprint"), "distance")
 
 
-def _buckets(ids: DataFrame, parts: int) -> list[int]:
+def _cuts(ids: DataFrame, parts: int) -> list[int]:
     """Ascending doc_ids that cut the table into about `parts` even ranges; one number for each partition comes to the driver."""
     if parts < 2:
         return []
@@ -90,6 +110,18 @@ def _buckets(ids: DataFrame, parts: int) -> list[int]:
     return sorted(set(ids.agg(F.percentile_approx("doc_id", shares, 10 * parts)).first()[0] or []))
 
 
+def _bucket(doc_id: Column, cuts: list[int]) -> Column:
+    """The range of a doc_id, descending: the largest are in 0, rows without one in the last. JVM only: a search among every k-th cut, then among k."""
+    if not cuts:
+        return F.lit(0)
+    k = min(isqrt(len(cuts)) + 1, len(cuts))
+    constant = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")  # noqa: E731 - folded to a literal
+    below = lambda values: F.size(F.filter(values, lambda c: c < doc_id))
+    group = below(constant(cuts[k - 1 :: k]))
+    at = group * k + below(F.slice(constant(cuts), group * k + 1, k))
+    return F.when(doc_id.isNull(), F.lit(len(cuts))).otherwise(F.lit(len(cuts)) - at).cast("int")
+
+
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of docs.
 
@@ -101,24 +133,16 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
     ids = narrow.select("doc_id")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = np.array(_buckets(ids, parts), dtype=np.int64)
-
-    @F.pandas_udf("int")
-    def bucket(doc_id):  # descending: the largest doc_ids are in bucket 0, rows without one in the last
-        import pandas as pd
-
-        known = doc_id.notna().to_numpy()
-        at = np.searchsorted(cuts, doc_id.fillna(0).to_numpy().astype(np.int64), side="left")
-        return pd.Series(np.where(known, len(cuts) - at, len(cuts)).astype(np.int32))
-
-    firsts = ids.groupBy(bucket("doc_id").alias("bucket")).agg(F.max("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).orderBy("bucket").collect()
+    cuts = _cuts(ids, parts)
+    bucket = _bucket(F.col("doc_id"), cuts)
+    firsts = ids.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("first")).orderBy("bucket").collect()
     if not firsts:
         return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     # Where the first row of each range is needed too: in the range before it.
     to = {firsts[i].first: firsts[i - 1].bucket for i in range(len(firsts))}
     targets = spark.createDataFrame(list(to.items()), "first long, bucket int")
     guests = narrow.join(F.broadcast(targets), F.col("doc_id").eqNullSafe(F.col("first"))).select("bucket", F.lit(True).alias("guest"), "doc_id", "text")
-    rows = narrow.select(bucket("doc_id").alias("bucket"), F.lit(False).alias("guest"), "doc_id", "text").union(guests)
+    rows = narrow.select(bucket.alias("bucket"), F.lit(False).alias("guest"), "doc_id", "text").union(guests)
     dealt = rows.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("guest", F.col("doc_id").desc_nulls_last(), "text")
 
     def result(pairs: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
