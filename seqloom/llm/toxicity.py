@@ -7,7 +7,9 @@
 3. Restored words and word stems are weighed by how much more often they occur in documents labelled toxic. A document's evidence is the largest
    weights of its distinct words; logistic regression makes it a probability.
 
-Labels are learned from at most TRAIN_ROWS labelled rows, chosen by a hash; counts of the character model cover all documents.
+Labels are learned from at most about TRAIN_ROWS labelled rows, chosen by a hash, which also bounds the lexicon; counts of the character model
+cover all documents. The model knows Latin letters: other scripts are no letters to it, so they are neither restored nor look-alikes of Latin
+ones, and their words weigh as they are written.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import crc32_mod, map_arrow, materialize, text_or_empty
 
 TRAIN_ROWS = 200_000
-LEXICON_ROWS = 50_000
 STEMS = (3, 4, 5, 6)
 #: A word or stem needs so many toxic training documents, and a weight of so much.
 MIN_DOCS, MIN_WEIGHT = 2, 1.0
 #: Words that a few toxic documents share by chance weigh hardly more.
 DOUBT = 2.0
+#: A document's k-th weight counts with this to the power of k - 2, so that long texts don't gather evidence from many small ones.
+FADE = 0.85
 THRESHOLD = 0.7
 CACHE_TOKENS = 400_000
 #: Longer tokens are decoded each time, so that the cache of spellings stays small.
@@ -184,21 +187,38 @@ def stems(word: str) -> list[str]:
     return [word, *(f"{word[:k]}-" for k in STEMS if len(word) > k)] if len(word) >= 3 else []
 
 
-def features(text: str, restore: Restorer) -> set[str]:
-    found = set()
-    for token in set(text.split()):
-        for words in restore.groups(token):
-            for word in words:
+class Features:
+    """The words and stems of texts; those of a token are cached."""
+
+    def __init__(self, restore: Restorer):
+        self.restore = restore
+        self.cache: dict[str, tuple[str, ...]] = {}
+
+    def __call__(self, text: str) -> set[str]:
+        cache, tokens = self.cache, set(text.split())
+        if len(cache) > CACHE_TOKENS:
+            cache.clear()
+        for t in tokens.difference(cache):
+            cache[t] = tuple({s for words in self.restore.groups(t) for word in words for s in stems(word)})
+        found = set().union(*map(cache.__getitem__, tokens))
+        if any(len(t) == 1 for t in tokens):
+            for word in self.restore.spaced(text):
                 found.update(stems(word))
-    for word in restore.spaced(text):
-        found.update(stems(word))
-    return found
+        return found
 
 
 def evidence(weights: list[float], distinct: int) -> tuple[float, float, float]:
-    """The largest weight, what the next nine have over DOUBT, and how many tokens there were for a word to be found by chance."""
-    weights = sorted(weights, reverse=True)[:10]
-    return (weights[0], sum(max(0.0, w - DOUBT) for w in weights[1:]), float(np.log1p(distinct))) if weights else (0.0, 0.0, 0.0)
+    """The largest weight, what the others have over DOUBT, each fading by its rank, and how many tokens there were for a word to be found by chance."""
+    if not weights:
+        return (0.0, 0.0, 0.0)
+    first, *others = sorted(weights, reverse=True)
+    rest, factor = 0.0, 1.0
+    for w in others:
+        if w <= DOUBT:
+            break
+        rest += factor * (w - DOUBT)
+        factor *= FADE
+    return (first, rest, float(np.log1p(distinct)))
 
 
 _NOTHING: list = []
@@ -207,8 +227,8 @@ _NOTHING: list = []
 class Scorer:
     """Scores texts; what a token contributes is cached."""
 
-    def __init__(self, log_p: np.ndarray, lexicon: dict[str, float], beta: np.ndarray):
-        self.restore, self.lexicon, self.beta = Restorer(log_p), lexicon, beta
+    def __init__(self, restore: Restorer, lexicon: dict[str, float], beta: np.ndarray | None = None):
+        self.restore, self.lexicon, self.beta = restore, lexicon, beta
         self.cache: dict[str, list[tuple[float, str]]] = {}
 
     def _best(self, words: list[str]) -> tuple[float, str] | None:
@@ -270,12 +290,12 @@ def fit(docs: DataFrame, labels: DataFrame, log_p: np.ndarray, train_rows: int =
     held = spark.sparkContext.broadcast(log_p)
 
     def count(batches):
-        restore, table, seen = Restorer(held.value), defaultdict(lambda: [0, 0]), [0, 0]
+        features, table, seen = Features(Restorer(held.value)), defaultdict(lambda: [0, 0]), [0, 0]
         rows = lambda t: pa.RecordBatch.from_arrays([pa.array(list(t)), pa.array([v[1] for v in t.values()], pa.int64()), pa.array([v[0] for v in t.values()], pa.int64())], ["feature", "toxic", "clean"])
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 seen[y] += 1
-                for f in features(text, restore):
+                for f in features(text):
                     table[f][y] += 1
             if len(table) > 500_000:
                 yield rows(table)
@@ -291,7 +311,8 @@ def fit(docs: DataFrame, labels: DataFrame, log_p: np.ndarray, train_rows: int =
         share = (n_toxic + 0.5) / (n_toxic + n_clean + 1) if n_toxic + n_clean else 0.0
         return {}, np.array([np.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0, 0.0])
     ratio = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 1.0) / (n_clean + 2))
-    rows = counted.where("feature <> ''").withColumn("w", ratio).where(f"w >= {MIN_WEIGHT}").orderBy(F.desc("w"), "feature").limit(LEXICON_ROWS).collect()
+    # All of them: how many there are is bounded by the labelled rows.
+    rows = counted.where("feature <> ''").withColumn("w", ratio).where(f"w >= {MIN_WEIGHT}").collect()
     table = {r.feature: (r.toxic, r.clean) for r in rows}
     lexicon = {r.feature: r.w for r in rows}
     held_table = spark.sparkContext.broadcast((log_p, table))
@@ -300,19 +321,15 @@ def fit(docs: DataFrame, labels: DataFrame, log_p: np.ndarray, train_rows: int =
         """Evidence of the training rows with their own share of the counts taken out, as for a document not seen."""
         lp, table = held_table.value
         restore = Restorer(lp)
+        without = [{f: w for f, c in table.items() if (w := _left(c, y, n_toxic, n_clean)) >= MIN_WEIGHT} for y in (0, 1)]
+        scorers = [Scorer(restore, lexicon) for lexicon in without]
         for batch in batches:
-            out = []
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                found = []
-                distinct = set(text.split())
-                for token_words in [*(g for t in distinct for g in restore.groups(t)), *([w] for w in restore.spaced(text))]:
-                    best = max(((_left(table[s], y, n_toxic, n_clean), s) for word in token_words for s in stems(word) if s in table), default=None)
-                    if best and best[0] >= MIN_WEIGHT:
-                        found.append((best[1], best[0]))
-                out.append((*evidence(list(dict(found).values()), len(distinct)), y))
+            out = [(*scorers[y].evidence(text), y) for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             e = np.array(out, dtype=np.float64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, i]) for i in range(4)], ["first", "rest", "size", "y"])
 
+    if n_toxic + n_clean > 1.2 * train_rows:  # documents repeat labelled ids: their evidence comes to the driver, so it is kept to the same bound
+        train = train.where(F.pmod(F.xxhash64("text", F.lit(8)), F.lit(1 << 30)) < int((1 << 30) * train_rows / (n_toxic + n_clean)))
     e = np.array([tuple(r) for r in map_arrow(train, left_out, "first double, rest double, size double, y double").collect()]).reshape(-1, 4)
     beta = logistic(e[:, :3], e[:, 3])
     beta[1:3] = np.maximum(beta[1:3], 0)
@@ -333,6 +350,11 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1):
     return docs.sparkSession.sparkContext.broadcast((log_p, *fit(narrow, materialize(known, "labels"), log_p)))
 
 
+def _scorer(model: tuple[np.ndarray, dict[str, float], np.ndarray]) -> Scorer:
+    log_p, lexicon, beta = model
+    return Scorer(Restorer(log_p), lexicon, beta)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted): one row per row of docs.
 
@@ -342,7 +364,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int
     model = train(docs, labels, fold, held)
 
     def work(batches):
-        scorer = Scorer(*model.value)
+        scorer = _scorer(model.value)
         for batch in batches:
             s = scorer.score(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], ["doc_id", "score"])
@@ -358,7 +380,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     model = train(docs, labels)
 
     def work(batches):
-        scorer = Scorer(*model.value)
+        scorer = _scorer(model.value)
         for batch in batches:
             yield batch.filter(pa.array(scorer.score([t or "" for t in batch.column("text").to_pylist()]) < threshold))
 

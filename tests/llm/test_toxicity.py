@@ -160,6 +160,66 @@ def test_scores(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(d for d, _ in rows if d is not None and d not in gone)
 
 
+def brute_counts(rows):
+    code = lambda c: 27 if "À" <= c <= "ÿ" and c not in "×÷" else ord(c) - 96 if "a" <= c <= "z" else 0
+    n = np.zeros((28, 28, 28))
+    for _, t in rows:
+        x = [0, 0, *(code(c) for c in (t or "").lower()), 0, 0]
+        for a, b, c in zip(x, x[1:], x[2:], strict=False):
+            if a or b or c:
+                n[a, b, c] += 1
+    return n
+
+
+def test_whole_query_equals_brute_force(spark):
+    """In plain Python: counts, lexicon, evidence with each row's own counts taken out, the likeliest coefficients, scores. Spellings are decoded by
+    the operator, whose decoding is held against all spellings above."""
+    rows, labels = corpus(240)
+    rows += [(500, None), (501, "s t u f f with v.a.s.k.u.l.l"), (502, " ".join(BAD) * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.score for r in op.score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    counts = {r.gram: r.n for r in op.char_counts(docs).collect()}
+    want_counts = brute_counts(rows).ravel()
+    assert all(counts.get(g, 0) == want_counts[g] for g in range(1, 28**3))
+    restore = op.Restorer(op.language_model(op.char_counts(docs)))
+
+    def groups(text):
+        tokens = set((text or "").split())
+        return [words for t in tokens for words in [restore.words(t), *([w] for w in restore.chained(t))]] + [[w] for w in restore.spaced(text or "")], len(tokens)
+
+    learned = {d: y for d, y in labels if zlib.crc32(str(d).encode()) % 3 != 1}
+    found = {d: groups(t) for d, t in rows}
+    has = {d: {s for words in g for w in words for s in op.stems(w)} for d, (g, _) in found.items()}
+    toxic, clean = Counter(), Counter()
+    for d, y in learned.items():
+        (toxic if y else clean).update(has[d])
+    n_toxic, n_clean = sum(learned.values()), len(learned) - sum(learned.values())
+
+    def evidence(d, own=None):
+        best = {}
+        for words in found[d][0]:
+            options = []
+            for s in {s for w in words for s in op.stems(w)}:
+                t, c = toxic[s] - (own == 1), clean[s] - (own == 0)
+                w = np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 1.0) / (n_clean + 2))
+                if t >= op.MIN_DOCS and toxic[s] >= op.MIN_DOCS and w >= op.MIN_WEIGHT and (own is None or np.log((toxic[s] + 0.5) / (n_toxic + 1)) - np.log((clean[s] + 1.0) / (n_clean + 2)) >= op.MIN_WEIGHT):
+                    options.append((w, s))
+            if options:
+                w, s = max(options)
+                best[s] = w
+        w = sorted(best.values(), reverse=True)
+        return (w[0], sum(op.FADE**k * max(0, x - op.DOUBT) for k, x in enumerate(w[1:])), np.log1p(found[d][1])) if w else (0, 0, 0)
+
+    x = np.array([evidence(d, y) for d, y in learned.items()])
+    beta = op.logistic(x, np.array(list(learned.values()), dtype=float))
+    y = np.array(list(learned.values()), dtype=float)
+    p = 1 / (1 + np.exp(-(beta[0] + x @ beta[1:])))
+    assert np.allclose(x.T @ (y - p), 0.01 * beta[1:], atol=1e-4)  # no better coefficients: the gradient is the penalty's
+    beta[1:3] = np.maximum(beta[1:3], 0)
+    want = {d: 1 / (1 + np.exp(-np.clip(beta[0] + np.dot(evidence(d), beta[1:]), -30, 30))) for d, _ in rows}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
 def test_held_out_labels_are_not_read(spark):
     rows, labels = corpus(300)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
