@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import materialize, text_or_empty
+from seqloom.llm.common import BROADCAST_BYTES, materialize, text_or_empty
 
 WINDOW = 3
 #: Two seeds: equal windows are taken to be equal where both 64-bit hashes are.
@@ -45,21 +45,25 @@ def covered_positions(docs: DataFrame) -> DataFrame:
     return later.select("d", "h", F.explode("p").alias("p")).groupBy("d", "h").agg(F.collect_set("p").alias("covered"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with text reduced to the lines that stay and `removed_lines` added; every row and other column is kept.
+def dedup_lines(docs: DataFrame, counted: str = "removed_lines", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs with text reduced to the lines that stay and a column `counted` of how many went; every row and other column is kept.
 
     Documents of fewer than three lines with content have no window and stay whole; so do the blank lines between. A document whose lines are
-    all covered keeps its row with an empty text; a null text stays null. Rows that repeat a doc_id and text count as one document.
+    all covered keeps its row with an empty text; a null text stays null. Rows that repeat a doc_id and text count as one document. A column of
+    docs that has the name of `counted` is replaced.
+
+    The covered positions are broadcast, and no text is shuffled, while they measure broadcast_bytes at most; beyond they are joined by a merge.
     """
-    # A merge join at every size: a small table would be broadcast and a larger one not.
-    covered = materialize(covered_positions(docs), "covered").hint("merge")
+    covered = materialize(covered_positions(docs), "covered")
+    measured = covered.agg(F.sum(F.lit(64) + 4 * F.size("covered"))).first()[0] or 0
+    covered = F.broadcast(covered) if measured <= broadcast_bytes else covered.hint("merge")
     text = text_or_empty(docs.text)
     joined = docs.join(covered, docs.doc_id.cast("long").eqNullSafe(covered.d) & (F.xxhash64(text) == covered.h), "left")
     lines = F.split(text, "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered.covered)
     reduced = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    columns = [F.when(covered.covered.isNull(), docs.text).otherwise(reduced).alias("text") if c == "text" else docs[c] for c in docs.columns]
-    return joined.select(*columns, F.coalesce(F.size(covered.covered), F.lit(0)).cast("long").alias("removed_lines"))
+    columns = [F.when(covered.covered.isNull(), docs.text).otherwise(reduced).alias("text") if c == "text" else docs[c] for c in docs.columns if c != counted]
+    return joined.select(*columns, F.coalesce(F.size(covered.covered), F.lit(0)).cast("long").alias(counted))
 
 
 def line_count(text: Column) -> Column:

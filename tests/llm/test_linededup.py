@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from seqloom.llm import linededup as op
 
 
@@ -25,13 +27,22 @@ def corpus():
     return rows
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("limit", [op.BROADCAST_BYTES, 0])
+def test_equals_brute_force(spark, limit):
     docs = spark.createDataFrame([(d, t, "p", "q") for d, t in corpus()], "doc_id long, text string, covered string, h string")
-    out = op.dedup_lines(docs)
+    out = op.dedup_lines(docs, broadcast_bytes=limit)
     assert out.columns == [*docs.columns, "removed_lines"]
     assert {r.doc_id: (r.text, r.removed_lines) for r in out.collect()} == brute(corpus())
 
 
+def test_a_given_count_is_replaced(spark):
+    docs = spark.createDataFrame([(1, "x", "a\nb\nc"), (2, "y", "a\nb\nc")], "doc_id long, removed_lines string, text string")
+    out = op.dedup_lines(docs)
+    assert out.columns == ["doc_id", "text", "removed_lines"] and sorted(map(tuple, out.collect())) == [(1, "a\nb\nc", 0), (2, "", 3)]
+    named = op.dedup_lines(docs, "n_gone")
+    assert sorted(map(tuple, named.collect())) == [(1, "x", "a\nb\nc", 0), (2, "y", "", 3)]
+
+
 def test_rows_that_repeat_a_doc_id(spark):
     text = "a\nb\nc"
     docs = spark.createDataFrame([(1, text), (1, text), (1, "z\n" + text), (2, text)], "doc_id long, text string")
