@@ -82,6 +82,17 @@ def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, schema)
 
 
+_HELD: list[tuple[tuple, object]] = []
+
+
+def one_a_worker(key: tuple, make: Callable[[], object]):
+    """What make() gives, kept by a worker for its later tasks. A worker keeps one such object: another key's takes its place."""
+    if not _HELD or _HELD[0][0] != key:
+        _HELD.clear()
+        _HELD.append((key, make()))
+    return _HELD[0][1]
+
+
 def majority_bits(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """For each row the words whose bits are set in over half of the row's hashes.
 

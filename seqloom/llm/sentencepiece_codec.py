@@ -18,14 +18,13 @@ import re
 import struct
 from array import array
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import map_arrow, text_or_empty
+from seqloom.llm.common import map_arrow, one_a_worker, text_or_empty
 
 MARK = "▁"
 #: Words in the younger half of a worker's cache; pairs of pieces.
@@ -305,10 +304,9 @@ class Codec:
         return text[1:] if model.dummy_prefix and text.startswith(" ") else text
 
 
-@lru_cache(2)
 def _codec(path: str) -> Codec:
     """One to a worker: its cache serves the worker's later tasks too."""
-    return Codec(read_model(path))
+    return one_a_worker(("pieces", path), lambda: Codec(read_model(path)))
 
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
