@@ -2,25 +2,33 @@
 
 Documents and benchmark items meet in seeds of MIN_MATCH shared tokens. For each such pair the longest match of tokens that aren't marked yet is
 found by Karp-Rabin hashes and marked in both, again and again, until no match of MIN_MATCH tokens is left. An item counts as leaked into a
-document if the tiles cover a threshold of its tokens, in whatever order they stand.
+document if the tiles cover a threshold of its tokens, in whatever order they stand. An item of fewer tokens than a seed is a seed of its own
+length: it leaked where all its tokens stand together.
+
+Tokens are runs of letters, digits and underscores: text without breaks between words, as in Chinese, is one token up to the next sign, and
+meets only the same run.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import map_arrow, materialize, small_rows, text_or_empty
+from seqloom.llm.common import map_arrow, materialize, one_a_worker, small_rows, text_or_empty
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
 #: A benchmark of so many bytes is held by every worker, whose index takes some ten times that.
 HELD_BYTES = 16 << 20
+#: Beyond it, so many items are tiled with a document at once.
+ITEMS_AT_ONCE = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"\w+")
 
@@ -99,14 +107,18 @@ def tiled(item: np.ndarray, doc: np.ndarray, least: int = MIN_MATCH) -> int:
 
 
 class Items:
-    """Benchmark items by seed. An item of fewer tokens than a seed has none and is never reported."""
+    """Benchmark items by seed. Items of fewer tokens are held by their length and hash. An item without tokens is never reported."""
 
     def __init__(self, rows: list[tuple[int, str]], least: int = MIN_MATCH):
         self.least, self.vocabulary = least, {}
         self.items, seeds, owners, places = [], [], [], []
+        self.short: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = {}
         for item_id, text in rows:
             ids = np.array([self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in tokens(text or "")], dtype=np.uint64)
             if len(ids) < least:
+                if len(ids):
+                    with np.errstate(over="ignore"):
+                        self.short.setdefault(len(ids), {}).setdefault(int(rolling(ids, len(ids))[0]), []).append((item_id, ids))
                 continue
             with np.errstate(over="ignore"):
                 h = rolling(ids, least)
@@ -123,10 +135,22 @@ class Items:
     def match(self, text: str, threshold: float) -> list[tuple[int, float]]:
         """(item_id, coverage) of the items that tiles cover to the threshold."""
         words = tokens(text)
-        if len(words) < self.least or not len(self.distinct):
-            return []
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in words), dtype=np.uint64, count=len(words))
+        return [*self._match_short(ids), *self._match_seeds(ids, threshold)]
+
+    def _match_short(self, ids: np.ndarray) -> list[tuple[int, float]]:
+        found = []
+        for length, held in self.short.items():
+            with np.errstate(over="ignore"):
+                h = rolling(ids, length)
+            for at in np.flatnonzero(np.isin(h, np.fromiter(held, dtype=np.uint64, count=len(held)))):
+                found += [(item_id, 1.0) for item_id, item in held[int(h[at])] if (item == ids[at : at + length]).all()]
+        return list(dict.fromkeys(found))
+
+    def _match_seeds(self, ids: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+        if len(ids) < self.least or not len(self.distinct):
+            return []
         starts = _open_windows(ids == 0, self.least)
         if not len(starts):
             return []
@@ -167,35 +191,51 @@ def _columns(batch, found: list[list[tuple[int, float]]], keys: list[str]) -> pa
 
 
 def _by_join(docs: DataFrame, items: DataFrame, least: int, threshold: float) -> DataFrame:
-    """For a benchmark that is too large for every worker: seeds meet in a join, then only the pairs that share one are tiled."""
+    """For a benchmark that is too large for every worker: seeds meet in a join, then the pairs that can reach the threshold are tiled.
+
+    Tiles that cover a share of an item take so many of its seeds; leaving out one less, the most frequent in the benchmark, a document that
+    reaches the threshold still has one of the rest. So a seed that many items share doesn't join them all with every document.
+    """
+
+    def seeds(key: str, lengths: list[int]):
+        """Each seed of a text: its hash, its number of places there, the text's tokens. With lengths all seeds of these, else the text's own."""
 
-    def seeds(key: str):
         def work(batches):
             for batch in batches:
                 for k, text in zip(batch.column(key).to_pylist(), batch.column("text").to_pylist(), strict=True):
                     w = tokens(text)
-                    h = {xxhash.xxh64_intdigest(" ".join(w[i : i + least])) - (1 << 63) for i in range(len(w) - least + 1)}
-                    if h:
-                        yield pa.RecordBatch.from_arrays([pa.array([k] * len(h), pa.int64()), pa.array(list(h), pa.int64())], [key, "seed"])
+                    found = Counter(xxhash.xxh64_intdigest(" ".join(w[i : i + n])) - (1 << 63) for n in lengths or [min(least, len(w))] if n for i in range(len(w) - n + 1))
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int64()), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64()), pa.array([len(w)] * len(found), pa.int64())], [key, "seed", "places", "size"])
 
         return work
 
     def tile(batches):
         for batch in batches:
-            found = [Items([(i, b)], least).match(t, threshold) for i, b, t in zip(batch.column("item").to_pylist(), batch.column("item_text").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            found = [Items([(i["item"], i["item_text"]) for i in chosen], least).match(t, threshold) for chosen, t in zip(batch.column("chosen").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             yield _columns(batch, found, ["h", "n"])
 
-    texts = docs.select(F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("n"), "text").dropDuplicates(["h", "n"])
+    keyed = docs.select(F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("n"), "text")
     named = items.select(F.col("item_id").alias("item"), F.col("text").alias("item_text"))
-    left = map_arrow(texts.select(F.col("h").alias("k"), "text"), seeds("k"), "k long, seed long")
-    right = map_arrow(items.select(F.col("item_id").alias("item"), "text"), seeds("item"), "item long, seed long")
-    pairs = left.join(right, "seed").select(F.col("k").alias("h"), "item").distinct()
-    both = pairs.join(texts, "h").join(named, "item").select("h", "n", "text", "item", "item_text")
-    tiles = map_arrow(both, tile, "h long, n long, n_items long, item_id long, coverage double").where("n_items > 0")
+    right = materialize(map_arrow(items.select(F.col("item_id").alias("item"), "text"), seeds("item", []), "item long, seed long, places long, size long"), "item-seeds")
+    lengths = [r.n for r in right.select(F.least(F.lit(least), "size").alias("n")).distinct().collect()]  # `least` different ones at most
+    if not lengths:
+        return docs.select("doc_id", F.xxhash64("text").alias("h"), F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("double").alias("coverage"))
+    needed = F.greatest(F.lit(1), F.ceil(F.col("size") * threshold / least))
+    often = right.groupBy("seed").agg(F.count(F.lit(1)).alias("n_owners"))
+    spared = F.sum("places").over(Window.partitionBy("item").orderBy(F.desc("n_owners"), "seed").rowsBetween(Window.unboundedPreceding, 0))
+    rare = right.join(often, "seed").withColumn("spared", spared).where(F.col("spared") > needed - 1).select("item", "seed")
+    left = map_arrow(keyed.select(F.col("h").alias("k"), "text"), seeds("k", lengths), "k long, seed long, places long, size long").select("k", "seed")
+    pairs = left.join(rare, "seed").select(F.col("k").alias("h"), "item").distinct().join(named, "item")
+    # A document's items in parts of some, so that no row grows with the benchmark; its text comes once for each.
+    part = (F.sum(F.lit(1)).over(Window.partitionBy("h").orderBy("item").rowsBetween(Window.unboundedPreceding, 0)) / ITEMS_AT_ONCE).cast("long")
+    chosen = pairs.withColumn("part", part).groupBy("h", "part").agg(F.collect_list(F.struct("item", "item_text")).alias("chosen"))
+    chosen = materialize(chosen, "candidates")
+    texts = keyed.join(chosen.select("h").distinct(), "h", "left_semi").dropDuplicates(["h", "n"])
+    tiles = map_arrow(texts.join(chosen, "h").select("h", "n", "text", "chosen"), tile, "h long, n long, n_items long, item_id long, coverage double").where("n_items > 0")
     best = F.min(F.struct((-F.col("coverage")).alias("c"), "item_id")).alias("best")
     summed = tiles.groupBy("h", "n").agg(F.sum("n_items").alias("n_items"), best)
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("n"))
-    out = keyed.join(summed, ["h", "n"], "left")
+    out = docs.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("n")).join(summed, ["h", "n"], "left")
     return out.select("doc_id", "h", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.col("best.item_id").alias("item_id"), (-F.col("best.c")).alias("coverage"))
 
 
@@ -214,8 +254,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
     """(doc_id, h, n_items, item_id, coverage): one row per row of docs.
 
     n_items: benchmark items whose tokens are covered to the threshold. item_id and coverage: of the most covered one (ties: the smallest id), null
-    if there is none. h is xxhash64 of the text. Null and empty texts match nothing; items without an id or of fewer than `least` tokens are not
-    used; repeated rows give repeated results. The benchmark is held by every worker if its measured size is within held_bytes, else joined.
+    if there is none. h is xxhash64 of the text. Null and empty texts match nothing; items without an id or without tokens are not used; of rows
+    that repeat an item_id the greatest text counts; repeated rows give repeated results. The benchmark is held by every worker if its measured size is within held_bytes, else joined.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
     items = _usable(benchmark)
@@ -223,8 +263,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
     if held is None:
         return _by_join(narrow, items, least, threshold)
 
+    run = uuid4().hex
+
     def work(batches):
-        index = Items(held.value, least)
+        index = one_a_worker(("benchmark", run), lambda: Items(held.value, least))
         for batch in batches:
             yield _columns(batch, [index.match(t, threshold) for t in batch.column("text").to_pylist()], ["doc_id", "h"])
 
@@ -242,8 +284,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
         found = materialize(found, "leaks")
         return docs.join(found, docs.doc_id.cast("long").eqNullSafe(found.doc_id) & (F.xxhash64(text_or_empty(docs.text)) == found.h), "left_anti")
 
+    run = uuid4().hex
+
     def work(batches):
-        index = Items(held.value, least)
+        index = one_a_worker(("benchmark", run), lambda: Items(held.value, least))
         for batch in batches:
             yield batch.filter(pa.array([not index.match(t or "", threshold) for t in batch.column("text").to_pylist()], pa.bool_()))
 

@@ -25,7 +25,7 @@ def brute(docs, items, least=op.MIN_MATCH, threshold=op.THRESHOLD):
         words, found = op.tokens(t or ""), []
         for i, text in items:
             w = op.tokens(text or "")
-            if i is not None and len(w) >= least and (share := brute_cover(w, words, least) / len(w)) >= threshold:
+            if i is not None and w and (share := brute_cover(w, words, min(least, len(w))) / len(w)) >= threshold:
                 found.append((-share, i))
         share, i = min(found, default=(None, None))
         out.append((d, len(found), i, share and -share))
@@ -63,6 +63,28 @@ def test_equals_brute_force(spark, held_bytes):
     assert sorted(map(tuple, got.select("doc_id", "n_items", "item_id", "coverage").collect()), key=str) == brute(docs, items)
 
 
+@pytest.mark.parametrize("held_bytes", [op.HELD_BYTES, 0])
+def test_short_items_and_a_seed_that_all_share(spark, held_bytes):
+    """Items of one to four tokens are found where they stand whole; a passage of every item and document joins none that don't leak."""
+    rng = random.Random(5)
+    words = lambda k: " ".join(f"x{rng.randrange(10**6)}" for _ in range(k))
+    common = "every item has these words"
+    items = [(i, f"{common} {words(25)}") for i in range(30)] + [(100, "lone"), (101, "two words"), (102, "A, b; c d"), (103, "...")]
+    docs = [(i, f"{words(20)} {common} {words(20)}") for i in range(40)]
+    docs += [(50, f"{items[3][1]} {words(5)}"), (51, "quite lone here"), (52, "words two words"), (53, "two other words"), (54, "a b c e a b c d"), (55, items[4][1] + " two words")]
+    got = op.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), held_bytes=held_bytes)
+    assert sorted(map(tuple, got.select("doc_id", "n_items", "item_id", "coverage").collect()), key=str) == brute(docs, items)
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.9, 1.0])
+def test_join_by_rare_seeds_equals_brute_force(spark, threshold):
+    docs, items = corpus(50, seed=8)
+    items += [(70, "r s " * 12), (71, "q " * 20 + "end of it all here")]
+    docs += [(200, "r s " * 9), (201, "q " * 11), (202, "end of it all here")]
+    got = op.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), threshold=threshold, held_bytes=0)
+    assert sorted(map(tuple, got.select("doc_id", "n_items", "item_id", "coverage").collect()), key=str) == brute(docs, items, threshold=threshold)
+
+
 def test_tiles_equal_brute_force():
     rng = random.Random(9)
     for _ in range(150):
