@@ -12,7 +12,8 @@ A shard holds documents in ascending key order:
 
 Keys sort as bytes: 00 for a missing doc_id, else 01 and the doc_id as a big-endian integer with its sign bit flipped. Spark's text writer
 writes the pieces (it copies a string's bytes as they are and ends each with a newline), so shards go to any file system that Spark knows,
-through its commit protocol: a lost executor's shard is written again and never seen half.
+through its commit protocol: a lost executor's shard is written again and never seen half. A shard holds SHARD_BLOCKS blocks at most, and a
+block ends with the document that fills it, so a file's size is bounded by that of its largest documents, whatever the table's.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ import json
 import os
 import re
 import struct
-from bisect import bisect_right
-from collections.abc import Iterator
-from functools import lru_cache
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +34,19 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import map_arrow, materialize, scratch, text_or_empty
+from seqloom.llm.common import map_arrow, materialize, one_a_worker, scratch, text_or_empty
+from seqloom.storage import list_files, read_bytes
 
 MAGIC = b"SLT1"
 FOOTER = struct.Struct("<QQQQQQB4s")
 BLOCK_BYTES = 256 << 10
+#: Blocks of a shard: some 64 MB. Three more pieces end it.
+SHARD_BLOCKS = 253
 #: Cached encodings of a worker; beyond that it begins anew.
 CACHE_CHUNKS = 400_000
 CACHE_WORDS = 1_000_000
+#: Task and file within the task, in a part file's name: their order is that of the keys.
+FILE_ORDER = r"part-(\d+)-[^/]*-c(\d+)[^/]*$"
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 
 
@@ -129,17 +135,17 @@ class ShardWriter:
 
 
 class Shard:
-    """Reads a shard's bytes: in key order, or by key through filter, index and one block."""
+    """Reads a shard: in key order, or by key through filter, index and one block. read(at, n) gives its bytes: only what is asked for is read."""
 
-    def __init__(self, data: bytes):
-        self.data = data
-        bloom_at, bloom_len, index_at, index_len, self.docs, self.ids, self.width, magic = FOOTER.unpack(data[-1 - FOOTER.size : -1])
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        self.read = read
+        bloom_at, bloom_len, index_at, index_len, self.docs, self.ids, self.width, magic = FOOTER.unpack(read(size - 1 - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        self.bloom_size = struct.unpack_from("<Q", data, bloom_at)[0]
-        self.bloom = data[bloom_at + 8 : bloom_at + bloom_len]
-        self.index, at = [], index_at
-        while at < index_at + index_len:
+        self._bloom_place = (bloom_at, bloom_len)
+        data, at = read(index_at, index_len), 0
+        self.index: list[tuple[bytes, int, int, int, int]] = []
+        while at < len(data):
             n, at = _read_varint(data, at)
             key, at = data[at : at + n], at + n
             rest = []
@@ -147,13 +153,23 @@ class Shard:
                 v, at = _read_varint(data, at)
                 rest.append(v)
             self.index.append((key, *rest))
+        self.first_keys = [entry[0] for entry in self.index]
+
+    @classmethod
+    def of_bytes(cls, data: bytes) -> Shard:
+        return cls(lambda at, n: data[at : at + n], len(data))
+
+    @cached_property
+    def bloom(self) -> tuple[int, bytes]:
+        data = self.read(*self._bloom_place)
+        return struct.unpack_from("<Q", data)[0], data[8:]
 
     def _ids(self, value: bytes) -> np.ndarray:
         return np.frombuffer(value, dtype=f"<u{self.width}").astype("<u4")
 
     def block(self, n: int) -> Iterator[tuple[bytes, np.ndarray]]:
         _, at, length, _, _ = self.index[n]
-        packed = self.data[at : at + length]
+        packed = self.read(at, length)
         if binascii.crc32(packed[:-4]) != struct.unpack("<I", packed[-4:])[0]:
             raise ValueError(f"block {n} is damaged")
         data = zstandard.ZstdDecompressor().decompress(packed[:-4])
@@ -171,11 +187,59 @@ class Shard:
             yield from self.block(n)
 
     def get(self, doc_id: int | None) -> np.ndarray | None:
+        """The ids of the first document with that doc_id."""
         key = to_key(doc_id)
-        if not all(self.bloom[b >> 3] >> (b & 7) & 1 for b in _bloom_bits(key, self.bloom_size)):
+        size, bits = self.bloom
+        if not all(bits[b >> 3] >> (b & 7) & 1 for b in _bloom_bits(key, size)):
             return None
-        n = bisect_right([entry[0] for entry in self.index], key) - 1
-        return next((ids for k, ids in self.block(n) if k == key), None) if n >= 0 else None
+        # Blocks that begin with the key itself may follow the one in which it begins.
+        n = max(0, bisect_left(self.first_keys, key) - 1)
+        while n < len(self.index) and self.first_keys[n] <= key:
+            for k, ids in self.block(n):
+                if k == key:
+                    return ids
+            n += 1
+        return None
+
+
+class Shards:
+    """Look-ups in a folder of shards from the driver: a search among the files, then footer, index, filter and block of one, each read by its range."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        order = lambda found: tuple(map(int, re.search(FILE_ORDER, found[0]).groups()))
+        self.files = sorted(((f, n) for f, n in list_files(spark, [path]) if n), key=order)
+        self._opened: dict[int, Shard] = {}
+
+    def _shard(self, i: int) -> Shard:
+        if i not in self._opened:
+            file, size = self.files[i]
+            self._opened[i] = Shard(lambda at, n: read_bytes(self.spark, file, at, n), size)
+        return self._opened[i]
+
+    def get(self, doc_id: int | None) -> np.ndarray | None:
+        key = to_key(doc_id)
+        i = max(0, bisect_left(range(len(self.files)), key, key=lambda i: self._shard(i).first_keys[0]) - 1)
+        while i < len(self.files) and self._shard(i).first_keys[0] <= key:
+            if (ids := self._shard(i).get(doc_id)) is not None:
+                return ids
+            i += 1
+        return None
+
+
+def drops_white_space(settings: dict) -> bool:
+    """Whether a tokenizer file, whose parts are named so, splits texts at white space and words from signs before anything else, so that chunks between
+    white space can be encoded alone: it makes white space one space, lower-cases, and takes only runs of letters, digits and other signs."""
+    normalizer, pre = settings.get("normalizer") or {}, settings.get("pre_tokenizer") or {}
+    steps = [n.get("type") for n in normalizer.get("normalizers", [])]
+    parts = pre.get("pretokenizers", [])
+    split = parts[0] if parts else {}
+    runs = split.get("pattern", {}).get("Regex", "") if split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed" else ""
+    return (
+        steps == ["NFC", "Replace", "Lowercase"] and normalizer["normalizers"][1].get("pattern") == {"Regex": r"\s+"} and normalizer["normalizers"][1].get("content") == " "
+        and runs.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and all(p.get("type") == "ByteLevel" and not p.get("add_prefix_space") for p in parts[1:])
+        and not any(a.get("normalized") or a.get("lstrip") or a.get("rstrip") for a in settings.get("added_tokens", []))
+    )
 
 
 class ChunkEncoder:
@@ -183,7 +247,7 @@ class ChunkEncoder:
 
     For tokenizers that drop white space before they split words: there no token, merge or normalisation crosses it. If the vocabulary marks word
     ends and the text is lower-cased first, a plain word's ids are the same alone and before punctuation, so words are looked up without their
-    case and punctuation, and unknown words are encoded together and parted at the marks.
+    case and punctuation, and unknown words are encoded together and parted at the marks. Texts for other tokenizers are encoded whole.
     """
 
     #: str.split() also splits here, where the tokenizer sees no white space.
@@ -200,8 +264,8 @@ class ChunkEncoder:
         with open(path, encoding="utf-8") as f:
             found = json.load(f)
         suffix = found["model"].get("end_of_word_suffix")
-        steps = (found.get("normalizer") or {}).get("normalizers", [])
-        self.words: dict[str, bytes] | None = {} if suffix and any(x["type"] == "Lowercase" for x in steps) else None
+        self.by_chunks = drops_white_space(found)
+        self.words: dict[str, bytes] | None = {} if suffix and self.by_chunks else None
         vocabulary = found["model"]["vocab"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
@@ -238,7 +302,7 @@ class ChunkEncoder:
         cache.update(zip(chunks, self._encode(list(chunks)), strict=True))
 
     def __call__(self, text: str) -> bytes:
-        if any(c in text for c in self.CONTROLS):
+        if not self.by_chunks or any(c in text for c in self.CONTROLS):
             return self._encode([text])[0]
         chunks = text.split()
         get = self.cache.__getitem__
@@ -256,14 +320,13 @@ class ChunkEncoder:
                 return b"".join(map(get, chunks))
 
 
-@lru_cache(1)
 def _encoder(path: str, width: int) -> ChunkEncoder:
     """One to a worker: its caches serve the worker's later tasks too."""
-    return ChunkEncoder(path, width)
+    return one_a_worker(("tokens", path, width), lambda: ChunkEncoder(path, width))
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
-    """Writes docs (doc_id, text) as shards under path: a range of doc_ids each, in order.
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_blocks: int = SHARD_BLOCKS) -> None:
+    """Writes docs (doc_id, text) as shards under path: a range of doc_ids each, in order, of shard_blocks blocks at most.
 
     A null text has no ids but the end id; rows that repeat a doc_id follow each other by text; rows without a doc_id come first. An empty table
     gives no shard. Columns other than doc_id and text are not read.
@@ -279,13 +342,17 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for piece in shard.add(to_key(doc_id), encode(text) + end):
                     yield rows([piece])
+                if len(shard.index) == shard_blocks:  # the writer begins a new file after as many pieces
+                    for piece in shard.close():
+                        yield rows([piece])
+                    shard = ShardWriter(width)
         if shard.docs:
             for piece in shard.close():
                 yield rows([piece])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
     dealt = narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    map_arrow(dealt, work, "piece binary").select(F.col("piece").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    map_arrow(dealt, work, "piece binary").select(F.col("piece").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", shard_blocks + 3).text(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -294,7 +361,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     def work(batches):
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                shard, at = Shard(content.as_py()), 0
+                shard, at = Shard.of_bytes(content.as_py()), 0
                 columns: tuple[list, ...] = ([], [], [], [])
                 for key, ids in shard:
                     for column, v in zip(columns, (from_key(key), at, len(ids), binascii.crc32(ids.tobytes())), strict=True):
@@ -305,8 +372,9 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("path", "content")
     rows = materialize(map_arrow(files, work, "shard string, doc_id long, within long, n_tokens long, ids_crc32 long"), "shards")
     # One row for each shard: their running total is the only thing in a single task.
-    totals = rows.groupBy("shard").agg(F.min(F.struct("doc_id")).alias("least"), F.sum("n_tokens").alias("ids"))
-    before = F.sum("ids").over(Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1))
+    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("ids"))
+    order = [F.regexp_extract("shard", FILE_ORDER, k).cast("long") for k in (1, 2)]
+    before = F.sum("ids").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select("shard", F.coalesce(before, F.lit(0)).alias("before"))
     return rows.join(offsets, "shard").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 

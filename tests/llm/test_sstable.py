@@ -1,6 +1,7 @@
 """Token shards against the tokenizers library, and by look-up."""
 
 import binascii
+import json
 
 import numpy as np
 import pytest
@@ -38,15 +39,41 @@ def test_empty_table(spark):
     assert op.shards_digest(spark.createDataFrame([], "doc_id long, text string"), PATH, 2).collect() == []
 
 
-def test_lookup_in_a_written_shard(spark):
-    rows = [(i * 2, f"text number {i}") for i in range(3000)]
+@pytest.mark.parametrize("blocks", [1, 3, op.SHARD_BLOCKS])
+def test_lookup_in_written_shards(spark, blocks, monkeypatch):
+    """Shards of few blocks, in which ids repeat over blocks and files; each look-up reads a part of one file."""
+    monkeypatch.setattr(op, "BLOCK_BYTES", 2000)  # for this process; the workers' blocks are larger
+    rows = [(i * 2, f"text number {i} " * 40) for i in range(3000)] + [(777, "odd " * 90_000)] * 5 + [(None, "no id")]
     path = scratch(spark, "test")
-    op.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), path, PATH, 2)
-    shards = [op.Shard(bytes(r.content)) for r in spark.read.format("binaryFile").load(path).collect() if r.length]
-    found = [[s.get(d) for s in shards] for d in (0, 3000, 5998)]
-    assert [sum(x is not None for x in f) for f in found] == [1, 1, 1]
-    assert all(s.get(d) is None for s in shards for d in (1, -5, 6000, None))
-    assert sum(s.docs for s in shards) == 3000
+    op.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), path, PATH, 2, blocks)
+    shards = op.Shards(spark, path)
+    assert len(shards.files) > (1 if blocks < 4 else 0) and (blocks > 1 or len(shards.files) > 4)
+    encode = op.ChunkEncoder(PATH, 4)
+    for d, t in (rows[0], rows[1500], rows[2999], rows[-2], rows[-1]):
+        assert shards.get(d).tobytes() == encode(t) + np.array([2], dtype="<u4").tobytes()
+    assert all(shards.get(d) is None for d in (1, -5, 6000, 779))
+    opened = [shards._shard(i) for i in range(len(shards.files))]
+    assert sum(s.docs for s in opened) == len(rows) and all(len(s.index) <= blocks for s in opened)
+    keys = [k for s in opened for k, _ in s]
+    assert keys == sorted(keys)
+    got = sorted(map(tuple, op.read_shards(spark, path).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [op.from_key(k) for k in keys] and [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got])[:-1].tolist()]
+
+
+def test_other_tokenizers_are_given_whole_texts(tmp_path):
+    """A byte-level tokenizer keeps white space, so chunks can't be encoded alone."""
+    from tokenizers import Tokenizer
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encode, library = op.ChunkEncoder(public_tokenizers.path(name), 4), Tokenizer.from_file(public_tokenizers.path(name))
+        assert encode.by_chunks == (name == "word_bpe_49k.json")
+        for _, text in ROWS:
+            assert encode(text or "") == np.array(library.encode(text or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
+    with open(PATH, encoding="utf-8") as f:
+        settings = json.load(f)
+    assert op.drops_white_space(settings)
+    settings["pre_tokenizer"]["pretokenizers"][0]["behavior"] = "Isolated"
+    assert not op.drops_white_space(settings)
 
 
 def test_blocks_and_damage():
@@ -54,10 +81,10 @@ def test_blocks_and_damage():
     for i in range(50):
         pieces += w.add(op.to_key(i - 25), np.full(20_000, i, dtype="<u2").tobytes())
     data = b"".join(p + b"\n" for p in [*pieces, *w.close()])
-    shard = op.Shard(data)
+    shard = op.Shard.of_bytes(data)
     assert len(shard.index) > 3 and [op.from_key(k) for k, _ in shard] == list(range(-25, 25))
     assert (shard.get(3) == 28).all() and shard.get(99) is None
     damaged = bytearray(data)
     damaged[20] ^= 1
     with pytest.raises(ValueError):
-        list(op.Shard(bytes(damaged)))
+        list(op.Shard.of_bytes(bytes(damaged)))
