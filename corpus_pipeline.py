@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import materialize, table
+from seqloom.llm.common import discard, materialize, table
 from seqloom.llm.decontaminate import decontaminate
 from seqloom.llm.linededup import dedup_lines
 from seqloom.llm.queries import _vocabulary
@@ -24,13 +24,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows go from the texts; every document stays, if only as an empty text."""
-    out = dedup_lines(docs)
-    n_chars = F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    counted = next(name for i in range(len(docs.columns) + 1) if (name := f"removed{i}") not in docs.columns)
+    out = dedup_lines(docs, counted)
+    n_chars = F.when(F.col(counted) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
     return near_dedup(docs)
 
 
@@ -51,7 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, done = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*done)  # nothing reads the stage's input again
+        done = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
