@@ -87,7 +87,7 @@ def brute_wide(text, width, words=5):
 
 
 def brute_near(rows):
-    """The (doc_id, text) that stay: all pairs are compared."""
+    """The (doc_id, text) that stay: all pairs are compared, and linked if they are within the radius and agree on enough blocks of a word."""
     plan = op.near_plan(len(rows))
     keyed = sorted({(d, t or "") for d, t in rows if d is not None}, key=lambda r: (r[0], xxhash.xxh64_intdigest(r[1].encode(), seed=42) - (xxhash.xxh64_intdigest(r[1].encode(), seed=42) >> 63 << 64)))
     fps = [brute_wide(t, plan.words) for _, t in keyed]
@@ -99,7 +99,9 @@ def brute_near(rows):
         return i
 
     for i, j in combinations(range(len(keyed)), 2):
-        if (fps[i] ^ fps[j]).bit_count() <= plan.radius:
+        differing = fps[i] ^ fps[j]
+        equal = [sum(not differing >> 64 * k + 8 * b & 255 for b in range(8)) for k in range(plan.words)]
+        if differing.bit_count() <= plan.radius and max(equal) >= plan.chosen:
             a, b = sorted((find(i), find(j)))
             root[b] = a
     return [keyed[i] for i in range(len(keyed)) if find(i) == i] + [(d, t or "") for d, t in rows if d is None]
