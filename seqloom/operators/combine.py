@@ -1,7 +1,7 @@
 """Reading in step: pairs and groups of records by their ordinal.
 
 Records of several files meet by rec_index; records of one interleaved file by rec_index div k. A length that doesn't fit is an error of the job,
-found where the records meet, with no counting pass before.
+found where the records meet, with no counting pass before. The checks are filters, so they hold whatever columns or aggregates are asked for.
 """
 
 from __future__ import annotations
@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from seqloom.functions import FIRST, PAIRED, has_flag
 
 
-def _fail(condition: Column, message: Column, otherwise: Column) -> Column:
-    return F.when(condition, F.raise_error(message).cast("long")).otherwise(otherwise)
+def _unless(bad: Column, message: Column) -> Column:
+    """A filter's condition that is an error where `bad` holds."""
+    return F.when(bad, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
 
 
 def _side(records: DataFrame, name: str) -> DataFrame:
     keys = [c for c in ("group_id",) if c in records.columns]
     kept = [c for c in records.columns if c not in keys]
-    return records.select(*keys, F.col("rec_index").alias("ordinal"), F.struct(*kept).alias(name))
+    # The mark says that a record is there without a need for the record itself, so that unused fields aren't moved.
+    return records.select(*keys, F.col("rec_index").alias("ordinal"), F.struct(*kept).alias(name), F.lit(True).alias(f"has_{name}"))
 
 
 def multi(sides: list[DataFrame], check: Column | None = None) -> DataFrame:
@@ -34,12 +36,12 @@ def multi(sides: list[DataFrame], check: Column | None = None) -> DataFrame:
     names = [f"r{i + 1}" for i in range(len(sides))]
     keys = [*(["group_id"] if "group_id" in sides[0].columns else []), "ordinal"]
     joined = reduce(lambda a, b: a.join(b, keys, "full_outer"), [_side(s, n) for s, n in zip(sides, names, strict=True)])
-    missing = reduce(lambda a, b: a | b, [F.col(n).isNull() for n in names])
-    short = F.concat(F.lit("LENGTH_MISMATCH: fewer records in "), F.array_join(F.array_compact(F.array(*(F.when(F.col(n).isNull(), F.lit(n)) for n in names))), ", "), F.lit(" at record "), F.col("ordinal").cast("string"))
-    ordinal = _fail(missing, short, F.col("ordinal"))
+    lacks = [F.col(f"has_{n}").isNull() for n in names]
+    short = F.concat(F.lit("LENGTH_MISMATCH: fewer records in "), F.array_join(F.array_compact(F.array(*(F.when(x, F.lit(n)) for x, n in zip(lacks, names, strict=True)))), ", "), F.lit(" at record "), F.col("ordinal").cast("string"))
+    joined = joined.where(_unless(reduce(lambda a, b: a | b, lacks), short))
     if check is not None:
-        ordinal = F.when(missing, ordinal).otherwise(_fail(check.isNotNull(), check, F.col("ordinal")))
-    return joined.select(*keys[:-1], ordinal.alias("rec_index"), *names)
+        joined = joined.where(_unless(check.isNotNull(), check))
+    return joined.select(*keys[:-1], F.col("ordinal").alias("rec_index"), *names)
 
 
 def mate_error(r1: str = "r1", r2: str = "r2") -> Column:
@@ -63,9 +65,10 @@ def interleaved_multi(records: DataFrame, arity: int) -> DataFrame:
         raise ValueError("a group has at least one record")
     kept = [c for c in records.columns if c != "file"]
     # A group has `arity` records however large the file is, so the list is bounded.
-    grouped = records.groupBy("file", F.expr(f"rec_index div {arity}").alias("ordinal")).agg(F.array_sort(F.collect_list(F.struct("rec_index", *(c for c in kept if c != "rec_index")))).alias("members"))
+    members = F.array_sort(F.collect_list(F.struct("rec_index", *(c for c in kept if c != "rec_index")))).alias("members")
+    grouped = records.groupBy("file", F.expr(f"rec_index div {arity}").alias("ordinal")).agg(members, F.count(F.lit(1)).alias("n"))
     short = F.concat(F.lit(f"ARITY_MISMATCH: records aren't a multiple of {arity} in "), F.col("file"))
-    return grouped.select("file", _fail(F.size("members") != arity, short, F.col("ordinal")).alias("rec_index"), "members")
+    return grouped.where(_unless(F.col("n") != arity, short)).select("file", F.col("ordinal").alias("rec_index"), "members")
 
 
 def interleaved(records: DataFrame) -> DataFrame:

@@ -6,9 +6,12 @@ import bz2
 import gzip
 import io
 import lzma
+import zlib
 
 MAGIC = {b"\x1f\x8b": "gzip", b"BZh": "bzip2", b"\xfd7zXZ\x00": "xz", b"\x28\xb5\x2f\xfd": "zstd"}
 MAGIC_BYTES = 6
+#: Compressed bytes that hold a first block of any of them.
+BLOCK_BYTES = 4 << 20
 
 
 def sniff(head: bytes) -> str | None:
@@ -51,3 +54,19 @@ def decompressed(stream) -> io.BufferedReader:
 
         return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(whole, read_across_frames=True), 1 << 20)
     return whole
+
+
+def beginning(head: bytes, n: int) -> bytes:
+    """The first plain bytes of a file whose first compressed bytes are given."""
+    kind = sniff(head)
+    if kind == "gzip":
+        return zlib.decompressobj(31).decompress(head, n)
+    if kind == "bzip2":
+        return bz2.BZ2Decompressor().decompress(head, n)
+    if kind == "xz":
+        return lzma.LZMADecompressor().decompress(head, n)
+    if kind == "zstd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(head)).read(n)
+    return head[:n]

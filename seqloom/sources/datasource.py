@@ -1,7 +1,8 @@
-"""The data source "fastx": one partition to a file or address, read as a stream in bounded memory.
+"""The data source "fastx": splits of plain files, fixed beforehand, and whole files or addresses that can't be split.
 
-For what can't be split: compressed files (any codec, found by content), HTTP, SSH and gcloud addresses, BAM. Paths are opened on the executors.
-Comparisons of rec_index are pushed down: records before are passed over unbuilt and reading stops at the last.
+The latter are compressed files (any codec, found by content), HTTP, SSH and gcloud addresses and BAM, one to a partition, read as streams in bounded
+memory. Paths are opened on the executors. Comparisons of rec_index are pushed down: splits outside aren't opened, records before are passed over unbuilt
+and reading stops at the last.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
-from seqloom.schema import BAM, ERROR_FIELD, FAILFAST, FLAG_FIELD, PERMISSIVE, RECORD_SCHEMA, ReadOptions
+from seqloom.schema import BAM, ERROR_FIELD, FAILFAST, FLAG_FIELD, PERMISSIVE, RECORD_SCHEMA, SAM, ReadOptions
 
 
 class FilePartition(InputPartition):
@@ -20,12 +21,18 @@ class FilePartition(InputPartition):
         self.path, self.start, self.stop = path, start, stop
 
 
+class SplitsPartition(InputPartition):
+    def __init__(self, splits: list, start: int, stop: int | None):
+        self.splits, self.start, self.stop = splits, start, stop
+
+
 class FastxReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.paths, self.format = json.loads(options["paths"]), options.get("format", "auto")
         self.mode, self.columns = options.get("mode", FAILFAST), schema.fieldNames()
         self.size, self.open = int(options.get("batch", 1024)), json.loads(options.get("open", "{}"))
         self.start, self.stop = 0, int(options["limit"]) if options.get("limit") else None
+        self.splits, self.most, self.cost = options.get("splits"), int(options.get("most", 1)), int(options.get("cost", 1))
 
     def pushFilters(self, filters):
         for f in filters:
@@ -38,6 +45,12 @@ class FastxReader(DataSourceReader):
             yield f  # Spark applies it as well
 
     def partitions(self):
+        if self.splits is not None:
+            from seqloom.sources.splits import grouped, unpacked
+
+            wanted = [s for s in unpacked(self.splits) if not s.outside(self.format, self.start, self.stop)]
+            # Spark wants a partition even of nothing.
+            return [SplitsPartition(g, self.start, self.stop) for g in grouped(wanted, self.most, self.cost)] or [SplitsPartition([], 0, 0)]
         return [FilePartition(p, self.start, self.stop) for p in self.paths]
 
     def read(self, partition):
@@ -45,6 +58,13 @@ class FastxReader(DataSourceReader):
         from seqloom.sources.codec import decompressed
         from seqloom.sources.remote import open_stream
 
+        if isinstance(partition, SplitsPartition):
+            from seqloom.sources.splits import read_split
+
+            for split in partition.splits:
+                for batch in read_split(split, self.format, self.mode, partition.start, partition.stop, self.size):
+                    yield batch.select(self.columns)
+            return
         raw = open_stream(partition.path, **self.open)
         try:
             stream = decompressed(raw)
@@ -65,19 +85,21 @@ class FastxSource(DataSource):
         return "fastx"
 
     def schema(self) -> StructType:
-        extra = [FLAG_FIELD] if self.options.get("format") == BAM else [ERROR_FIELD] if self.options.get("mode") == PERMISSIVE else []
+        extra = [FLAG_FIELD] if self.options.get("format") in (BAM, SAM) else [ERROR_FIELD] if self.options.get("mode") == PERMISSIVE else []
         return StructType([*RECORD_SCHEMA.fields, *extra])
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return FastxReader(dict(self.options), schema)
 
 
-def load(spark: SparkSession, paths: list[str], options: ReadOptions, kind: str, batch: int, **open_options):
-    """The files or addresses as a DataFrame."""
+def load(spark: SparkSession, paths: list[str], options: ReadOptions, kind: str, batch: int, *, splits: str | None = None, most: int = 1, cost: int = 1, **open_options):
+    """The files or addresses as a DataFrame; of plain files their splits."""
     spark.dataSource.register(FastxSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("fastx").option("paths", json.dumps(paths)).option("format", kind).option("mode", options.mode)
     reader = reader.option("batch", batch).option("open", json.dumps(open_options))
+    if splits is not None:
+        reader = reader.option("splits", splits).option("most", most).option("cost", cost)
     if options.record_limit is not None:
         reader = reader.option("limit", options.record_limit)
     return reader.load()

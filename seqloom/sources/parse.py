@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 from seqloom.errors import RECORD_ERRORS, FastxFormatError
-from seqloom.schema import FAILFAST, FASTA, FASTQ, DROPMALFORMED
+from seqloom.schema import DROPMALFORMED, FAILFAST, FASTA, FASTQ, SAM
 
 CHUNK = 4 << 20
+_NEWLINE, _GREATER, _AT, _PLUS = b"\n>@+"
 
 
 def sniff_format(first: bytes) -> str:
@@ -26,69 +28,218 @@ def sniff_format(first: bytes) -> str:
     raise FastxFormatError(f"a file begins with {first[:1]!r}, not with > or @" if first else "an empty file has no format")
 
 
-def fastq_lines(stream) -> Iterator[list[bytes]]:
-    """Lines by fours, many at a time."""
-    carry = b""
-    while chunk := stream.read(CHUNK):
-        lines = (carry + chunk).split(b"\n")
-        whole = (len(lines) - 1) // 4 * 4
-        if whole:
-            yield lines[:whole]
-        carry = b"\n".join(lines[whole:])
-    lines = carry.split(b"\n")
-    if len(lines) == 4:
-        yield lines
-
-
-def fasta_records(stream) -> Iterator[list[bytes]]:
-    """Records without their first sign, many at a time; each still has its line ends."""
-    carry, begun = b"", False
-    while chunk := stream.read(CHUNK):
-        data = carry + chunk
+def _begun_lines(data: bytes, at: int, end: int, position: int) -> np.ndarray:
+    """Where lines begin in data, whose first byte stands at `position` of its file, with at <= place < end. Data begins a byte before `at`, or both at 0."""
+    found = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == _NEWLINE) + (position + 1)
+    found = np.concatenate([[0], found]) if position == 0 and at == 0 else found
+    return found[(found >= at) & (found < end)]
+
+
+def count_begun(stream, kind: str, at: int, end: int) -> int:
+    """How many lines (FASTQ), records (FASTA) or alignments (SAM) begin in at <= place < end. The stream stands a byte before `at`, or at 0."""
+    position, n, last = max(at - 1, 0), 0, b"\n" if at == 0 else b""
+    try:
+        # A line that begins in the range may do so at its last byte, so what it begins with is always within.
+        while position < end and (data := stream.read(min(CHUNK, end - position))):
+            if kind == FASTQ:
+                n += data.count(b"\n", 0, len(data) - (position + len(data) == end)) + (position == 0 and at == 0)
+            else:
+                whole = last + data
+                begun = np.frombuffer(whole, dtype=np.uint8)
+                firsts = begun[1:][begun[:-1] == _NEWLINE]
+                n += int((firsts == _GREATER).sum()) if kind == FASTA else int(((firsts != _AT) & (firsts != _NEWLINE)).sum())
+                last = data[-1:]
+            position += len(data)
+    finally:
+        stream.close()
+    return n
+
+
+class _Window:
+    """A stream's bytes from a place on: `data` begins at `position`; more() adds the next ones, as many again where a record is longer than what is held."""
+
+    def __init__(self, stream, at: int):
+        self.stream, self.data, self.position, self.ended = stream, b"", at, False
+
+    def more(self) -> None:
+        chunk = self.stream.read(max(CHUNK, len(self.data)))
+        self.ended = not chunk
+        self.data += chunk
+
+    def drop(self, n: int) -> None:
+        self.data, self.position = self.data[n:], self.position + n
+
+    def newlines(self) -> np.ndarray:
+        return np.flatnonzero(np.frombuffer(self.data, dtype=np.uint8) == _NEWLINE)
+
+    def to_line(self, at: int) -> bool:
+        """Goes on to the first line that begins at `at` or later; False if there is none."""
+        if at == 0:
+            return True
+        while (found := self.data.find(b"\n")) < 0:
+            self.drop(len(self.data))
+            self.more()
+            if self.ended:
+                return False
+        self.drop(found + 1)
+        return True
+
+
+def _pieces(data: bytes, bounds: np.ndarray, n: int) -> list[pa.Array]:
+    """bounds: begin, end, begin, end, … in ascending order, n ranges to a record; an array for each."""
+    bounds = np.append(bounds, bounds[-1]).astype(np.int32)
+    both = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+    return [both.take(pa.array(np.arange(2 * k, len(bounds) - 1, 2 * n), pa.int32())) for k in range(n)]
+
+
+class _Range:
+    """Records first <= rec_index < stop, in batches of `size` rows at most."""
+
+    def __init__(self, first: int, stop: int | None, size: int):
+        self.first, self.stop, self.size = first, stop, size
+
+    def parts(self, at: int, n: int):
+        """(a, b) of the records at, at + 1, … at + n - 1 that are wanted, counted from the first of them."""
+        low, high = max(self.first - at, 0), n if self.stop is None else min(n, self.stop - at)
+        for a in range(low, high, self.size):
+            yield a, min(high, a + self.size)
+
+    def over(self, at: int) -> bool:
+        return self.stop is not None and at >= self.stop
+
+
+def _fastq(w: _Window, file: str, mode: str, want: _Range, at: int, end: int | None, line: int) -> Iterator[pa.RecordBatch]:
+    if not w.to_line(at):
+        return
+    skip, index = -line % 4, (line + 3) // 4
+    while not want.over(index):
+        nl = w.newlines()
+        if skip:  # lines that finish the record before
+            if len(nl) < skip:
+                if w.ended:
+                    return
+                skip -= len(nl)
+                w.drop(int(nl[-1]) + 1 if len(nl) else 0)
+                w.more()
+                continue
+            w.drop(int(nl[skip - 1]) + 1)
+            nl, skip = nl[skip:] - (int(nl[skip - 1]) + 1), 0
+        n = len(nl) // 4
+        begins = np.concatenate([[0], nl[3 : 4 * n : 4] + 1])
+        if end is not None:
+            n = min(n, int(np.searchsorted(begins + w.position, end)))
+        for a, b in want.parts(index, n):
+            ends = nl[4 * a : 4 * b]
+            lines = np.concatenate([[begins[a]], ends[:-1] + 1])
+            yield _fastq_batch(file, index + a, w.data, lines, ends, mode)
+        index += n
+        w.drop(int(begins[n]))
+        if (end is not None and w.position >= end) or want.over(index):
+            return
+        if w.ended:
+            nl = w.newlines()
+            if len(nl) == 3:  # an unterminated fourth line, which may be empty
+                for _ in want.parts(index, 1):
+                    yield _fastq_batch(file, index, w.data, np.append(0, nl + 1), np.append(nl, len(w.data)), mode)
+            return
+        w.more()
+
+
+def _fastq_batch(file: str, first: int, data: bytes, begins: np.ndarray, ends: np.ndarray, mode: str) -> pa.RecordBatch:
+    """A batch from the places of the lines of consecutive records."""
+    buf = np.frombuffer(data, dtype=np.uint8)
+    starts_with = lambda k, sign: (ends[k::4] > begins[k::4]) & (buf[np.minimum(begins[k::4], len(buf) - 1)] == sign)
+    lengths = ends - begins
+    error = np.select([~starts_with(0, _AT), ~starts_with(2, _PLUS), lengths[1::4] != lengths[3::4]], [1, 2, 3], 0)
+    bounds = np.stack([begins, ends], axis=1)
+    bounds[::4, 0] = np.minimum(bounds[::4, 0] + 1, bounds[::4, 1])
+    header, seq, sep, qual = _pieces(data, bounds.ravel(), 4)
+    errors = pa.DictionaryArray.from_arrays(pa.array(error - 1, pa.int32(), mask=error == 0), pa.array(list(RECORD_ERRORS))).dictionary_decode()
+    return _batch(file, pa.array(np.arange(first, first + len(header)), pa.int64()), header, seq, seq, qual, sep, FASTQ, errors, mode)
+
+
+def _fasta(w: _Window, file: str, want: _Range, at: int, end: int | None, index: int) -> Iterator[pa.RecordBatch]:
+    begun = False
+    while not want.over(index):
+        data = w.data
+        buf = np.frombuffer(data, dtype=np.uint8)
+        signs = np.flatnonzero(buf == _GREATER)
+        signs = signs[((signs > 0) & (buf[signs - 1] == _NEWLINE)) | ((signs == 0) & (begun or w.position == 0))]
         if not begun:
-            at = 0 if data[:1] == b">" else data.find(b"\n>") + 1
-            if at == 0 and data[:1] != b">":
-                carry = data[-1:]  # a line end may be cut from its sign
-                if carry != b"\n":
-                    carry = b"\x00"  # anything but a sign at the start
+            signs = signs[signs + w.position >= at]
+            if not len(signs):
+                if w.ended or (end is not None and w.position + len(data) > end):
+                    return
+                w.drop(max(0, len(data) - 1))  # a line end may be cut from its sign
+                w.more()
                 continue
-            data, begun = data[at + 1 :], True
-        parts = data.split(b"\n>")
-        if len(parts) > 1:
-            yield parts[:-1]
-        carry = parts[-1]
-    if begun:
-        yield [carry.removesuffix(b"\n")]
-
-
-def check_fastq(header: pa.Array, seq: pa.Array, sep: pa.Array, qual: pa.Array) -> pa.Array:
-    """The error of each record, or null: the first of header, separator and lengths that is wrong."""
-    unequal = pc.if_else(pc.not_equal(pc.binary_length(seq), pc.binary_length(qual)), "UNEQUAL_LENGTHS", pa.scalar(None, pa.string()))
-    wrong = pc.if_else(pc.starts_with(sep, b"+"), unequal, "INVALID_SEPARATOR")
-    return pc.if_else(pc.starts_with(header, b"@"), wrong, "INVALID_HEADER")
-
-
-def fastq_batch(file: str, first: int, lines: list[pa.Array], mode: str) -> pa.RecordBatch:
-    """A batch from the four lines of consecutive records."""
-    header, seq, sep, qual = lines
-    return _batch(file, pa.array(range(first, first + len(header)), pa.int64()), pc.binary_replace_slice(header, 0, 1, b""), seq, seq, qual, sep, FASTQ, check_fastq(header, seq, sep, qual), mode)
-
-
-def fasta_batch(file: str, first: int, records: list[bytes]) -> pa.RecordBatch:
-    ids, raw = [], []
-    for r in records:
-        header, _, rest = r.partition(b"\n")
-        ids.append(header)
-        raw.append(rest)
+            begun = True
+        begins = signs
+        n = len(begins) - 1 + w.ended
+        ends = np.append(begins[1:] - 1, len(data) - (data[-1:] == b"\n"))[:n]
+        if end is not None:
+            n = min(n, int(np.searchsorted(begins + w.position, end)))
+        nl = w.newlines() if n else None
+        for a, b in want.parts(index, n):
+            yield _fasta_batch(file, index + a, data, begins[a:b] + 1, np.maximum(ends[a:b], begins[a:b] + 1), nl)
+        index += n
+        if w.ended or (end is not None and n < len(begins) and begins[n] + w.position >= end):
+            return
+        w.drop(int(begins[n]))
+        w.more()
+
+
+def _fasta_batch(file: str, first: int, data: bytes, begins: np.ndarray, ends: np.ndarray, nl: np.ndarray) -> pa.RecordBatch:
+    at = np.searchsorted(nl, begins)
+    header = np.minimum(np.append(nl, len(data))[at], ends)
+    raw = np.minimum(header + 1, ends)
+    ids, seq_raw = _pieces(data, np.stack([begins, header, raw, ends], axis=1).ravel(), 2)
+    many = (np.searchsorted(nl, ends) > np.searchsorted(nl, raw)).any()
+    seq = pc.replace_substring(seq_raw, b"\n", b"") if many else seq_raw
     none = pa.nulls(len(ids), pa.binary())
-    seq = pa.array([r.replace(b"\n", b"") for r in raw], pa.binary())
-    return _batch(file, pa.array(range(first, first + len(ids)), pa.int64()), pa.array(ids, pa.binary()), seq, pa.array(raw, pa.binary()), none, none, FASTA, pa.nulls(len(ids), pa.string()), FAILFAST)
+    return _batch(file, pa.array(np.arange(first, first + len(ids)), pa.int64()), ids, seq, seq_raw, none, none, FASTA, pa.nulls(len(ids), pa.string()), FAILFAST)
+
+
+def _sam(w: _Window, file: str, want: _Range, at: int, end: int | None, index: int) -> Iterator[pa.RecordBatch]:
+    """Alignments, whatever their flags: lines that aren't empty and don't begin with @. * for a missing quality is null."""
+    if not w.to_line(at):
+        return
+    while not want.over(index):
+        nl = w.newlines()
+        begins = np.concatenate([[0], nl + 1])
+        n = len(nl) + (w.ended and begins[-1] < len(w.data))
+        if end is not None:
+            n = min(n, int(np.searchsorted(begins + w.position, end)))
+        lines = [x for x in w.data.split(b"\n", n)[:n] if x and x[:1] != b"@"]
+        for a, b in want.parts(index, len(lines)):
+            yield _sam_batch(file, index + a, lines[a:b])
+        index += len(lines)
+        if w.ended or (end is not None and n < len(begins) and begins[n] + w.position >= end):
+            return
+        w.drop(int(begins[n]))
+        w.more()
+
+
+def _sam_batch(file: str, first: int, lines: list[bytes]) -> pa.RecordBatch:
+    rows = [x.split(b"\t", 11) for x in lines]
+    if any(len(r) < 11 for r in rows):
+        raise FastxFormatError(f"not an alignment: {file}, record {first + next(i for i, r in enumerate(rows) if len(r) < 11)}")
+    n, none = len(rows), pa.nulls(len(rows), pa.binary())
+    column = lambda k, missing: pa.array([missing if r[k] == b"*" else r[k] for r in rows], pa.binary())
+    columns = {
+        "file": _same(file, n), "rec_index": pa.array(np.arange(first, first + n), pa.int64()), "id": pa.array([r[0] for r in rows], pa.binary()), "seq": column(9, b""), "seq_raw": none,
+        "qual": column(10, None), "sep": none, "format": _same(SAM, n), "flag": pa.array([int(r[1]) for r in rows], pa.int32()),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _same(value: str, n: int) -> pa.Array:
+    return pa.repeat(pa.scalar(value, pa.string()), n)
 
 
 def _batch(file, index, ids, seq, raw, qual, sep, kind, error, mode) -> pa.RecordBatch:
     n = len(index)
-    same = lambda v: pa.array([v], pa.string()).take(pa.array([0] * n, pa.int32()))
-    columns = {"file": same(file), "rec_index": index, "id": ids, "seq": seq, "seq_raw": raw, "qual": qual, "sep": sep, "format": same(kind), "_error": error}
+    columns = {"file": _same(file, n), "rec_index": index, "id": ids, "seq": seq, "seq_raw": raw, "qual": qual, "sep": sep, "format": _same(kind, n), "_error": error}
     batch = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
     if error.null_count < n:
         if mode == FAILFAST:
@@ -99,22 +250,17 @@ def _batch(file, index, ids, seq, raw, qual, sep, kind, error, mode) -> pa.Recor
     return batch
 
 
-def batches(stream, file: str, kind: str, mode: str = FAILFAST, start: int = 0, stop: int | None = None, size: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Record batches of a plain stream, of records start <= rec_index < stop; `size` rows to a batch at most. Reading ends at stop."""
+def batches(stream, file: str, kind: str, mode: str = FAILFAST, start: int = 0, stop: int | None = None, size: int = 1024, at: int = 0, end: int | None = None, before: int = 0) -> Iterator[pa.RecordBatch]:
+    """Record batches of a plain stream, of records start <= rec_index < stop; `size` rows to a batch at most. Reading ends at stop.
+
+    Of a split only what begins in at <= place < end is read: its stream stands a byte before `at`, and `before` lines (FASTQ) or records begin before.
+    """
     if kind == "auto":
-        first = stream.peek(1)[:1]
-        kind = sniff_format(first)
-    at = 0
-    for found in fastq_lines(stream) if kind == FASTQ else fasta_records(stream):
-        n = len(found) // 4 if kind == FASTQ else len(found)
-        low, high = max(start - at, 0), n if stop is None else min(n, stop - at)
-        for a in range(low, high, size):
-            b = min(high, a + size)
-            if kind == FASTQ:
-                part = found[4 * a : 4 * b]
-                yield fastq_batch(file, at + a, [pa.array(part[k::4], pa.binary()) for k in range(4)], mode)
-            else:
-                yield fasta_batch(file, at + a, found[a:b])
-        at += n
-        if stop is not None and at >= stop:
-            return
+        kind = sniff_format(stream.peek(1)[:1])
+    w, want = _Window(stream, max(at - 1, 0)), _Range(start, stop, size)
+    if kind == FASTQ:
+        yield from _fastq(w, file, mode, want, at, end, before)
+    elif kind == SAM:
+        yield from _sam(w, file, want, at, end, before)
+    else:
+        yield from _fasta(w, file, want, at, end, before)

@@ -1,42 +1,43 @@
-"""Plain FASTQ, FASTA and SAM text through Spark's splittable line reader, on any file system Spark knows.
+"""Plain FASTQ, FASTA and SAM text by JVM expressions alone, on any file system that Spark knows.
 
-A record's place in its file needs the lines (or chunks) before its split. One pass counts them for each block; running totals over blocks, a row
-for each, give every block its first number. Framing is then exact, since a FASTQ record is four lines whatever they hold, and the same numbers
-are the records' indices, whatever the partitioning.
+What `splits` does for files that workers can open, Spark's own line reader does here for all others. A record's place in its file needs the lines (or
+chunks) before its block. One pass counts them for each block; running totals over blocks, a row for each, give every block its first number. The
+blocks are those of one scan that is planned once: every later use reads the very same, whatever has changed in the session or the cluster since.
 """
 
 from __future__ import annotations
 
-import re
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.errors import FastxFormatError
-from seqloom.schema import DROPMALFORMED, ERROR_FIELD, FAILFAST, FASTA, FASTQ, PERMISSIVE, RECORD_COLUMNS, RECORD_SCHEMA, SAM
-from seqloom.sources import parse
+from seqloom.schema import DROPMALFORMED, FAILFAST, FASTA, FASTQ, PERMISSIVE, RECORD_COLUMNS, SAM
 from seqloom.storage import file_system, read_bytes, scratch
 
-#: The table of blocks goes to every worker up to this many bytes; beyond, records are framed by a shuffle.
+#: The table of blocks is broadcast up to this many bytes and merged beyond.
 BLOCK_TABLE_BYTES = 64 << 20
 NEWLINE = "\n"
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """df with its physical plan, and so its splits, as they are now: a later query over it doesn't plan its scan again."""
+    spark = df.sparkSession
+    rows = df._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), spark)
+
+
 def _raw(spark: SparkSession, paths: list[str], separator: str) -> DataFrame:
     lines = spark.read.option("lineSep", separator).text(paths)  # a separator of its own: the default also splits at carriage returns
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value"))
+    return pinned(lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value"), F.monotonically_increasing_id().alias("mid")))
 
 
 def numbered(spark: SparkSession, paths: list[str], separator: str = NEWLINE, marked: Column | None = None) -> DataFrame:
     """(file, n, total, marked, value): each line with its 0-based number in its file, and how many the file has. JVM only.
 
     marked: an aggregate over a block's lines (file, block, mid, value), added up for each file in the same pass.
-    Lines of a block have consecutive ids in a task, so the block's least id and first number give each line's. Both scans see the same splits.
-    The table of blocks is written to the shared folder, so its size is known: it is broadcast up to BLOCK_TABLE_BYTES and merged beyond.
+    Lines of a block have consecutive ids in a task, so the block's least id and first number give each line's. Both passes are over one scan.
+    The table of blocks is written to the shared folder, so its size is known. A line whose block wasn't counted is an error.
     """
-    raw = _raw(spark, paths, separator).withColumn("mid", F.monotonically_increasing_id())
+    raw = _raw(spark, paths, separator)
     blocks = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines"), F.min("mid").alias("least"), (F.lit(0) if marked is None else marked).cast("long").alias("marked"))
     file = Window.partitionBy("file")
     before = F.coalesce(F.sum("lines").over(file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -46,13 +47,17 @@ def numbered(spark: SparkSession, paths: list[str], separator: str = NEWLINE, ma
     blocks = spark.read.schema(blocks.schema).parquet(path)
     size = blocks.agg(F.sum(F.octet_length("file") + 64)).first()[0] or 0
     blocks = F.broadcast(blocks) if size <= BLOCK_TABLE_BYTES else blocks.hint("merge")
-    return raw.join(blocks, ["file", "block"]).select("file", (F.col("mid") + F.col("shift")).alias("n"), "total", "marked", "value")
+    known = F.col("shift").isNotNull()
+    lost = F.raise_error(F.concat(F.lit("a block that wasn't counted: "), F.col("file"), F.lit(" from "), F.col("block").cast("string")))
+    joined = raw.join(blocks, ["file", "block"], "left").where(F.when(known, F.lit(True)).otherwise(lost.cast("boolean")))
+    return joined.select("file", (F.col("mid") + F.col("shift")).alias("n"), "total", "marked", "value")
 
 
 def _checked(df: DataFrame, error: Column, mode: str) -> DataFrame:
     if mode == FAILFAST:
         fail = F.raise_error(F.concat(error, F.lit(": "), F.col("file"), F.lit(", record "), F.col("rec_index").cast("string")))
-        return df.withColumn("rec_index", F.when(error.isNotNull(), fail.cast("long")).otherwise(F.col("rec_index"))).select(*RECORD_COLUMNS)
+        # In a filter, which no choice of columns takes away.
+        return df.where(F.when(error.isNotNull(), fail.cast("boolean")).otherwise(F.lit(True))).select(*RECORD_COLUMNS)
     df = df.withColumn("_error", error)
     return df.where("_error is null").select(*RECORD_COLUMNS) if mode == DROPMALFORMED else df.select(*RECORD_COLUMNS, "_error")
 
@@ -71,7 +76,7 @@ def _last_byte(spark: SparkSession, file: str) -> bytes:
     return read_bytes(spark, file, fs.getFileStatus(where).getLen() - 1, 1)
 
 
-def fastq_by_shuffle(spark: SparkSession, paths: list[str], mode: str = FAILFAST) -> DataFrame:
+def read_fastq(spark: SparkSession, paths: list[str], mode: str = FAILFAST) -> DataFrame:
     """FASTQ records from a group of four numbered lines; JVM only, at the price of a shuffle."""
     lines = numbered(spark, paths).withColumn("value", F.col("value").cast("binary"))
     part = lambda k: F.max(F.when(F.col("n") % 4 == k, F.col("value")))
@@ -92,123 +97,6 @@ def fastq_by_shuffle(spark: SparkSession, paths: list[str], mode: str = FAILFAST
     return _checked(r, F.col("e"), mode)
 
 
-def block_table(spark: SparkSession, paths: list[str]) -> dict[tuple[int, int], tuple[str, int, bytes]] | None:
-    """(hash of file, block) -> (file, first line's number, the lines after the block that finish its last record); None if it is too large.
-
-    Counted by streaming each block once: a row for each block holds its count and first three lines.
-    """
-
-    def count(batches):
-        held: dict[tuple[int, int], list] = {}
-        for batch in batches:
-            for key, a, b in _runs(batch):
-                entry = held.setdefault(key, [0, []])
-                if len(entry[1]) < 3:
-                    entry[1] += batch.column("value")[a : min(b, a + 3 - len(entry[1]))].to_pylist()
-                entry[0] += b - a
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held]), pa.array([k[1] for k in held]), pa.array([v[0] for v in held.values()]), pa.array([v[1] for v in held.values()], pa.list_(pa.binary()))], ["hash", "block", "lines", "head"])
-
-    rows = _hashed(spark, paths).mapInArrow(count, "hash long, block long, lines long, head array<binary>").persist()
-    try:
-        size = rows.agg(F.sum(F.lit(200) + F.aggregate("head", F.lit(0), lambda s, x: s + F.octet_length(x)))).first()[0] or 0
-        if size > BLOCK_TABLE_BYTES:
-            return None
-        counted = rows.collect()
-    finally:
-        rows.unpersist()
-    names = _names(spark, paths, {r.hash for r in counted})
-    if names is None:
-        return None
-    found = sorted((names[r.hash], r.block, r.hash, r.lines, [bytes(x) for x in r.head]) for r in counted)
-    table, base = {}, 0
-    for i, (file, block, h, lines, _) in enumerate(found):
-        base = base if i and found[i - 1][0] == file else 0
-        need, rest, j = -(base + lines) % 4, [], i + 1
-        while len(rest) < need and j < len(found) and found[j][0] == file:
-            rest += found[j][4][: need - len(rest)]
-            j += 1
-        if len(rest) == need - 1 and (j == len(found) or found[j][0] != file) and _last_byte(spark, file) == b"\n":
-            rest.append(b"")  # the file ends with the newline of its third line
-        table[h, block] = (file, base, rest)
-        base += lines
-    return table
-
-
-def _names(spark: SparkSession, paths: list[str], hashes: set[int]) -> dict[int, str] | None:
-    """The files' names by hash; None if two have one hash. Names are made from the paths; only if that fails are the files asked, by another pass."""
-    if not hashes:
-        return {}
-    uris = dict.fromkeys(re.sub(r"^(\w+):/(?!/)", r"\1:///", p) if ":/" in p else f"file://{p}" for p in paths)
-    for files in (spark.createDataFrame(pa.table({"file": list(uris)})), _raw(spark, paths, NEWLINE).select("file").distinct()):
-        found = files.select("file", F.xxhash64("file").alias("hash")).collect()
-        names = {r.hash: r.file for r in found}
-        if hashes <= names.keys():
-            return names if len(names) == len(found) else None
-    return None
-
-
-def _hashed(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return _raw(spark, paths, NEWLINE).select(F.xxhash64("file").alias("hash"), "block", F.col("value").cast("binary").alias("value"))
-
-
-def _runs(batch: pa.RecordBatch):
-    """(key, start, end) of the consecutive rows of a block."""
-    h, block = (batch.column(c).to_numpy() for c in ("hash", "block"))
-    cuts = [0, *(np.flatnonzero((np.diff(h) != 0) | (np.diff(block) != 0)) + 1).tolist(), len(h)]
-    return [((int(h[a]), int(block[a])), a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-
-
-def fastq_in_place(spark: SparkSession, paths: list[str], mode: str = FAILFAST) -> DataFrame | None:
-    """FASTQ records framed where they are read, without a shuffle; None if the table of blocks is too large for that.
-
-    A block emits the records whose header it holds and takes the lines that finish its last one from the table.
-    """
-    table = block_table(spark, paths)
-    if table is None:
-        return None
-    held = spark.sparkContext.broadcast(table)
-
-    def frame(batches):
-        key, at, owed, carry = None, 0, 0, pa.array([], pa.binary())
-
-        def records(lines: pa.Array, first: int, file: str):
-            n = len(lines) // 4
-            if n:
-                index = [pa.array(range(k, 4 * n, 4), pa.int64()) for k in range(4)]
-                yield parse.fastq_batch(file, first // 4, [lines.take(i) for i in index], mode)
-
-        def close():
-            if key is not None and not owed:
-                file, _, rest = held.value[key]
-                yield from records(pa.concat_arrays([carry, pa.array(rest, pa.binary())]), at, file)
-
-        for batch in batches:
-            for now, a, b in _runs(batch):
-                lines = batch.column("value").slice(a, b - a)
-                if now != key:
-                    yield from close()
-                    key, carry = now, pa.array([], pa.binary())
-                    at = held.value[key][1]
-                    owed = -at % 4  # lines that finish the record before
-                skip = min(owed, len(lines))
-                at, lines, owed = at + skip, lines.slice(skip), owed - skip
-                whole = pa.concat_arrays([carry, lines]) if len(carry) else lines
-                n = len(whole) // 4 * 4
-                yield from records(whole.slice(0, n), at, held.value[key][0])
-                at, carry = at + n, pa.concat_arrays([whole.slice(n)])
-        yield from close()
-
-    columns = [*RECORD_SCHEMA.fields, ERROR_FIELD]
-    out = _hashed(spark, paths).mapInArrow(frame, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns))
-    return out if mode == PERMISSIVE else out.select(*RECORD_COLUMNS)
-
-
-def read_fastq(spark: SparkSession, paths: list[str], mode: str = FAILFAST) -> DataFrame:
-    found = fastq_in_place(spark, paths, mode)
-    return fastq_by_shuffle(spark, paths, mode) if found is None else found
-
-
 def read_fasta(spark: SparkSession, paths: list[str], mode: str = FAILFAST) -> DataFrame:
     """FASTA records, one or many lines each; JVM only. Chunks between "\\n>" are numbered; a file's first is a record only if it begins with >."""
     junk = F.when((F.col("block") == 0) & ~F.min_by(F.col("value").startswith(">"), "mid"), 1).otherwise(0)
@@ -241,10 +129,3 @@ def read_sam(spark: SparkSession, paths: list[str]) -> DataFrame:
         "file", (F.col("n") - F.col("marked")).alias("rec_index"), text(0).cast("binary").alias("id"), F.coalesce(present(9), F.lit(b"")).alias("seq"),
         F.lit(None).cast("binary").alias("seq_raw"), present(10).alias("qual"), F.lit(None).cast("binary").alias("sep"), F.lit(SAM).alias("format"), text(1).cast("int").alias("flag"),
     )
-
-
-def first_byte(spark: SparkSession, path: str) -> bytes:
-    found = read_bytes(spark, path, 0, 1)
-    if not found:
-        raise FastxFormatError(f"an empty file has no format: {path}")
-    return found

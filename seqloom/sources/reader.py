@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 import sys
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +13,13 @@ from pyspark.sql import functions as F
 from seqloom.errors import FastxFormatError
 from seqloom.schema import BAM, FASTA, FASTQ, PERMISSIVE, SAM, ReadOptions, batch_for_bases
 from seqloom.sources import plain
-from seqloom.sources.codec import MAGIC_BYTES, decompressed, sniff
+from seqloom.sources.codec import BLOCK_BYTES, MAGIC_BYTES, beginning, sniff
 from seqloom.sources.datasource import load
 from seqloom.sources.parse import sniff_format
-from seqloom.sources.remote import is_remote, open_stream
-from seqloom.storage import list_files, read_bytes
+from seqloom.sources.remote import is_remote, local_path
+from seqloom.sources.splits import load_splits
+from seqloom.sources.stored import load_stored
+from seqloom.storage import has_file_system, list_files, read_bytes
 
 
 def _peek(spark: SparkSession, path: str, kind: str) -> tuple[str | None, str]:
@@ -25,59 +28,73 @@ def _peek(spark: SparkSession, path: str, kind: str) -> tuple[str | None, str]:
     codec = sniff(head)
     if codec is None:
         return None, kind if kind != "auto" or not head else sniff_format(head)
-    if kind == "auto":
-        with open_stream(path) as raw:
-            kind = sniff_format(decompressed(raw).read(1))
-    return codec, kind
+    return codec, sniff_format(beginning(read_bytes(spark, path, 0, BLOCK_BYTES), 1)) if kind == "auto" else kind
+
+
+def streams(spark: SparkSession, path: str, open_options: dict | None) -> bool:
+    """Whether a path is an address that one task streams: http(s) and ssh always; gs only without a Hadoop file system for it, or with options for gcloud."""
+    return is_remote(path) and not (path.startswith("gs://") and not open_options and has_file_system(spark, "gs"))
 
 
 def read_fastx(spark: SparkSession, paths: str | list[str], *, open_options: dict | None = None, **options) -> DataFrame:
     """Records of FASTA and FASTQ files; see RECORD_SCHEMA and ReadOptions.
 
-    Plain files are split; compressed ones and addresses are streamed, one to a task. format="auto" looks at each file's first byte and refuses an
-    empty file; a named format reads it as no records. A format that is asked for is held against the first byte of plain FASTQ by validation.
+    Plain files are split, and their splits fixed here: by the workers themselves where these can open a path, else by Spark's reader. Compressed ones
+    and addresses are streamed, one to a task. format="auto" looks at each file's first byte and refuses an empty file; a named format reads it as no
+    records. A format that is asked for is held against the first byte of plain FASTQ by validation.
     """
     opts = ReadOptions.of(options)
     given = [paths] if isinstance(paths, str) else list(paths)
     if not given:
         raise ValueError("no paths")
-    split: dict[str, list[str]] = {}
-    stream: list[tuple[str, str]] = []
+    own: dict[str, list[tuple[str, int]]] = {}  # workers open these
+    spark_own: dict[str, list[str]] = {}  # only Spark opens these
+    stream: dict[str, list[str]] = {}
+    stored: dict[str, list[str]] = {}
     for path in given:
-        if is_remote(path):
-            stream.append((path, opts.format))
+        if streams(spark, path, open_options):
+            stream.setdefault(opts.format, []).append(path)
             continue
         for file, size in list_files(spark, [path]):
+            local = local_path(file) is not None
             if not size:
                 if opts.format == "auto":
                     raise FastxFormatError(f"an empty file has no format: {file}")
-                split.setdefault(opts.format, []).append(file)
+                own.setdefault(opts.format, []).append((file, 0))
                 continue
             codec, kind = _peek(spark, file, opts.format)
-            if codec is None:
-                split.setdefault(kind, []).append(file)
+            if codec is not None:
+                (stream if local else stored).setdefault(kind, []).append(file)
+            elif local:
+                own.setdefault(kind, []).append((file, size))
             else:
-                stream.append((file, kind))
-    read = {FASTQ: plain.read_fastq, FASTA: plain.read_fasta}
-    parts = [read[kind](spark, files, opts.mode) for kind, files in split.items()]
-    if opts.record_limit is not None:
-        parts = [p.where(F.col("rec_index") < opts.record_limit) for p in parts]
-    batch = opts.records_per_batch
-    for kind in dict.fromkeys(k for _, k in stream):
-        files = [p for p, k in stream if k == kind]
-        if opts.bases_per_batch:
-            batch = batch_for_bases(opts.bases_per_batch, _first_length(spark, files[0], kind, opts, open_options))
-        parts.append(load(spark, files, opts, kind, batch, **(open_options or {})))
+                spark_own.setdefault(kind, []).append(file)
+    parts = []
+    for kind, files in own.items():
+        parts.append(load_splits(spark, files, kind, opts, _batch(opts, lambda kind=kind, files=files: load_splits(spark, files[:1], kind, _PEEK, 1))))
+    for kind, files in spark_own.items():
+        found = {FASTQ: plain.read_fastq, FASTA: plain.read_fasta}[kind](spark, files, opts.mode)
+        parts.append(found if opts.record_limit is None else found.where(F.col("rec_index") < opts.record_limit))
+    for kind, files in stream.items():
+        parts.append(load(spark, files, opts, kind, _batch(opts, lambda kind=kind, files=files: load(spark, files[:1], _PEEK, kind, 1, **(open_options or {}))), **(open_options or {})))
+    for kind, files in stored.items():
+        parts.append(load_stored(spark, files, kind, opts, _batch(opts, lambda kind=kind, files=files: load_stored(spark, files[:1], kind, _PEEK, 1))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _first_length(spark, file, kind, opts, open_options) -> int:
-    one = load(spark, [file], ReadOptions(format=opts.format, mode=PERMISSIVE, record_limit=1), kind, 1, **(open_options or {}))
-    row = one.select(F.octet_length("seq_raw").alias("n")).first()
-    return row.n if row else 0
+#: For the first record of a file.
+_PEEK = ReadOptions(mode=PERMISSIVE, record_limit=1)
+
+
+def _batch(opts: ReadOptions, first: Callable[[], DataFrame]) -> int:
+    """Records in a batch: as asked for, or as many of the first one's length as hold the bases asked for."""
+    if not opts.bases_per_batch:
+        return opts.records_per_batch
+    row = first().select(F.octet_length("seq_raw").alias("n")).first()
+    return batch_for_bases(opts.bases_per_batch, row.n if row else 0)
 
 
 def batch_size(records: DataFrame, bases: int) -> int:
@@ -95,9 +112,9 @@ def read_fastq(spark: SparkSession, paths, **options) -> DataFrame:
 
 
 def expect_format(records: DataFrame, kind: str) -> DataFrame:
-    """The records, all of one format; another is an error."""
+    """The records, all of one format; another is an error, whatever is asked of them."""
     wrong = F.raise_error(F.concat(F.lit(f"expected {kind}, found "), F.col("format"), F.lit(" in "), F.col("file")))
-    return records.withColumn("format", F.when(F.col("format") == kind, F.col("format")).otherwise(wrong))
+    return records.where(F.when(F.col("format") == kind, F.lit(True)).otherwise(wrong.cast("boolean")))
 
 
 def from_bytes(spark: SparkSession, data: bytes, **options) -> DataFrame:
@@ -150,26 +167,33 @@ def from_gcs(spark: SparkSession, url: str, gcloud_args: list[str] | None = None
     from seqloom.sources.remote import GcsUrl
 
     named = {"project": project, "billing_project": billing_project, "impersonate": impersonate}
-    return read_fastx(spark, GcsUrl.parse(url).gs_path, open_options={"gcloud_args": list(gcloud_args or []), **{k: v for k, v in named.items() if v}}, **options)
+    found = {k: v for k, v in (named | {"gcloud_args": list(gcloud_args or [])}).items() if v}
+    return read_fastx(spark, GcsUrl.parse(url).gs_path, open_options=found, **options)
 
 
 def read_alignments(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Alignments of SAM and BAM files, with `flag`. CRAM needs its reference sequences and is refused."""
-    given = [f for f, _ in list_files(spark, [paths] if isinstance(paths, str) else list(paths))]
-    kinds: dict[str, list[str]] = {}
-    for file in given:
-        head = read_bytes(spark, file, 0, MAGIC_BYTES)
+    own, spark_own, stream, stored = [], [], [], []
+    for file, size in list_files(spark, [paths] if isinstance(paths, str) else list(paths)):
+        head, local = read_bytes(spark, file, 0, MAGIC_BYTES), local_path(file) is not None
         if head.startswith(b"CRAM"):
             raise FastxFormatError(f"CRAM is not supported: {file}")
-        kind = SAM
-        if sniff(head):
-            with open_stream(file) as raw:
-                kind = BAM if decompressed(raw).read(4) == b"BAM\x01" else SAM
-        kinds.setdefault(kind, []).append(file)
-    parts = []
-    if SAM in kinds:
-        parts.append(plain.read_sam(spark, kinds[SAM]))
-    if BAM in kinds:
-        parts.append(load(spark, kinds[BAM], ReadOptions(), BAM, 1024))
+        if not sniff(head):
+            own.append((file, size)) if local else spark_own.append(file)
+        elif beginning(read_bytes(spark, file, 0, BLOCK_BYTES), 4) == b"BAM\x01":
+            (stream if local else stored).append(file)
+        else:
+            raise FastxFormatError(f"compressed, and not a BAM file: {file}")
+    options, parts = ReadOptions(), []
+    if own:
+        parts.append(load_splits(spark, own, SAM, options, 1024))
+    if spark_own:
+        parts.append(plain.read_sam(spark, spark_own))
+    if stream:
+        parts.append(load(spark, stream, options, BAM, 1024))
+    if stored:
+        parts.append(load_stored(spark, stored, BAM, options, 1024))
     out = parts[0]
-    return out.unionByName(parts[1]) if len(parts) > 1 else out
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 import urllib.request
 from dataclasses import dataclass
@@ -103,6 +104,31 @@ def is_remote(path: str) -> bool:
     return path.startswith(("http://", "https://", "ssh://", "gs://"))
 
 
+def local_path(path: str) -> str | None:
+    """The path of a file: address or of a plain path; None for other schemes."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return path
+    return "/" + rest.lstrip("/") if scheme == "file" else None
+
+
+def open_file(path: str, at: int = 0, size: int | None = None):
+    """A file's raw bytes from a place on. A size that was planned with is held against the file's: it must not have changed since."""
+    local = local_path(path)
+    if local is None:
+        raise RemoteError(f"workers can't open {path}; Spark's own readers can")
+    stream = open(local, "rb", buffering=1 << 20)
+    try:
+        found = os.fstat(stream.fileno()).st_size
+        if size is not None and found != size:
+            raise RemoteError(f"{path} has {found} bytes; when the table was made it had {size}")
+        stream.seek(at)
+    except BaseException:
+        stream.close()
+        raise
+    return stream
+
+
 def open_stream(path: str, ssh_args: list[str] | None = None, gcloud_args: list[str] | None = None, **gcs):
     """Raw bytes of a path or address, to be read once. Paths are opened where this runs."""
     if path.startswith(("http://", "https://")):
@@ -114,4 +140,4 @@ def open_stream(path: str, ssh_args: list[str] | None = None, gcloud_args: list[
         return CommandStream(SshUrl.parse(path).command(*(ssh_args or [])))
     if path.startswith("gs://"):
         return CommandStream(GcsUrl.parse(path).command(*(gcloud_args or []), **gcs))
-    return open(path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:"), "rb")
+    return open_file(path)

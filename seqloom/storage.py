@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from seqloom.errors import ConfigurationError
@@ -31,6 +32,15 @@ def file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def has_file_system(spark: SparkSession, scheme: str) -> bool:
+    """Whether Hadoop knows a file system for a scheme."""
+    try:
+        spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getFileSystemClass(scheme, spark.sparkContext._jsc.hadoopConfiguration())
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def remove(spark: SparkSession, path: str) -> None:
     try:
         fs, where = file_system(spark, path)
@@ -66,9 +76,6 @@ def read_bytes(spark: SparkSession, path: str, at: int, n: int) -> bytes:
     stream = fs.open(where)
     try:
         stream.seek(at)
-        out = bytearray()
-        while len(out) < n and (b := stream.read()) >= 0:
-            out.append(b)
-        return bytes(out)
+        return bytes(stream.readNBytes(n))
     finally:
         stream.close()

@@ -75,6 +75,31 @@ def test_pairs_of_unequal_files(spark, file, n, short):
         combine.paired(a, b).collect()
 
 
+#: Ways to ask for a result, none of which may hide an error.
+ASKS = {"all": lambda df: df.collect(), "count": lambda df: df.count(), "index": lambda df: df.select("rec_index").collect(), "sum": lambda df: aggregates.seq_sum_groups(df).collect(), "limit": lambda df: df.agg({"rec_index": "max"}).collect()}
+
+
+@pytest.mark.parametrize("ask", ASKS.values(), ids=ASKS)
+def test_checks_hold_whatever_is_asked(spark, file, ask):
+    ten, seven, other = (reader.read_fastx(spark, file(n, salt=s)) for n, s in ((10, ""), (7, ""), (10, "x")))
+    for bad, error in (
+        (combine.paired(ten, seven), "LENGTH_MISMATCH: fewer records in r2"), (combine.paired(seven, ten), "LENGTH_MISMATCH: fewer records in r1"), (combine.multi([ten, seven, ten]), "LENGTH_MISMATCH: fewer records in r2"),
+        (combine.multi([ten, ten, seven, seven]), "fewer records in r3, r4"), (combine.interleaved(seven), "ARITY_MISMATCH"), (combine.interleaved_multi(ten, 3), "ARITY_MISMATCH"),
+        (combine.paired(ten, other, check_names=True), "DIFFERENT_NAMES"),
+    ):
+        with pytest.raises(Exception, match=error):
+            ask(bad)
+    for good in (combine.paired(ten, other), combine.multi([ten, ten, other]), combine.interleaved(ten), combine.interleaved_multi(ten, 5)):
+        ask(good)
+
+
+def test_unused_fields_are_not_joined(spark, file):
+    a, b = (reader.read_fastx(spark, file(10, salt=s)) for s in "ab")
+    plan = aggregates.seq_sum_groups(combine.paired(a, b))._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join FullOuter") :]
+    assert "seq" in join and "qual" not in join.split("RelationV2")[0]
+
+
 def test_groups_of_files(spark, file):
     sides = [reader.read_fastx(spark, file(100, salt=s)) for s in "abcd"]
     got = combine.multi(sides)

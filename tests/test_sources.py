@@ -67,8 +67,8 @@ def test_fastq_splits(spark, tmp_path, size):
     paths = [put(tmp_path / f"{i}.fq", d) for i, d in enumerate(datas)]
     want = sorted((r for d in datas for r in parsed(d, FASTQ)), key=repr)
     with split_bytes(spark, size):
-        assert collected(plain.fastq_in_place(spark, paths, PERMISSIVE)) == want
-        assert collected(plain.fastq_by_shuffle(spark, paths, PERMISSIVE)) == want
+        assert collected(reader.read_fastq(spark, paths, mode=PERMISSIVE)) == want
+        assert collected(plain.read_fastq(spark, paths, PERMISSIVE)) == want
 
 
 @pytest.mark.parametrize("size", [64, 1 << 20])
@@ -76,7 +76,8 @@ def test_fasta_splits(spark, tmp_path, size):
     datas = [fasta(80), fasta(20, 2)[:-1], b"junk\n>a\nAC\nGT\n", b"no records\n", b">\n>\n>b", b"\n>c\nA\n", b">d\r\nA\r\n"]
     paths = [put(tmp_path / f"{i}.fa", d) for i, d in enumerate(datas)]
     with split_bytes(spark, size):
-        assert collected(plain.read_fasta(spark, paths)) == sorted((r for d in datas for r in parsed(d, FASTA)), key=repr)
+        want = sorted((r for d in datas for r in parsed(d, FASTA)), key=repr)
+        assert collected(plain.read_fasta(spark, paths)) == want and collected(reader.read_fasta(spark, paths)) == want
 
 
 def test_random_bytes(spark, tmp_path):
@@ -84,9 +85,10 @@ def test_random_bytes(spark, tmp_path):
     datas = [bytes(rng.choice(b"@>+\n\nAC\r\xff") for _ in range(rng.randrange(1, 200))) for _ in range(25)]
     paths = [put(tmp_path / f"{i}", d) for i, d in enumerate(datas)]
     with split_bytes(spark, 37):
-        assert collected(plain.fastq_in_place(spark, paths, PERMISSIVE)) == sorted((r for d in datas for r in parsed(d, FASTQ)), key=repr)
-        assert collected(plain.fastq_by_shuffle(spark, paths, PERMISSIVE)) == sorted((r for d in datas for r in parsed(d, FASTQ)), key=repr)
-        assert collected(plain.read_fasta(spark, paths)) == sorted((r for d in datas for r in parsed(d, FASTA)), key=repr)
+        assert collected(reader.read_fastq(spark, paths, mode=PERMISSIVE)) == sorted((r for d in datas for r in parsed(d, FASTQ)), key=repr)
+        assert collected(plain.read_fastq(spark, paths, PERMISSIVE)) == sorted((r for d in datas for r in parsed(d, FASTQ)), key=repr)
+        want = sorted((r for d in datas for r in parsed(d, FASTA)), key=repr)
+        assert collected(plain.read_fasta(spark, paths)) == want and collected(reader.read_fasta(spark, paths)) == want
 
 
 @pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zstandard.compress])
@@ -125,6 +127,121 @@ def test_formats_and_errors(spark, tmp_path):
         reader.read_fastq(spark, a + "*").collect() if False else reader.read_fastq(spark, put(tmp_path / "e", b"xx\nA\n+\nI\n")).collect()
 
 
+def test_validation_and_formats_hold_whatever_is_asked(spark, tmp_path):
+    bad, fa = put(tmp_path / "bad", b"xx\nA\n+\nI\n" * 5), put(tmp_path / "fa", b">a\nA\n")
+    asks = (lambda df: df.count(), lambda df: df.select("seq").collect(), lambda df: df.select("file").distinct().collect())
+    for ask in asks:
+        for records in (reader.read_fastq(spark, bad), plain.read_fastq(spark, [bad])):
+            with pytest.raises(Exception, match="INVALID_HEADER"):
+                ask(records)
+        with pytest.raises(Exception, match="expected fastq"):
+            ask(reader.expect_format(reader.read_fastx(spark, fa), FASTQ))
+        with pytest.raises(Exception, match="not an alignment"):
+            ask(reader.read_alignments(spark, fa))
+
+
+SETTINGS = [("spark.sql.files.maxPartitionBytes", "700"), ("spark.sql.files.maxPartitionBytes", "1g"), ("spark.sql.leafNodeDefaultParallelism", "97"), ("spark.sql.leafNodeDefaultParallelism", "1"), ("spark.sql.files.minPartitionNum", "61")]
+
+
+def test_no_record_is_lost_when_settings_change(spark, tmp_path):
+    """Tables made under one setting and read under another; by workers and by Spark's reader."""
+    n = 900
+    q, a, s = put(tmp_path / "q", fastq(n)), put(tmp_path / "a", fasta(n)), put(tmp_path / "s", b"@HD\n" + b"".join(b"r%d\t4\t*\t0\t0\t*\t*\t0\t0\tAC\tII\n" % i for i in range(n)))
+    with split_bytes(spark, 3000):
+        made = [reader.read_fastq(spark, q), plain.read_fastq(spark, [q]), reader.read_fasta(spark, a), plain.read_fasta(spark, [a]), reader.read_alignments(spark, s), plain.read_sam(spark, [s])]
+    want = [[tuple(r) for r in df.select("rec_index", "id", "seq").sort("rec_index").collect()] for df in made]
+    assert all(len(w) == n and [r[0] for r in w] == list(range(n)) for w in want) and want[0] == want[1] and want[2] == want[3] and want[4] == want[5]
+    for key, value in SETTINGS:
+        spark.conf.set(key, value)
+        try:
+            for df, w in zip(made, want, strict=True):
+                assert df.count() == n
+                assert [tuple(r) for r in df.select("rec_index", "id", "seq").sort("rec_index").collect()] == w
+        finally:
+            spark.conf.unset(key)
+
+
+def test_splits_outside_a_range_are_not_read(spark, tmp_path):
+    data = fastq(2000)
+    path = put(tmp_path / "q", data)
+    with split_bytes(spark, len(data) // 20):
+        records = reader.read_fastq(spark, path)
+        limited = reader.read_fastq(spark, path, record_limit=30)
+        tail = reader.read_alignments(spark, put(tmp_path / "s", b"".join(b"r%d\t4\t*\t0\t0\t*\t*\t0\t0\tAC\tII\n" % i for i in range(3000))))
+    parts = lambda df: df._jdf.queryExecution().executedPlan().execute().getNumPartitions()
+    assert parts(records) >= 20 and parts(limited) == 1 and limited.count() == 30
+    some = records.where("rec_index >= 1000 and rec_index < 1010")
+    assert parts(some) <= 2 and [r.rec_index for r in some.sort("rec_index").collect()] == list(range(1000, 1010))
+    assert parts(records.where("rec_index = 1999")) == 1 and records.where("rec_index = 1999").count() == 1
+    assert records.where("rec_index > 5000").count() == 0 and records.where("rec_index < 0").count() == 0
+    assert parts(tail.where("rec_index >= 2990")) <= 1 + parts(tail) // 20 and tail.where("rec_index >= 2990").count() == 10
+
+
+def test_a_changed_file_is_an_error(spark, tmp_path):
+    path = put(tmp_path / "q", fastq(50))
+    records = reader.read_fastq(spark, path)
+    put(tmp_path / "q", fastq(51))
+    with pytest.raises(Exception, match="when the table was made"):
+        records.count()
+
+
+@pytest.mark.parametrize("kind", [FASTQ, FASTA])
+def test_long_records_over_many_splits(spark, tmp_path, kind):
+    lines = [b"ACGT" * 50_000, b"A", b"C" * 70_000, b"", b"G" * 300_000]
+    data = b"".join(b"@r\n" + x + b"\n+\n" + b"I" * len(x) + b"\n" if kind == FASTQ else b">r\n" + b"\n".join(x[i : i + 80] for i in range(0, len(x), 80)) + b"\n" for x in lines)
+    path = put(tmp_path / "x", data)
+    with split_bytes(spark, 9000):
+        got = reader.read_fastx(spark, path).sort("rec_index").select("rec_index", "seq").collect()
+    assert [(r.rec_index, bytes(r.seq)) for r in got] == list(enumerate(lines))
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    """A file system that only Hadoop opens, over a local folder; gs:// too."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    names = {"fs.viewfs.mounttable.shop.link./in": f"file://{tmp_path}", "fs.gs.impl": "org.apache.hadoop.fs.viewfs.ViewFileSystemOverloadScheme", "fs.viewfs.mounttable.bucket.link./in": f"file://{tmp_path}", "fs.viewfs.overload.scheme.target.gs.impl": "org.apache.hadoop.fs.LocalFileSystem"}
+    for k, v in names.items():
+        conf.set(k, v)
+    yield "viewfs://shop/in"
+    for k in names:
+        conf.unset(k)
+
+
+def test_files_in_a_store(spark, tmp_path, store):
+    """Plain, compressed under names that Hadoop knows and under others, and BAM; a peek, a limit and a format found by content."""
+    q, a = fastq(300), fasta(200)
+    put(tmp_path / "q.fq", q), put(tmp_path / "a.fa", a)
+    with split_bytes(spark, 1000):
+        assert collected(reader.read_fastx(spark, f"{store}/q.fq")) == sorted(parsed(q, FASTQ), key=repr)
+        assert collected(reader.read_fastx(spark, f"{store}/a.fa")) == sorted(parsed(a, FASTA), key=repr)
+    for name, pack in (("x.gz", gzip.compress), ("x.data", gzip.compress), ("y.data", bz2.compress), ("y.bz2", bz2.compress), ("z.data", lzma.compress), ("z.xz", lzma.compress), ("s.data", zstandard.compress)):
+        for data, kind in ((q, FASTQ), (a, FASTA), (q[:-1], FASTQ)):
+            put(tmp_path / name, pack(data))
+            assert collected(reader.read_fastx(spark, f"{store}/{name}")) == sorted(parsed(data, kind), key=repr), name
+    put(tmp_path / "x.data", gzip.compress(q[:500]) + gzip.compress(q[500:]))
+    both = reader.read_fastx(spark, [f"{store}/x.data", f"{store}/y.bz2", f"{store}/q.fq"], record_limit=7, bases_per_batch=100)
+    assert both.count() == 21 and {r.rec_index for r in both.collect()} == set(range(7))
+    rows = [(f"q{i}", 4, "ACGTN=ACMG"[: i % 11], [i % 90] * (i % 11) if i % 3 else None) for i in range(30)]
+    put(tmp_path / "x.bam", bam(rows)), put(tmp_path / "x.sam", SAM.encode())
+    got = sorted((r.rec_index, bytes(r.id).decode(), r.flag, bytes(r.seq).decode()) for r in reader.read_alignments(spark, f"{store}/x.bam").collect())
+    assert got == [(i, n, f, s) for i, (n, f, s, _) in enumerate(rows)]
+    assert reader.read_alignments(spark, [f"{store}/x.bam", f"{store}/x.sam"]).count() == 70
+    bad = put(tmp_path / "bad.data", gzip.compress(b"@a\nA\n-\nI\n"))
+    for at in (bad, f"{store}/bad.data"):
+        with pytest.raises(Exception, match="INVALID_SEPARATOR|InvalidSeparator"):
+            reader.read_fastx(spark, at).count()
+        assert reader.read_fastx(spark, at, mode=PERMISSIVE).first()["_error"] == "INVALID_SEPARATOR"
+
+
+def test_buckets_through_hadoop(spark, tmp_path, store):
+    """gs:// with a Hadoop file system for it is read like any other store; without one, or with options for gcloud, by the command."""
+    put(tmp_path / "q.fq", fastq(40)), put(tmp_path / "q.gz", gzip.compress(fastq(40)))
+    assert not reader.streams(spark, "gs://bucket/in/q.fq", None) and reader.streams(spark, "gs://bucket/in/q.fq", {"project": "p"}) and reader.streams(spark, "https://h/x", None)
+    assert collected(reader.from_gcs(spark, "gs://bucket/in/q.fq")) == collected(reader.from_gcs(spark, "gs://bucket/in/q.gz")) == sorted(parsed(fastq(40), FASTQ), key=repr)
+    spark.sparkContext._jsc.hadoopConfiguration().unset("fs.gs.impl")
+    assert reader.streams(spark, "gs://bucket/in/q.fq", None)
+
+
 def test_bytes_and_stdin(spark, tmp_path):
     data = fastq(5)
     want = sorted(parsed(data, FASTQ), key=repr)
