@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from seqloom.errors import CollectionSizeMismatchError
 from seqloom.operators import combine
 from seqloom.operators.ranges import take_range
-from seqloom.sources.reader import read_fastx
-from seqloom.sources.remote import is_remote
+from seqloom.sources.plain import BLOCK_TABLE_BYTES
+from seqloom.sources.reader import read_fastx, read_groups, streams
 from seqloom.storage import list_files
 
 KINDS = ("single", "paired", "interleaved", "multi", "interleaved_multi")
@@ -51,14 +52,20 @@ class Collection:
     def limited(self, n: int) -> Collection:
         return Collection(self.spark, self.paths, self.kind, self.arity, self.options | {"record_limit": n})
 
-    def records(self) -> DataFrame:
-        """All records with file_ord, the file's place in the collection."""
-        names = [(f, i) for i, p in enumerate(self.paths) for f, _ in ([(p, 0)] if is_remote(p) else list_files(self.spark, [p]))]
+    def _ordered(self, read: Callable[..., DataFrame], *args) -> DataFrame:
+        """What read gives of all files, with file_ord, the file's place in the collection."""
+        names = [(f, i) for i, p in enumerate(self.paths) for f, _ in ([(p, 0)] if streams(self.spark, p, None) else list_files(self.spark, [p]))]
         order = self.spark.createDataFrame(names, "named string, file_ord int")  # a row for each path given, so a path may come twice
         files = list(dict.fromkeys(f for f, _ in names))
         plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-        records = read_fastx(self.spark, files, **self.options)
-        return records.join(F.broadcast(order), plain(F.col("file")) == plain(F.col("named"))).drop("named")
+        rows = read(self.spark, files, *args, **self.options)
+        # A row for each file: broadcast while that is small, as measured.
+        small = sum(len(f) + 64 for f, _ in names) <= BLOCK_TABLE_BYTES
+        return rows.join(F.broadcast(order) if small else order, plain(F.col("file")) == plain(F.col("named"))).drop("named")
+
+    def records(self) -> DataFrame:
+        """All records with file_ord, the file's place in the collection."""
+        return self._ordered(read_fastx)
 
     def _grouped(self, n: int) -> list[DataFrame]:
         self._fits(n)
@@ -83,11 +90,12 @@ class Collection:
 
     def interleaved(self, start: int | None = None, end: int | None = None) -> DataFrame:
         self._warn("interleaved")
-        return take_range(combine.interleaved(self.records()), start, end)
+        pairs = self._ordered(read_groups, 2)
+        return take_range(pairs.select("file", "rec_index", F.col("members")[0].alias("r1"), F.col("members")[1].alias("r2"), "file_ord"), start, end)
 
     def interleaved_multi(self, start: int | None = None, end: int | None = None) -> DataFrame:
         self._warn("interleaved_multi")
-        return take_range(combine.interleaved_multi(self.records(), self.arity), start, end)
+        return take_range(self._ordered(read_groups, self.arity), start, end)
 
     def unique_format(self) -> str | None:
         """The format of all files, or None if they differ; one row for each format comes to the driver."""

@@ -11,7 +11,7 @@ import json
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from seqloom.schema import BAM, ERROR_FIELD, FAILFAST, FLAG_FIELD, PERMISSIVE, RECORD_SCHEMA, SAM, ReadOptions
 
@@ -32,6 +32,9 @@ class FastxReader(DataSourceReader):
         self.mode, self.columns = options.get("mode", FAILFAST), schema.fieldNames()
         self.size, self.open = int(options.get("batch", 1024)), json.loads(options.get("open", "{}"))
         self.start, self.stop = 0, int(options["limit"]) if options.get("limit") else None
+        self.arity = int(options.get("arity", 0))
+        if self.arity and self.stop is not None:  # a limit of records; a group cut by it is an error, so it is read
+            self.stop = -(-self.stop // self.arity)
         self.splits, self.most, self.cost = options.get("splits"), int(options.get("most", 1)), int(options.get("cost", 1))
 
     def pushFilters(self, filters):
@@ -48,7 +51,7 @@ class FastxReader(DataSourceReader):
         if self.splits is not None:
             from seqloom.sources.splits import grouped, unpacked
 
-            wanted = [s for s in unpacked(self.splits) if not s.outside(self.format, self.start, self.stop)]
+            wanted = [s for s in unpacked(self.splits) if not s.outside(self.format, self.start, self.stop, self.arity or 1)]
             # Spark wants a partition even of nothing.
             return [SplitsPartition(g, self.start, self.stop) for g in grouped(wanted, self.most, self.cost)] or [SplitsPartition([], 0, 0)]
         return [FilePartition(p, self.start, self.stop) for p in self.paths]
@@ -62,17 +65,18 @@ class FastxReader(DataSourceReader):
             from seqloom.sources.splits import read_split
 
             for split in partition.splits:
-                for batch in read_split(split, self.format, self.mode, partition.start, partition.stop, self.size):
+                for batch in read_split(split, self.format, self.mode, partition.start, partition.stop, self.size, self.arity):
                     yield batch.select(self.columns)
             return
         raw = open_stream(partition.path, **self.open)
         try:
             stream = decompressed(raw)
-            found = (
-                bam.batches(stream, partition.path, partition.start, partition.stop, self.size)
-                if self.format == BAM
-                else parse.batches(stream, partition.path, self.format, self.mode, partition.start, partition.stop, self.size)
-            )
+            if self.format == BAM:
+                found = bam.batches(stream, partition.path, partition.start, partition.stop, self.size)
+            else:
+                k = self.arity or 1
+                found = parse.batches(stream, partition.path, self.format, self.mode, partition.start * k, None if partition.stop is None else partition.stop * k, self.size)
+                found = parse.groups(found, self.arity, partition.path) if self.arity else found
             for batch in found:
                 yield batch.select(self.columns)
         finally:
@@ -86,13 +90,16 @@ class FastxSource(DataSource):
 
     def schema(self) -> StructType:
         extra = [FLAG_FIELD] if self.options.get("format") in (BAM, SAM) else [ERROR_FIELD] if self.options.get("mode") == PERMISSIVE else []
+        if self.options.get("arity"):
+            file, index, *rest = RECORD_SCHEMA.fields
+            return StructType([file, index, StructField("members", ArrayType(StructType([index, *rest, *extra])), False)])
         return StructType([*RECORD_SCHEMA.fields, *extra])
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return FastxReader(dict(self.options), schema)
 
 
-def load(spark: SparkSession, paths: list[str], options: ReadOptions, kind: str, batch: int, *, splits: str | None = None, most: int = 1, cost: int = 1, **open_options):
+def load(spark: SparkSession, paths: list[str], options: ReadOptions, kind: str, batch: int, *, splits: str | None = None, most: int = 1, cost: int = 1, arity: int = 0, **open_options):
     """The files or addresses as a DataFrame; of plain files their splits."""
     spark.dataSource.register(FastxSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
@@ -100,6 +107,8 @@ def load(spark: SparkSession, paths: list[str], options: ReadOptions, kind: str,
     reader = reader.option("batch", batch).option("open", json.dumps(open_options))
     if splits is not None:
         reader = reader.option("splits", splits).option("most", most).option("cost", cost)
+    if arity:
+        reader = reader.option("arity", arity)
     if options.record_limit is not None:
         reader = reader.option("limit", options.record_limit)
     return reader.load()

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from seqloom.errors import RECORD_ERRORS, FastxFormatError
+from seqloom.errors import RECORD_ERRORS, ArityError, FastxFormatError
 from seqloom.schema import DROPMALFORMED, FAILFAST, FASTA, FASTQ, SAM
 
 CHUNK = 4 << 20
@@ -264,3 +264,24 @@ def batches(stream, file: str, kind: str, mode: str = FAILFAST, start: int = 0,
         yield from _sam(w, file, want, at, end, before)
     else:
         yield from _fasta(w, file, want, at, end, before)
+
+
+def groups(found: Iterator[pa.RecordBatch], arity: int, file: str) -> Iterator[pa.RecordBatch]:
+    """(file, rec_index, members): consecutive records, which begin with a group's first, in groups of `arity`. A rest is an error."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in found:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= arity:
+            whole = pa.concat_batches(held)
+            n = rows // arity * arity
+            kept = whole.slice(0, n).drop_columns(["file"])
+            names = ["rec_index", *(c for c in kept.schema.names if c != "rec_index")]
+            members = pa.StructArray.from_arrays([kept.column(c) for c in names], names)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n + 1, arity), pa.int32()), members)
+            first = pc.divide(whole.column("rec_index").take(pa.array(np.arange(0, n, arity))), arity)
+            yield pa.RecordBatch.from_arrays([_same(file, n // arity), first, lists], ["file", "rec_index", "members"])
+            held, rows = [whole.slice(n)] if rows > n else [], rows - n
+    if rows:
+        raise ArityError(f"ARITY_MISMATCH: records aren't a multiple of {arity} in {file}")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.errors import FastxFormatError
-from seqloom.schema import BAM, FASTA, FASTQ, PERMISSIVE, SAM, ReadOptions, batch_for_bases
+from seqloom.schema import BAM, DROPMALFORMED, FASTA, FASTQ, PERMISSIVE, SAM, ReadOptions, batch_for_bases
 from seqloom.sources import plain
 from seqloom.sources.codec import BLOCK_BYTES, MAGIC_BYTES, beginning, sniff
 from seqloom.sources.datasource import load
@@ -36,7 +36,25 @@ def streams(spark: SparkSession, path: str, open_options: dict | None) -> bool:
     return is_remote(path) and not (path.startswith("gs://") and not open_options and has_file_system(spark, "gs"))
 
 
-def read_fastx(spark: SparkSession, paths: str | list[str], *, open_options: dict | None = None, **options) -> DataFrame:
+def read_groups(spark: SparkSession, paths: str | list[str], arity: int, *, open_options: dict | None = None, **options) -> DataFrame:
+    """(file, rec_index, members): what combine.interleaved_multi gives of read_fastx, framed where records are read, without a shuffle.
+
+    A group is read where its first record begins. What only Spark opens, and records of which some are dropped, are grouped by the shuffle.
+    """
+    if arity < 1:
+        raise ValueError("a group has at least one record")
+    opts = ReadOptions.of(options)
+    given = [paths] if isinstance(paths, str) else list(paths)
+    read = [p for path in given for p in ([path] if streams(spark, path, open_options) else [f for f, _ in list_files(spark, [path])])]
+    whole = opts.record_limit is None or opts.record_limit % arity == 0
+    if whole and opts.mode != DROPMALFORMED and all(is_remote(p) or local_path(p) is not None for p in read):
+        return read_fastx(spark, paths, open_options=open_options, _arity=arity, **options)
+    from seqloom.operators.combine import interleaved_multi
+
+    return interleaved_multi(read_fastx(spark, paths, open_options=open_options, **options), arity)
+
+
+def read_fastx(spark: SparkSession, paths: str | list[str], *, open_options: dict | None = None, _arity: int = 0, **options) -> DataFrame:
     """Records of FASTA and FASTQ files; see RECORD_SCHEMA and ReadOptions.
 
     Plain files are split, and their splits fixed here: by the workers themselves where these can open a path, else by Spark's reader. Compressed ones
@@ -71,12 +89,12 @@ def read_fastx(spark: SparkSession, paths: str | list[str], *, open_options: dic
                 spark_own.setdefault(kind, []).append(file)
     parts = []
     for kind, files in own.items():
-        parts.append(load_splits(spark, files, kind, opts, _batch(opts, lambda kind=kind, files=files: load_splits(spark, files[:1], kind, _PEEK, 1))))
+        parts.append(load_splits(spark, files, kind, opts, _batch(opts, lambda kind=kind, files=files: load_splits(spark, files[:1], kind, _PEEK, 1)), _arity))
     for kind, files in spark_own.items():
         found = {FASTQ: plain.read_fastq, FASTA: plain.read_fasta}[kind](spark, files, opts.mode)
         parts.append(found if opts.record_limit is None else found.where(F.col("rec_index") < opts.record_limit))
     for kind, files in stream.items():
-        parts.append(load(spark, files, opts, kind, _batch(opts, lambda kind=kind, files=files: load(spark, files[:1], _PEEK, kind, 1, **(open_options or {}))), **(open_options or {})))
+        parts.append(load(spark, files, opts, kind, _batch(opts, lambda kind=kind, files=files: load(spark, files[:1], _PEEK, kind, 1, **(open_options or {}))), arity=_arity, **(open_options or {})))
     for kind, files in stored.items():
         parts.append(load_stored(spark, files, kind, opts, _batch(opts, lambda kind=kind, files=files: load_stored(spark, files[:1], kind, _PEEK, 1))))
     out = parts[0]

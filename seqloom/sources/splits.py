@@ -30,11 +30,15 @@ class Split:
     before: int
     until: int | None
 
-    def outside(self, kind: str, first: int, stop: int | None) -> bool:
-        """Whether no record of first <= rec_index < stop begins here."""
-        per = 4 if kind == FASTQ else 1
-        low, high = -(-self.before // per), None if self.until is None else -(-self.until // per)
-        return (high is not None and high <= first) or (stop is not None and low >= stop)
+    def rows(self, kind: str, arity: int = 1) -> tuple[int, int | None]:
+        """Which records, or groups of `arity`, begin here: from, and before which."""
+        per = arity * (4 if kind == FASTQ else 1)
+        return -(-self.before // per), None if self.until is None else -(-self.until // per)
+
+    def outside(self, kind: str, first: int, stop: int | None, arity: int = 1) -> bool:
+        """Whether no record (group) of first <= rec_index < stop begins here."""
+        low, high = self.rows(kind, arity)
+        return high == low or (high is not None and high <= first) or (stop is not None and low >= stop)
 
 
 def split_bytes(spark: SparkSession, total: int, files: int) -> int:
@@ -103,22 +107,26 @@ def grouped(splits: list[Split], most: int, cost: int) -> list[list[Split]]:
     return out
 
 
-def load_splits(spark: SparkSession, files: list[tuple[str, int]], kind: str, options, batch: int) -> DataFrame:
+def load_splits(spark: SparkSession, files: list[tuple[str, int]], kind: str, options, batch: int, arity: int = 0) -> DataFrame:
     """Plain files as a DataFrame."""
     from seqloom.sources.datasource import load
 
     files = list(dict.fromkeys(files))
     step = split_bytes(spark, sum(n for _, n in files), len(files))
     cost = min(step, spark._jsparkSession.sessionState().conf().filesOpenCostInBytes())
-    return load(spark, [], options, kind, batch, splits=packed(plan_splits(spark, files, kind)), most=step, cost=cost)
+    return load(spark, [], options, kind, batch, splits=packed(plan_splits(spark, files, kind)), most=step, cost=cost, arity=arity)
 
 
-def read_split(split: Split, kind: str, mode: str, first: int, stop: int | None, size: int):
-    """Batches of a split's records with first <= rec_index < stop."""
+def read_split(split: Split, kind: str, mode: str, first: int, stop: int | None, size: int, arity: int = 0):
+    """Batches of a split's records with first <= rec_index < stop; with an arity of its groups, whose last may reach far into the next splits."""
     stream = open_file(split.file, max(split.start - 1, 0), split.size)
     try:
-        yield from parse.batches(stream, split.file, kind, mode, first, stop, size, split.start, split.end, split.before)
+        if not arity:
+            yield from parse.batches(stream, split.file, kind, mode, first, stop, size, split.start, split.end, split.before)
+            return
+        low, high = split.rows(kind, arity)
+        ends = [x for x in (high, stop) if x is not None]
+        records = parse.batches(stream, split.file, kind, mode, max(low, first) * arity, min(ends) * arity if ends else None, size, split.start, None, split.before)
+        yield from parse.groups(records, arity, split.file)
     finally:
         stream.close()
-
-

@@ -8,18 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.schema import ERROR_FIELD, PERMISSIVE, RECORD_COLUMNS, RECORD_SCHEMA, ReadOptions
+from seqloom.sources.remote import local_path, open_file
+from seqloom.storage import file_system
 
 
 def read_stream(spark: SparkSession, folder: str, max_files: int | None = None, **options) -> DataFrame:
     """Records of the files that come into a folder. A file is read once, whole, when it is there: it must be moved in complete.
 
-    Compression and format are found by content. A file's records have its own rec_index, so a restarted stream gives the same rows.
+    A file is streamed where workers can open it; one in a store that only Spark opens is a row in memory, of 2 GB at most. Compression and format are found by content. A file's records have its own rec_index, so a restarted stream gives the same rows.
     """
     opts = ReadOptions.of(options)
     reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
 
+    local = local_path(file_system(spark, folder)[1].toUri().toString()) is not None and file_system(spark, folder)[0].getScheme() == "file"
+
     def parse_files(batches):
         import io
 
@@ -27,11 +31,14 @@ def read_stream(spark: SparkSession, folder: str, max_files: int | None = None,
         from seqloom.sources.parse import batches as records
 
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                yield from records(decompressed(io.BytesIO(content.as_buffer())), path, opts.format, opts.mode, 0, opts.record_limit, opts.records_per_batch)
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                # Workers open a local file and stream it; a store's comes as a row.
+                raw = open_file(path) if local else io.BytesIO(batch.column("content")[i].as_buffer())
+                with raw:
+                    yield from records(decompressed(raw), path, opts.format, opts.mode, 0, opts.record_limit, opts.records_per_batch)
 
     fields = [*RECORD_SCHEMA.fields, ERROR_FIELD]
-    files = reader.load(folder).where(F.col("length") > 0).select("path", "content")
+    files = reader.load(folder).where(F.col("length") > 0).select("path", *([] if local else ["content"]))
     out = files.mapInArrow(parse_files, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
     return out if opts.mode == PERMISSIVE else out.select(*RECORD_COLUMNS)
 

@@ -122,6 +122,35 @@ def test_interleaved_groups(spark, file, k):
         combine.interleaved_multi(reader.read_fastx(spark, file(4)), 0)
 
 
+@pytest.mark.parametrize("arity", [1, 2, 3, 7])
+def test_groups_framed_where_they_are_read(spark, tmp_path, arity):
+    """Over many splits, compressed, in ranges and under limits: what the shuffle gives, without one; a rest is an error there too."""
+    q = make_fastq(84)
+    fa = "".join(f">seq{i}\nAC\nGT{'A' * (i % 9)}\n" for i in range(84)).encode()
+    for name, data in (("q", q), ("a", fa), ("z", gzip.compress(q))):
+        path = tmp_path / name
+        path.write_bytes(data)
+        for size in ("97", "1000", "100000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            try:
+                got, want = reader.read_groups(spark, str(path), arity), combine.interleaved_multi(reader.read_fastx(spark, str(path)), arity)
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+                spark.conf.unset("spark.sql.files.openCostInBytes")
+            rows = lambda df: sorted((tuple(r) for r in df.collect()), key=lambda r: r[1])
+            assert got.columns == want.columns and rows(got) == rows(want)
+            assert rows(got.where("rec_index >= 3 and rec_index < 5")) == rows(want.where("rec_index >= 3 and rec_index < 5"))
+            assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert reader.read_groups(spark, str(path), arity, record_limit=4 * arity).count() == 4
+        if arity > 1:
+            for bad in (reader.read_groups(spark, str(path), 5), reader.read_groups(spark, str(path), arity, record_limit=arity + 1)):
+                with pytest.raises(Exception, match="ARITY_MISMATCH"):
+                    bad.count()
+    with pytest.raises(ValueError):
+        reader.read_groups(spark, str(tmp_path / "q"), 0)
+
+
 def test_interleaved_pairs(spark, file):
     got = combine.interleaved(reader.read_fastx(spark, file(3072)))  # the batch of 1024 isn't seen
     assert indices(got) == list(range(1536))
