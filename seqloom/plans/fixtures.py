@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import gzip
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators.sinks import merge_parts, write_file, write_records
-from seqloom.storage import scratch
+from seqloom.storage import file_system, read_bytes, scratch
 
 _made: dict[tuple[str, str, str], str] = {}
 
@@ -89,3 +91,41 @@ def compressed(spark: SparkSession, sf_dir: str) -> str:
         merge_parts(spark, parts, path)
 
     return made(spark, sf_dir, "orders.data", make)
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Bytes from the driver as a file: small ones, and those of a form that Spark can't write."""
+    fs, where = file_system(spark, path)
+    out = fs.create(where)
+    try:
+        for i in range(0, len(data), 1 << 20):
+            out.write(bytearray(data[i : i + (1 << 20)]))
+    finally:
+        out.close()
+
+
+def content(spark: SparkSession, path: str) -> bytes:
+    fs, where = file_system(spark, path)
+    return read_bytes(spark, path, 0, fs.getFileStatus(where).getLen())
+
+
+def bam(spark: SparkSession, sf_dir: str) -> str:
+    """The alignments of `sam` as BAM, put together on the driver: gzip members of many records each."""
+    s = sequence("o_orderkey")
+
+    def members():
+        yield b"BAM\x01" + struct.pack("<i", 4) + b"@CO\t" + struct.pack("<i", 0)
+        body = bytearray()
+        for r in table(spark, sf_dir, "orders").selectExpr("o_orderkey as k", f"{s} as s").sort("k").toLocalIterator():
+            codes = ["=ACMGRSVTWYHKDBN".index(c) for c in r.s]
+            packed = bytes(a << 4 | b for a, b in zip(codes[::2], [*codes[1::2], 0], strict=False))
+            name = f"seq.{r.k // 2}".encode() + b"\0"
+            qual = (b"\xff" if r.k % 11 == 0 else bytes([ord("I") - 33])) * len(codes)
+            one = struct.pack("<iiBBHHHiiii", -1, -1, len(name), 0, 0, 0, 141 if r.k % 2 else 77, len(codes), -1, -1, 0) + name + packed + qual
+            body += struct.pack("<i", len(one)) + one
+            if len(body) > 60_000:
+                yield bytes(body)
+                body.clear()
+        yield bytes(body)
+
+    return made(spark, sf_dir, "orders.bam", lambda p: put(spark, p, b"".join(map(gzip.compress, members()))))

@@ -268,7 +268,7 @@ def multi_seq_sum(spark, sf_dir):
 
 @query(f"select count(*) // 3 as n_groups, cast(sum({_BYTES.format(S1)}) as bigint) as byte_sum from orders")
 def multi_interleaved_seq_sum(spark, sf_dir):
-    return aggregates.seq_sum_groups(combine.interleaved_multi(_orders(spark, sf_dir), 3))
+    return aggregates.seq_sum_groups(reader.read_groups(spark, fx.fastq(spark, sf_dir), 3, format="fastq"))
 
 
 @query("select count(*) as n_records from orders")
@@ -401,9 +401,15 @@ def url_parse(spark, sf_dir):
     return spark.createDataFrame(rows, "url string, host string, port string, path string")
 
 
+def _all() -> None:
+    from seqloom.plans import edge_queries  # noqa: F401 - it registers more
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
