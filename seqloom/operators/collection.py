@@ -67,10 +67,9 @@ class Collection:
         """All records with file_ord, the file's place in the collection."""
         return self._ordered(read_fastx)
 
-    def _grouped(self, n: int) -> list[DataFrame]:
+    def _in_step(self, n: int) -> DataFrame:
         self._fits(n)
-        r = self.records().withColumn("group_id", F.expr(f"file_ord div {n}"))
-        return [r.where(F.col("file_ord") % n == k).drop("file_ord") for k in range(n)]
+        return combine.read_in_step(self.spark, [self.paths[i : i + n] for i in range(0, len(self.paths), n)], grouped=True, **self.options)
 
     def _warn(self, kind: str) -> None:
         if kind != self.kind:
@@ -82,11 +81,11 @@ class Collection:
 
     def paired(self, start: int | None = None, end: int | None = None) -> DataFrame:
         self._warn("paired")
-        return take_range(combine.paired(*self._grouped(2)), start, end)
+        return take_range(self._in_step(2), start, end)
 
     def multi(self, start: int | None = None, end: int | None = None) -> DataFrame:
         self._warn("multi")
-        return take_range(combine.multi(self._grouped(self.arity)), start, end)
+        return take_range(self._in_step(self.arity), start, end)
 
     def interleaved(self, start: int | None = None, end: int | None = None) -> DataFrame:
         self._warn("interleaved")

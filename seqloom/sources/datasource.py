@@ -11,7 +11,7 @@ import json
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from seqloom.schema import BAM, ERROR_FIELD, FAILFAST, FLAG_FIELD, PERMISSIVE, RECORD_SCHEMA, SAM, ReadOptions
 
@@ -26,10 +26,18 @@ class SplitsPartition(InputPartition):
         self.splits, self.start, self.stop = splits, start, stop
 
 
+class ZipPartition(InputPartition):
+    """Records low <= rec_index < high of the files of a group, each read from a split that begins before them; whole streams have no splits."""
+
+    def __init__(self, group: int, sides: list, low: int, high: int | None):
+        self.group, self.sides, self.low, self.high = group, sides, low, high
+
+
 class FastxReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.paths, self.format = json.loads(options["paths"]), options.get("format", "auto")
-        self.mode, self.columns = options.get("mode", FAILFAST), schema.fieldNames()
+        self.mode, self.columns, self.schema = options.get("mode", FAILFAST), schema.fieldNames(), schema
+        self.tuples = json.loads(options.get("tuples", "[]"))
         self.size, self.open = int(options.get("batch", 1024)), json.loads(options.get("open", "{}"))
         self.start, self.stop = 0, int(options["limit"]) if options.get("limit") else None
         self.arity = int(options.get("arity", 0))
@@ -47,7 +55,56 @@ class FastxReader(DataSourceReader):
                     self.stop = high if self.stop is None else min(self.stop, high)
             yield f  # Spark applies it as well
 
+    def _zip_partitions(self):
+        from seqloom.sources.splits import unpacked
+
+        splits: dict[str, list] = {}
+        for s in unpacked(self.splits):
+            splits.setdefault(s.file, []).append(s)
+        out = []
+        for g, sides in enumerate(self.tuples):
+            if any(whole for *_, whole in sides):  # a stream can't be entered in the middle
+                out.append(ZipPartition(g, [(file, kind, None) for file, kind, _ in sides], self.start, self.stop))
+                continue
+            # Ranges are those of the file with most splits; the others are entered at the last split that begins before.
+            lead = max((s for s in sides if s[0] in splits), key=lambda s: len(splits[s[0]]), default=None)
+            for s in splits[lead[0]] if lead else []:
+                low, high = s.rows(lead[1])
+                if low == high or s.outside(lead[1], self.start, self.stop):
+                    continue
+                low, ends = max(low, self.start), [x for x in (high, self.stop) if x is not None]
+                entered = [(file, kind, max((t for t in splits.get(file, []) if t.rows(kind)[0] <= low), key=lambda t: t.start, default=None)) for file, kind, _ in sides]
+                out.append(ZipPartition(g, entered, low, min(ends) if ends else None))
+        return out or [ZipPartition(0, [], 0, 0)]
+
+    def _read_zip(self, partition: ZipPartition):
+        from contextlib import ExitStack
+
+        import pyarrow as pa
+
+        from seqloom.sources import parse
+        from seqloom.sources.codec import decompressed
+        from seqloom.sources.remote import open_file, open_stream
+
+        fields = [f.name for f in self.schema["r1"].dataType.fields]
+        with ExitStack() as opened:
+            sides = []
+            for file, kind, split in partition.sides:
+                if split is None:
+                    raw = open_stream(file, **self.open)
+                    opened.callback(raw.close)
+                    sides.append(parse.batches(decompressed(raw), file, kind, self.mode, partition.low, partition.high, self.size))
+                else:
+                    raw = opened.enter_context(open_file(file, max(split.start - 1, 0), split.size))
+                    sides.append(parse.batches(raw, file, kind, self.mode, partition.low, partition.high, self.size, split.start, None, split.before))
+            for batch in parse.zipped(sides, fields) if sides else ():
+                if "group_id" in self.columns:
+                    batch = batch.append_column("group_id", pa.repeat(pa.scalar(partition.group, pa.int64()), batch.num_rows))
+                yield batch.select(self.columns)
+
     def partitions(self):
+        if self.tuples:
+            return self._zip_partitions()
         if self.splits is not None:
             from seqloom.sources.splits import grouped, unpacked
 
@@ -61,6 +118,9 @@ class FastxReader(DataSourceReader):
         from seqloom.sources.codec import decompressed
         from seqloom.sources.remote import open_stream
 
+        if isinstance(partition, ZipPartition):
+            yield from self._read_zip(partition)
+            return
         if isinstance(partition, SplitsPartition):
             from seqloom.sources.splits import read_split
 
@@ -90,6 +150,11 @@ class FastxSource(DataSource):
 
     def schema(self) -> StructType:
         extra = [FLAG_FIELD] if self.options.get("format") in (BAM, SAM) else [ERROR_FIELD] if self.options.get("mode") == PERMISSIVE else []
+        if self.options.get("tuples"):
+            tuples, wanted = json.loads(self.options["tuples"]), json.loads(self.options["fields"])
+            record = StructType([f for f in [*RECORD_SCHEMA.fields, *extra] if f.name in wanted])
+            group = [StructField("group_id", LongType(), False)] if self.options.get("grouped") == "true" else []
+            return StructType([*group, StructField("rec_index", LongType(), False), *(StructField(f"r{i + 1}", record, False) for i in range(len(tuples[0])))])
         if self.options.get("arity"):
             file, index, *rest = RECORD_SCHEMA.fields
             return StructType([file, index, StructField("members", ArrayType(StructType([index, *rest, *extra])), False)])
@@ -99,7 +164,7 @@ class FastxSource(DataSource):
         return FastxReader(dict(self.options), schema)
 
 
-def load(spark: SparkSession, paths: list[str], options: ReadOptions, kind: str, batch: int, *, splits: str | None = None, most: int = 1, cost: int = 1, arity: int = 0, **open_options):
+def load(spark: SparkSession, paths: list[str], options: ReadOptions, kind: str, batch: int, *, splits: str | None = None, most: int = 1, cost: int = 1, arity: int = 0, tuples: list | None = None, fields: list[str] = (), grouped: bool = False, **open_options):
     """The files or addresses as a DataFrame; of plain files their splits."""
     spark.dataSource.register(FastxSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
@@ -107,6 +172,8 @@ def load(spark: SparkSession, paths: list[str], options: ReadOptions, kind: str,
     reader = reader.option("batch", batch).option("open", json.dumps(open_options))
     if splits is not None:
         reader = reader.option("splits", splits).option("most", most).option("cost", cost)
+    if tuples:
+        reader = reader.option("tuples", json.dumps(tuples)).option("fields", json.dumps(list(fields))).option("grouped", str(grouped).lower())
     if arity:
         reader = reader.option("arity", arity)
     if options.record_limit is not None:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from seqloom.errors import RECORD_ERRORS, ArityError, FastxFormatError
+from seqloom.errors import RECORD_ERRORS, ArityError, FastxFormatError, LengthMismatchError
 from seqloom.schema import DROPMALFORMED, FAILFAST, FASTA, FASTQ, SAM
 
 CHUNK = 4 << 20
@@ -285,3 +285,25 @@ def groups(found: Iterator[pa.RecordBatch], arity: int, file: str) -> Iterator[p
             held, rows = [whole.slice(n)] if rows > n else [], rows - n
     if rows:
         raise ArityError(f"ARITY_MISMATCH: records aren't a multiple of {arity} in {file}")
+
+
+def zipped(sides: list[Iterator[pa.RecordBatch]], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """(rec_index, r1, r2, …): records of several files in step, each with these columns. A file that ends before another is an error."""
+    held: list[pa.RecordBatch | None] = [None] * len(sides)
+    names, at = [f"r{i + 1}" for i in range(len(sides))], None
+    while True:
+        for i, side in enumerate(sides):
+            while held[i] is None or not held[i].num_rows:
+                held[i] = next(side, None)
+                if held[i] is None:
+                    break
+        ended = [n for n, h in zip(names, held, strict=True) if h is None]
+        if ended:
+            if len(ended) < len(sides):
+                at = min(h.column("rec_index")[0].as_py() for h in held if h is not None)
+                raise LengthMismatchError(f"LENGTH_MISMATCH: fewer records in {', '.join(ended)} at record {at}")
+            return
+        n = min(h.num_rows for h in held)
+        parts = [h.slice(0, n) for h in held]
+        held = [h.slice(n) for h in held]
+        yield pa.RecordBatch.from_arrays([parts[0].column("rec_index"), *(pa.StructArray.from_arrays([p.column(c) for c in columns], columns) for p in parts)], ["rec_index", *names])

@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.errors import FastxFormatError
-from seqloom.schema import BAM, DROPMALFORMED, FASTA, FASTQ, PERMISSIVE, SAM, ReadOptions, batch_for_bases
+from seqloom.schema import BAM, DROPMALFORMED, FASTA, FASTQ, PERMISSIVE, RECORD_COLUMNS, SAM, ReadOptions, batch_for_bases
 from seqloom.sources import plain
 from seqloom.sources.codec import BLOCK_BYTES, MAGIC_BYTES, beginning, sniff
 from seqloom.sources.datasource import load
 from seqloom.sources.parse import sniff_format
 from seqloom.sources.remote import is_remote, local_path
-from seqloom.sources.splits import load_splits
+from seqloom.sources.splits import load_splits, packed, plan_splits
 from seqloom.sources.stored import load_stored
 from seqloom.storage import has_file_system, list_files, read_bytes
 
@@ -115,6 +115,42 @@ def _batch(opts: ReadOptions, first: Callable[[], DataFrame]) -> int:
     return batch_for_bases(opts.bases_per_batch, row.n if row else 0)
 
 
+def read_zipped(spark: SparkSession, groups: list[list[str]], columns: list[str] | None = None, grouped: bool = False, **options) -> DataFrame | None:
+    """(rec_index, r1, r2, …) of files in step, read in step: what combine.multi gives of their records, without a shuffle. grouped: with a group_id.
+
+    The ranges of records of one file's splits are looked up in the others' counts, so of those at most a split more is passed over for each. Compressed
+    files are streamed from their beginning, a group to a task. Each r has these columns of a record, or all. None if only Spark opens some file, or
+    records may be dropped: then combine.multi has to join them.
+    """
+    opts = ReadOptions.of(options)
+    if len({len(g) for g in groups}) != 1 or not groups[0]:
+        raise ValueError("groups of the same number of files are read in step")
+    if opts.mode == DROPMALFORMED:
+        return None
+    tuples, plain_files = [], {}
+    for group in groups:
+        sides = []
+        for path in group:
+            if is_remote(path):
+                return None
+            (file, size), *more = list_files(spark, [path])
+            if more or local_path(file) is None:
+                return None
+            if not size and opts.format == "auto":
+                raise FastxFormatError(f"an empty file has no format: {file}")
+            codec, kind = _peek(spark, file, opts.format) if size else (None, opts.format)
+            sides.append((file, kind, codec is not None))
+            if codec is None:
+                plain_files.setdefault(kind, {})[file] = size
+        tuples.append(sides)
+    split = {file for sides in tuples if not any(whole for *_, whole in sides) for file, *_ in sides}
+    splits = [s for kind, files in plain_files.items() for s in plan_splits(spark, [(f, n) for f, n in files.items() if f in split], kind)]
+    fields = [f for f in RECORD_COLUMNS if columns is None or f in columns]
+    if opts.mode == PERMISSIVE and columns is None:
+        fields.append("_error")
+    return load(spark, [], opts, "zip", opts.records_per_batch, splits=packed(splits), tuples=tuples, fields=fields, grouped=grouped)
+
+
 def batch_size(records: DataFrame, bases: int) -> int:
     """How many records of the first one's length hold `bases`."""
     row = records.where("rec_index = 0").select(F.octet_length("seq_raw").alias("n")).first()

@@ -122,6 +122,48 @@ def test_interleaved_groups(spark, file, k):
         combine.interleaved_multi(reader.read_fastx(spark, file(4)), 0)
 
 
+def test_files_read_in_step(spark, tmp_path):
+    """Over splits that don't fit each other, compressed, of two formats, in ranges, under limits and with names checked: what the join gives."""
+    rng = random.Random(2)
+    n = 300
+    fq = "".join(f"@seq{i}\n{'A' * (k := rng.randrange(1, 40))}\n+\n{'I' * k}\n" for i in range(n)).encode()
+    fa = "".join(f">seq{i}\n" + "CG\n" * rng.randrange(1, 60) for i in range(n)).encode()
+    paths = {}
+    for name, data in (("q", fq), ("a", fa), ("p", make_fastq(n, length=16)), ("z", gzip.compress(fq)), ("short", make_fastq(n - 1)), ("named", make_fastq(n, salt="x")), ("none", b"")):
+        (tmp_path / name).write_bytes(data)
+        paths[name] = str(tmp_path / name)
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=lambda r: r[: len(r) - len([c for c in df.columns if c[0] == "r" and c[1:].isdigit()])])
+    for size in ("300", "5000", "1000000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            for names in (["q", "a"], ["a", "q", "p"], ["z", "q"], ["q", "q"], ["p"]):
+                files = [paths[x] for x in names]
+                got, want = combine.read_in_step(spark, [files]), combine.multi([reader.read_fastx(spark, f) for f in files])
+                assert got.columns == want.columns and rows(got) == rows(want)
+                assert rows(got.where("rec_index >= 90 and rec_index < 99")) == rows(want.where("rec_index >= 90 and rec_index < 99"))
+                assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+                assert combine.read_in_step(spark, [files], record_limit=17).count() == 17
+            both = combine.read_in_step(spark, [[paths["q"], paths["a"]], [paths["p"], paths["z"]]], grouped=True, columns=["seq"])
+            assert both.columns == ["group_id", "rec_index", "r1", "r2"] and both.select("r1.*").columns == ["seq"]
+            assert both.groupBy("group_id").count().sort("group_id").collect() == [(0, n), (1, n)]
+            for bad in (["q", "short"], ["short", "q"], ["z", "short"], ["a", "p", "short"], ["q", "none"], ["none", "q"]):
+                for ask in ASKS.values():
+                    with pytest.raises(Exception, match="LENGTH_MISMATCH"):
+                        ask(combine.read_in_step(spark, [[paths[x] for x in bad]], format="fastq" if "none" in bad else "auto"))
+            with pytest.raises(Exception, match="DIFFERENT_NAMES"):
+                combine.read_in_step(spark, [[paths["q"], paths["named"]]], check_names=True, columns=["seq"]).count()
+            assert combine.read_in_step(spark, [[paths["q"], paths["p"]]], check_names=True, columns=["seq"]).count() == n
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    joined = combine.read_in_step(spark, [[paths["q"], paths["p"]]], mode="DROPMALFORMED", columns=["seq"], grouped=True)
+    assert joined.columns == ["group_id", "rec_index", "r1", "r2"] and joined.count() == n
+    for bad in ([], [["a"], ["a", "b"]]):
+        with pytest.raises(ValueError):
+            combine.read_in_step(spark, bad)
+
+
 @pytest.mark.parametrize("arity", [1, 2, 3, 7])
 def test_groups_framed_where_they_are_read(spark, tmp_path, arity):
     """Over many splits, compressed, in ranges and under limits: what the shuffle gives, without one; a rest is an error there too."""
