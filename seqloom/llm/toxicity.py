@@ -29,6 +29,7 @@ from seqloom.llm.common import crc32_mod, map_arrow, materialize, text_or_empty
 
 TRAIN_ROWS = 200_000
 STEMS = (3, 4, 5, 6)
+_LONGEST_FIRST = STEMS[::-1]
 #: A word or stem needs so many toxic training documents, and a weight of so much.
 MIN_DOCS, MIN_WEIGHT = 2, 1.0
 #: Words that a few toxic documents share by chance weigh hardly more.
@@ -47,7 +48,8 @@ _LUT[97:123] = np.arange(1, 27)
 _LUT[[c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)]] = 27
 _WORDS = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
-_HIDDEN = re.compile(r"[^\W_]")
+#: Signs around a token that hide nothing.
+_EDGES = ".,;:?\"'()[]{}<>#%&=*!$~^"
 _RUN = re.compile(r"([^\W\d_])\1{2,}")
 #: Two plain words with a separator between: there is nothing to restore but those.
 _PLAIN = re.compile(r"[^\W\d_]+[.\-_~'`·+/\\,][^\W\d_]+")
@@ -144,13 +146,23 @@ class Restorer:
                 states = {k: (s, t[n:]) for k, (s, t) in states.items()}
         return "".join(done) + max(((s + rows[k][0], t) for k, (s, t) in states.items()), default=(0.0, ""))[1]
 
+    @staticmethod
+    def plain(token: str) -> str | None:
+        """The lower-case word of a token of letters, with signs around it or not, that has nothing to restore; None for other tokens."""
+        core = token.lower()
+        if not core.isalpha():
+            core = core.strip(_EDGES)
+            if not core.isalpha():
+                return None
+        return None if _RUN.search(core) else core
+
     def words(self, token: str) -> list[str]:
         """The lower-case words of a token between white space, as written and as restored."""
         token = token.lower()
         if token.isalpha() and not _RUN.search(token):
             return [token]
         found = _WORDS.findall(token)
-        core = token.strip(".,;:?\"'()[]{}<>#%&=*!$~^")
+        core = token.strip(_EDGES)
         if not any(map(str.isalpha, core)):
             return found
         hidden = not core.isalpha() and any(c in LOOKALIKES or c in SEPARATORS for c in core)
@@ -162,7 +174,7 @@ class Restorer:
 
     def chained(self, token: str) -> list[str]:
         """The words of a token whose separators part some letters and only stand between others; none where that is one word."""
-        core = token.lower().strip(".,;:?\"'()[]{}<>#%&=*!$~^")
+        core = token.lower().strip(_EDGES)
         if core.isalpha() or _PLAIN.fullmatch(core) and not _RUN.search(core) or not any(c in SEPARATORS for c in core) or not any(map(str.isalpha, core)):
             return []
         words = self.decode(core, "signs").split()
@@ -170,6 +182,8 @@ class Restorer:
 
     def groups(self, token: str) -> list[list[str]]:
         """The words of a token, put together where only the heaviest counts."""
+        if (word := self.plain(token)) is not None:
+            return [[word]]
         return [self.words(token), *([w] for w in self.chained(token))]
 
     def spaced(self, text: str) -> list[str]:
@@ -229,11 +243,27 @@ class Scorer:
 
     def __init__(self, restore: Restorer, lexicon: dict[str, float], beta: np.ndarray | None = None):
         self.restore, self.lexicon, self.beta = restore, lexicon, beta
+        #: For each beginning that is weighed the heaviest of it and the shorter ones.
+        self.begun: dict[str, tuple[float, str]] = {}
+        for f in sorted((f for f in lexicon if f.endswith("-")), key=len):
+            own = (lexicon[f], f)
+            self.begun[f[:-1]] = max([own, *(x for k in STEMS if k < len(f) - 1 and (x := self.begun.get(f[:k])))])
+        self.begins = {f[:3] for f in lexicon}  # of whatever is weighed: a word that begins otherwise weighs nothing
         self.cache: dict[str, list[tuple[float, str]]] = {}
 
+    def _heaviest(self, word: str) -> tuple[float, str] | None:
+        """The heaviest of a word and its beginnings."""
+        if word[:3] not in self.begins:
+            return None
+        get, n, found = self.begun.get, len(word), None
+        for k in _LONGEST_FIRST:
+            if n > k and (found := get(word[:k])) is not None:
+                break
+        w = self.lexicon.get(word)
+        return found if w is None or found is not None and found > (w, word) else (w, word)
+
     def _best(self, words: list[str]) -> tuple[float, str] | None:
-        get = self.lexicon.get
-        return max(((w, s) for word in words for s in stems(word) if (w := get(s))), default=None)
+        return max((x for word in words if (x := self._heaviest(word))), default=None)
 
     def evidence(self, text: str) -> tuple[float, float, float]:
         cache = self.cache
@@ -241,8 +271,12 @@ class Scorer:
             cache.clear()
         tokens = text.split()
         distinct = set(tokens)
+        plain, heaviest, groups = self.restore.plain, self._heaviest, self.restore.groups
         for t in distinct.difference(cache):
-            cache[t] = [x for words in self.restore.groups(t) if (x := self._best(words))] or _NOTHING
+            if (word := plain(t)) is None:
+                cache[t] = [x for words in groups(t) if (x := self._best(words))] or _NOTHING
+            else:
+                cache[t] = [x] if (x := heaviest(word)) else _NOTHING
         found = {x for xs in map(cache.__getitem__, distinct) if xs for x in xs}
         if any(len(t) == 1 for t in distinct):
             for word in self.restore.spaced(text):
