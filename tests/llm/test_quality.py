@@ -1,8 +1,10 @@
 """Quality scores: the fit against direct formulas, and accuracy on held-out labels."""
 
+import math
 import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -74,6 +76,54 @@ def test_scores(spark):
     assert len(held) > 40 and auc([r.score for r in held], [r.doc_id % 2 for r in held]) > 0.99
 
 
+def plain_statistics(text):
+    """Each number by its definition, byte by byte and word by word."""
+    data = text.encode()
+    if not data:
+        return [0.0] * op.N_STATS
+    kinds = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", ".,;:?", "!", "|", "#$%&*+=<>/\\@^_~{}[]", "\n", "\"'()-"]
+    out = [sum(chr(b) in k for b in data if b < 128) / len(data) for k in kinds] + [sum(b >= 128 for b in data) / len(data), sum(b < 33 for b in data) / len(data)]
+    counts, lines, words = Counter(data), text.split("\n"), data.split()
+    out += [math.log1p(len(data)), -sum(c / len(data) * math.log2(c / len(data)) for c in counts.values()), math.log1p(len(lines)), len(set(lines)) / len(lines), math.log1p(len(data) / len(lines))]
+    if not words:
+        return out + [0.0] * 8
+    lengths, n = [len(w) for w in words], len(words)
+    mean = sum(lengths) / n
+    pairs = list(zip(words, words[1:], strict=False))
+    return out + [
+        math.log1p(n), mean, math.sqrt(sum((x - mean) ** 2 for x in lengths) / n), len(set(words)) / n, len(set(words)) / math.sqrt(n), sum(a == b for a, b in pairs) / n, len(set(pairs)) / max(1, n - 1), sum(x <= 3 for x in lengths) / n,
+    ]
+
+
+def test_whole_query_equals_brute_force(spark):
+    """On one machine, from whole matrices: statistics, features, ridge, pooled probabilities."""
+    rows, labels = corpus()
+    rng = random.Random(6)
+    rows = [(d, t if rng.random() < 0.7 else t[: rng.randrange(len(t))] + "é\n\nx x 5") for d, t in rows] + [(900, ""), (901, "  \n"), (902, None)]
+    labels = [(d, y if rng.random() < 0.9 else 1 - y) for d, y in labels]
+    got = {r.doc_id: r.score for r in op.score_quality(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    stats = {d: np.array(plain_statistics(t or ""), dtype=np.float32).astype(float) for d, t in rows}
+    learned = [(d, y) for d, y in labels if zlib.crc32(str(d).encode()) % 5]
+    x, y = np.array([stats[d] for d, _ in learned]), np.array([float(y) for _, y in learned])
+    mean, scale = x.mean(0), x.std(0)
+    scale[scale < 1e-6] = 1
+    draw = np.random.default_rng(op.SEED)
+    w, b = draw.normal(size=(op.N_STATS, op.FEATURES)) / op.BANDWIDTH, draw.uniform(0, 2 * np.pi, op.FEATURES)
+    features = lambda v: np.hstack([np.ones((len(v), 1)), np.sqrt(2 / op.FEATURES) * np.cos(np.clip((v - mean) / scale, -8, 8) @ w + b)])
+    z, penalty = features(x), op.RIDGE * np.eye(op.FEATURES + 1)
+    penalty[0, 0] = 0
+    beta = np.linalg.solve(z.T @ z + penalty, z.T @ y)
+    bins = np.clip(((z @ beta + 0.5) / 2 * op.BINS).round(), 0, op.BINS).astype(int)
+    held = sorted(set(bins.tolist()))
+    count, share = [(bins == k).sum() for k in held], [y[bins == k].mean() for k in held]
+    # Isotonic by its min-max formula.
+    level = [max(min(np.average(share[i : j + 1], weights=count[i : j + 1]) for j in range(k, len(held))) for i in range(k + 1)) for k in range(len(held))]
+    ids = [d for d, _ in rows]
+    want = np.interp(features(np.array([stats[d] for d in ids])) @ beta, [-0.5 + 2 * k / op.BINS for k in held], level)
+    assert {d: got[d] for d in ids} == pytest.approx(dict(zip(ids, want.tolist(), strict=True)), abs=0.02)
+    assert np.abs(np.array([got[d] for d in ids]) - want).mean() < 1e-3
+
+
 def test_held_out_labels_are_not_read(spark):
     rows, labels = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
