@@ -47,6 +47,10 @@ def _orders(spark: SparkSession, sf_dir: str, salt: str = "", **options) -> Data
     return reader.read_fastq(spark, fx.fastq(spark, sf_dir, salt), **options)
 
 
+def _in_step(spark, sf_dir, n: int, **options) -> DataFrame:
+    return combine.read_in_step(spark, [[fx.fastq(spark, sf_dir, salt) for salt in ("", "m", "n")[:n]]], **options)
+
+
 def _sides(spark, sf_dir, n: int) -> list[DataFrame]:
     return [_orders(spark, sf_dir, salt) for salt in ("", "m", "n")[:n]]
 
@@ -173,7 +177,7 @@ def peek(spark, sf_dir):
 
 @query(f"select o_orderkey as rec_index from orders where o_orderkey >= 20 and o_orderkey < 60")
 def range_pairs(spark, sf_dir):
-    return ranges.take_range(combine.paired(*_sides(spark, sf_dir, 2)), 20, 60).select("rec_index")
+    return ranges.take_range(_in_step(spark, sf_dir, 2), 20, 60).select("rec_index")
 
 
 @query("select distinct o_orderkey // 2 as rec_index from orders where o_orderkey // 2 >= 20 and o_orderkey // 2 < 60")
@@ -196,6 +200,13 @@ def range_multi_interleaved(spark, sf_dir):
 
 @query(f"select o_orderkey as rec_index, {S1} as seq1, {S2} as seq2 from orders")
 def paired_rows(spark, sf_dir):
+    p = _in_step(spark, sf_dir, 2, check_names=True, columns=["id", "seq"])
+    return p.select("rec_index", _in(F.col("r1.seq")).alias("seq1"), _in(F.col("r2.seq")).alias("seq2"))
+
+
+@query(_SQL["paired_rows"])
+def paired_joined(spark, sf_dir):
+    """Tables of records, joined by their ordinal."""
     p = combine.paired(*_sides(spark, sf_dir, 2), check_names=True)
     return p.select("rec_index", _in(F.col("r1.seq")).alias("seq1"), _in(F.col("r2.seq")).alias("seq2"))
 
@@ -257,13 +268,18 @@ def seq_sum_single(spark, sf_dir):
 
 @query(f"select count(*) as n_groups, cast(sum({_BYTES.format(S1)} + {_BYTES.format(S2)}) as bigint) as byte_sum from orders")
 def paired_seq_sum(spark, sf_dir):
-    """The flagship: pairs of two files, counted and summed."""
+    """The flagship: pairs of two files, read in step, counted and summed."""
+    return aggregates.seq_sum_groups(_in_step(spark, sf_dir, 2, columns=["seq"]))
+
+
+@query(_SQL["paired_seq_sum"])
+def paired_joined_seq_sum(spark, sf_dir):
     return aggregates.seq_sum_groups(combine.paired(*_sides(spark, sf_dir, 2)))
 
 
 @query(f"select count(*) as n_groups, cast(sum({_BYTES.format(S1)} + {_BYTES.format(S2)} + {_BYTES.format(S3)}) as bigint) as byte_sum from orders")
 def multi_seq_sum(spark, sf_dir):
-    return aggregates.seq_sum_groups(combine.multi(_sides(spark, sf_dir, 3)))
+    return aggregates.seq_sum_groups(_in_step(spark, sf_dir, 3, columns=["seq"]))
 
 
 @query(f"select count(*) // 3 as n_groups, cast(sum({_BYTES.format(S1)}) as bigint) as byte_sum from orders")
