@@ -73,26 +73,28 @@ def slices(batches: Iterator[pa.RecordBatch], limit_bytes: int = SLICE_BYTES) ->
             yield batch.slice(start, step)
 
 
-def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, limit_bytes: int = SLICE_BYTES) -> DataFrame:
-    """mapInArrow over bounded slices."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return work(slices(batches, limit_bytes))
-
-    return df.mapInArrow(run, schema)
-
-
 _HELD: list[tuple[tuple, object]] = []
 
 
 def one_a_worker(key: tuple, make: Callable[[], object]):
-    """What make() gives, kept by a worker for its later tasks. A worker keeps one such object: another key's takes its place."""
+    """What make() gives, kept by a worker for its later tasks. A worker keeps one such object: another key's takes its place. key[0] is its kind."""
     if not _HELD or _HELD[0][0] != key:
         _HELD.clear()
         _HELD.append((key, make()))
     return _HELD[0][1]
 
 
+def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, limit_bytes: int = SLICE_BYTES, keeps: str = "") -> DataFrame:
+    """mapInArrow over bounded slices. What the worker keeps for another kind of work than `keeps` goes first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _HELD and _HELD[0][0][0] != keeps:
+            _HELD.clear()
+        return work(slices(batches, limit_bytes))
+
+    return df.mapInArrow(run, schema)
+
+
 def majority_bits(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """For each row the words whose bits are set in over half of the row's hashes.
 

@@ -270,7 +270,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
         for batch in batches:
             yield _columns(batch, [index.match(t, threshold) for t in batch.column("text").to_pylist()], ["doc_id", "h"])
 
-    return map_arrow(narrow.select("doc_id", F.xxhash64("text").alias("h"), "text"), work, "doc_id long, h long, n_items long, item_id long, coverage double")
+    return map_arrow(narrow.select("doc_id", F.xxhash64("text").alias("h"), "text"), work, "doc_id long, h long, n_items long, item_id long, coverage double", keeps="benchmark")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, threshold: float = THRESHOLD, held_bytes: int = HELD_BYTES) -> DataFrame:
@@ -291,4 +291,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
         for batch in batches:
             yield batch.filter(pa.array([not index.match(t or "", threshold) for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return map_arrow(docs, work, docs.schema)
+    return map_arrow(docs, work, docs.schema, keeps="benchmark")

@@ -352,7 +352,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
     dealt = narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    map_arrow(dealt, work, "piece binary").select(F.col("piece").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", shard_blocks + 3).text(path)
+    map_arrow(dealt, work, "piece binary", keeps="tokens").select(F.col("piece").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", shard_blocks + 3).text(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:

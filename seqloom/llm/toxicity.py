@@ -38,6 +38,8 @@ DOUBT = 2.0
 FADE = 0.85
 THRESHOLD = 0.7
 CACHE_TOKENS = 400_000
+#: The words and stems of a token take more room; and so many counts are held before they are given on.
+CACHE_FEATURES, HELD_COUNTS = 100_000, 300_000
 #: Longer tokens are decoded each time, so that the cache of spellings stays small.
 CACHED_LENGTH = 80
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "*": "abcdefghijklmnopqrstuvwxyz"}
@@ -210,7 +212,7 @@ class Features:
 
     def __call__(self, text: str) -> set[str]:
         cache, tokens = self.cache, set(text.split())
-        if len(cache) > CACHE_TOKENS:
+        if len(cache) > CACHE_FEATURES:
             cache.clear()
         for t in tokens.difference(cache):
             cache[t] = tuple({s for words in self.restore.groups(t) for word in words for s in stems(word)})
@@ -331,7 +333,7 @@ def fit(docs: DataFrame, labels: DataFrame, log_p: np.ndarray, train_rows: int =
                 seen[y] += 1
                 for f in features(text):
                     table[f][y] += 1
-            if len(table) > 500_000:
+            if len(table) > HELD_COUNTS:
                 yield rows(table)
                 table.clear()
         table[""] = seen
