@@ -28,7 +28,7 @@ from seqloom.llm.common import map_arrow, one_a_worker, text_or_empty
 
 MARK = "▁"
 #: Words in the younger half of a worker's cache; pairs of pieces.
-CACHE_WORDS, CACHE_PAIRS = 500_000, 500_000
+CACHE_WORDS, CACHE_PAIRS = 350_000, 350_000
 #: Bytes of text whose words are in memory at once (one text at least).
 SLICE_BYTES = 2 << 20
 UNIGRAM, BPE = 1, 2
@@ -144,6 +144,8 @@ class Codec:
         #: For the last piece of a prefix and a piece after it whether the two stay apart; n_pairs counts them.
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
+        #: For decoding: all pieces' bytes, where each begins, its length, whether it isn't just its bytes.
+        self.pieces: tuple[np.ndarray, ...] | None = None
         # A line end that no piece has is a word of its own: nothing merges with it.
         line = "" if any("\n" in p for p in model.ids) else "\n"
         self.words = re.compile(f"{MARK}+[^{MARK}{line}]*|[^{MARK}{line}]+" + ("|\n" if line else "")).findall
@@ -284,7 +286,7 @@ class Codec:
         if len(self.cache) > CACHE_WORDS:  # words that aren't met again until the younger half is full go
             self.older, self.cache = self.cache, {}
         unknown = []
-        for w in {w for words in split for w in words}.difference(self.cache):
+        for w in set().union(*split).difference(self.cache):
             if (found := self.older.get(w)) is not None:
                 self.cache[w] = found
             else:
@@ -292,6 +294,30 @@ class Codec:
         self.learn(unknown)
         return [b"".join(map(self.cache.__getitem__, words)) for words in split]
 
+    def decode_many(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+        """The texts of ids, which stand one text after another: the pieces' bytes are gathered at once, texts with odd pieces are decoded alone."""
+        if self.pieces is None:
+            model = self.model
+            data = [p.replace(MARK, " ").encode() if k == NORMAL else b"" for p, k in zip(model.pieces, model.kinds, strict=True)]
+            sizes = np.array([len(x) for x in data])
+            self.pieces = np.frombuffer(b"".join(data), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes, np.array([k not in (NORMAL, CONTROL) for k in model.kinds])
+        data, begins, sizes, odd = self.pieces
+        size = sizes[ids]
+        ends = np.cumsum(size)
+        shift = (begins[ids] - (ends - size)).astype(np.int32)
+        whole = data[np.repeat(shift, size) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)].tobytes()
+        out, at = [], 0
+        ends = np.concatenate([[0], ends])
+        is_odd = np.concatenate([[0], np.cumsum(odd[ids])])
+        for n in lengths.tolist():
+            if is_odd[at + n] > is_odd[at]:
+                out.append(self.decode(ids[at : at + n].tolist()).encode())
+            else:
+                text = whole[ends[at] : ends[at + n]]
+                out.append(text[1:] if self.model.dummy_prefix and text[:1] == b" " else text)
+            at += n
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes are put together, marks are spaces, the first one added by encoding goes."""
         model, out = self.model, bytearray()
@@ -318,22 +344,14 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
 
     def work(batches):
         codec = _codec(model_path)
-        plain = [p.replace(MARK, " ").encode() if k == NORMAL else None for p, k in zip(codec.model.pieces, codec.model.kinds, strict=True)]
         for batch in batches:
             encoded = codec.encode(batch.column("text").to_pylist())
-            hashes = []
-            for data in encoded:
-                ids = np.frombuffer(data, dtype="<i4").tolist()
-                try:
-                    text = b"".join(map(plain.__getitem__, ids))
-                    text = text[1:] if codec.model.dummy_prefix and text.startswith(b" ") else text
-                except TypeError:  # bytes or unknown pieces
-                    text = codec.decode(ids).encode()
-                hashes.append(hashlib.sha256(text).hexdigest())
             lengths = np.array([len(e) // 4 for e in encoded])
+            data = b"".join(encoded)
+            hashes = [hashlib.sha256(text).hexdigest() for text in codec.decode_many(np.frombuffer(data, dtype="<i4"), lengths)]
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(encoded))])
+            values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, values), pa.array(lengths, pa.int64()), pa.array(hashes)], ["doc_id", "ids", "n_pieces", "decoded_sha256"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
-    return map_arrow(narrow, work, "doc_id long, ids array<int>, n_pieces long, decoded_sha256 string", SLICE_BYTES)
+    return map_arrow(narrow, work, "doc_id long, ids array<int>, n_pieces long, decoded_sha256 string", SLICE_BYTES, "pieces")
