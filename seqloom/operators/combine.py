@@ -60,23 +60,21 @@ def paired(r1: DataFrame, r2: DataFrame, check_names: bool = False) -> DataFrame
     return multi([r1, r2], check)
 
 
-def read_in_step(spark: SparkSession, groups: list[list[str]], columns: list[str] | None = None, grouped: bool = False, check_names: bool = False, **options) -> DataFrame:
+def read_in_step(spark: SparkSession, groups: list[list[str]], grouped: bool = False, check_names: bool = False, **options) -> DataFrame:
     """Files in step, as multi and paired give of their records: read in step where that can be done, else joined. grouped: with the group's place as group_id.
 
-    columns: which of a record's are wanted; all if None.
+    Options are those of the readers.
     """
-    wanted = None if columns is None else [*columns, *(["id"] if check_names and "id" not in columns else [])]
-    out = reader.read_zipped(spark, groups, wanted, grouped, **options)
+    if check_names and options.get("columns") is not None:
+        options["columns"] = list(dict.fromkeys([*options["columns"], "id"]))
+    out = reader.read_zipped(spark, groups, grouped, **options)
     if out is None:
         sides = []
         for k in range(len(groups[0])):
             read = [reader.read_fastx(spark, g[k], **options).withColumn("group_id", F.lit(i).cast("long")) for i, g in enumerate(groups)]
-            sides.append(reduce(DataFrame.unionByName, read).select("group_id", "rec_index", *(c for c in read[0].columns if c not in ("group_id", "rec_index"))))
+            sides.append(reduce(DataFrame.unionByName, read))
         out = multi(sides)
         out = out if grouped else out.drop("group_id")
-        names = [c for c in out.columns if c[0] == "r" and c[1:].isdigit()]
-        if wanted is not None:
-            out = out.select(*(c for c in out.columns if c not in names), *(F.struct(*(F.col(n)[c].alias(c) for c in wanted)).alias(n) for n in names))
     if check_names:
         names = [c for c in out.columns if c[0] == "r" and c[1:].isdigit()]
         out = out.where(_unless(reduce(lambda a, b: a | b, [F.col("r1.id") != F.col(f"{n}.id") for n in names[1:]], F.lit(False)), F.concat(F.lit("DIFFERENT_NAMES at record "), F.col("rec_index").cast("string"))))

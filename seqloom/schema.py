@@ -32,6 +32,7 @@ FAILFAST, PERMISSIVE, DROPMALFORMED = "FAILFAST", "PERMISSIVE", "DROPMALFORMED"
 class ReadOptions:
     """format: auto, fasta or fastq. mode: what to do with invalid records. record_limit: the first n records of each file.
 
+    columns: which of a record's fields are built, besides file and rec_index; all if None. Readers in Python can't tell what a query leaves out.
     records_per_batch or bases_per_batch (divided by the first sequence's length, rounded up) set the rows of a batch.
     """
 
@@ -40,6 +41,7 @@ class ReadOptions:
     record_limit: int | None = None
     records_per_batch: int = DEFAULT_BATCH
     bases_per_batch: int | None = None
+    columns: list[str] | None = None
 
     def __post_init__(self):
         if self.format not in ("auto", FASTA, FASTQ):
@@ -48,9 +50,15 @@ class ReadOptions:
             raise ValueError(f"mode {self.mode!r} is not FAILFAST, PERMISSIVE or DROPMALFORMED")
         if self.records_per_batch <= 0 or (self.bases_per_batch is not None and self.bases_per_batch <= 0):
             raise ValueError("a batch has at least one record")
+        if self.columns is not None and (unknown := set(self.columns) - set(RECORD_COLUMNS)):
+            raise ValueError(f"a record has no {', '.join(sorted(unknown))}")
         if self.record_limit is not None and self.record_limit < 0:
             raise ValueError("record_limit is negative")
 
+    def fields(self, extra: list[StructField] = ()) -> list[StructField]:
+        """The fields of a record that are wanted, and extra ones."""
+        return [f for f in RECORD_SCHEMA.fields if self.columns is None or f.name in ("file", "rec_index", *self.columns)] + list(extra)
+
     @classmethod
     def of(cls, options: dict) -> ReadOptions:
         unknown = options.keys() - {f.name for f in fields(cls)}

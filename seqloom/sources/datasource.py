@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from seqloom.schema import BAM, ERROR_FIELD, FAILFAST, FLAG_FIELD, PERMISSIVE, RECORD_SCHEMA, SAM, ReadOptions
+from seqloom.schema import BAM, ERROR_FIELD, FAILFAST, FLAG_FIELD, PERMISSIVE, SAM, ReadOptions
 
 
 class FilePartition(InputPartition):
@@ -40,6 +40,8 @@ class FastxReader(DataSourceReader):
         self.tuples = json.loads(options.get("tuples", "[]"))
         self.size, self.open = int(options.get("batch", 1024)), json.loads(options.get("open", "{}"))
         self.start, self.stop = 0, int(options["limit"]) if options.get("limit") else None
+        #: What records are built of: these columns; in a group those of its members.
+        self.fields = schema["members"].dataType.elementType.fieldNames() if options.get("arity") else self.columns
         self.arity = int(options.get("arity", 0))
         if self.arity and self.stop is not None:  # a limit of records; a group cut by it is an error, so it is read
             self.stop = -(-self.stop // self.arity)
@@ -93,10 +95,10 @@ class FastxReader(DataSourceReader):
                 if split is None:
                     raw = open_stream(file, **self.open)
                     opened.callback(raw.close)
-                    sides.append(parse.batches(decompressed(raw), file, kind, self.mode, partition.low, partition.high, self.size))
+                    sides.append(parse.batches(decompressed(raw), file, kind, self.mode, partition.low, partition.high, self.size, fields=fields))
                 else:
                     raw = opened.enter_context(open_file(file, max(split.start - 1, 0), split.size))
-                    sides.append(parse.batches(raw, file, kind, self.mode, partition.low, partition.high, self.size, split.start, None, split.before))
+                    sides.append(parse.batches(raw, file, kind, self.mode, partition.low, partition.high, self.size, split.start, None, split.before, fields))
             for batch in parse.zipped(sides, fields) if sides else ():
                 if "group_id" in self.columns:
                     batch = batch.append_column("group_id", pa.repeat(pa.scalar(partition.group, pa.int64()), batch.num_rows))
@@ -125,7 +127,7 @@ class FastxReader(DataSourceReader):
             from seqloom.sources.splits import read_split
 
             for split in partition.splits:
-                for batch in read_split(split, self.format, self.mode, partition.start, partition.stop, self.size, self.arity):
+                for batch in read_split(split, self.format, self.mode, partition.start, partition.stop, self.size, self.arity, self.fields):
                     yield batch.select(self.columns)
             return
         raw = open_stream(partition.path, **self.open)
@@ -135,8 +137,8 @@ class FastxReader(DataSourceReader):
                 found = bam.batches(stream, partition.path, partition.start, partition.stop, self.size)
             else:
                 k = self.arity or 1
-                found = parse.batches(stream, partition.path, self.format, self.mode, partition.start * k, None if partition.stop is None else partition.stop * k, self.size)
-                found = parse.groups(found, self.arity, partition.path) if self.arity else found
+                found = parse.batches(stream, partition.path, self.format, self.mode, partition.start * k, None if partition.stop is None else partition.stop * k, self.size, fields=self.fields)
+                found = parse.groups(found, self.arity, partition.path, self.fields) if self.arity else found
             for batch in found:
                 yield batch.select(self.columns)
         finally:
@@ -150,30 +152,31 @@ class FastxSource(DataSource):
 
     def schema(self) -> StructType:
         extra = [FLAG_FIELD] if self.options.get("format") in (BAM, SAM) else [ERROR_FIELD] if self.options.get("mode") == PERMISSIVE else []
+        file, index, *rest = wanted = ReadOptions(columns=json.loads(self.options.get("columns", "null"))).fields(extra)
         if self.options.get("tuples"):
-            tuples, wanted = json.loads(self.options["tuples"]), json.loads(self.options["fields"])
-            record = StructType([f for f in [*RECORD_SCHEMA.fields, *extra] if f.name in wanted])
             group = [StructField("group_id", LongType(), False)] if self.options.get("grouped") == "true" else []
-            return StructType([*group, StructField("rec_index", LongType(), False), *(StructField(f"r{i + 1}", record, False) for i in range(len(tuples[0])))])
+            sides = len(json.loads(self.options["tuples"])[0])
+            return StructType([*group, index, *(StructField(f"r{i + 1}", StructType(wanted), False) for i in range(sides))])
         if self.options.get("arity"):
-            file, index, *rest = RECORD_SCHEMA.fields
-            return StructType([file, index, StructField("members", ArrayType(StructType([index, *rest, *extra])), False)])
-        return StructType([*RECORD_SCHEMA.fields, *extra])
+            return StructType([file, index, StructField("members", ArrayType(StructType([index, *rest])), False)])
+        return StructType(wanted)
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return FastxReader(dict(self.options), schema)
 
 
-def load(spark: SparkSession, paths: list[str], options: ReadOptions, kind: str, batch: int, *, splits: str | None = None, most: int = 1, cost: int = 1, arity: int = 0, tuples: list | None = None, fields: list[str] = (), grouped: bool = False, **open_options):
+def load(spark: SparkSession, paths: list[str], options: ReadOptions, kind: str, batch: int, *, splits: str | None = None, most: int = 1, cost: int = 1, arity: int = 0, tuples: list | None = None, grouped: bool = False, **open_options):
     """The files or addresses as a DataFrame; of plain files their splits."""
     spark.dataSource.register(FastxSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("fastx").option("paths", json.dumps(paths)).option("format", kind).option("mode", options.mode)
     reader = reader.option("batch", batch).option("open", json.dumps(open_options))
+    if options.columns is not None:
+        reader = reader.option("columns", json.dumps(options.columns))
     if splits is not None:
         reader = reader.option("splits", splits).option("most", most).option("cost", cost)
     if tuples:
-        reader = reader.option("tuples", json.dumps(tuples)).option("fields", json.dumps(list(fields))).option("grouped", str(grouped).lower())
+        reader = reader.option("tuples", json.dumps(tuples)).option("grouped", str(grouped).lower())
     if arity:
         reader = reader.option("arity", arity)
     if options.record_limit is not None:

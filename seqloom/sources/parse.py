@@ -6,7 +6,7 @@ records begin with > at a line's start; what comes before the first is passed ov
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,18 +85,22 @@ class _Window:
         return True
 
 
-def _pieces(data: bytes, bounds: np.ndarray, n: int) -> list[pa.Array]:
-    """bounds: begin, end, begin, end, … in ascending order, n ranges to a record; an array for each."""
+def _pieces(data: bytes, bounds: np.ndarray, n: int, wanted: list[bool]) -> list[pa.Array]:
+    """bounds: begin, end, begin, end, … in ascending order, n ranges to a record; an array for each that is wanted, nulls for others."""
     bounds = np.append(bounds, bounds[-1]).astype(np.int32)
     both = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
-    return [both.take(pa.array(np.arange(2 * k, len(bounds) - 1, 2 * n), pa.int32())) for k in range(n)]
+    places = [np.arange(2 * k, len(bounds) - 1, 2 * n) for k in range(n)]
+    return [both.take(pa.array(at, pa.int32())) if want else pa.nulls(len(at), pa.binary()) for at, want in zip(places, wanted, strict=True)]
 
 
 class _Range:
-    """Records first <= rec_index < stop, in batches of `size` rows at most."""
+    """Records first <= rec_index < stop, in batches of `size` rows at most; of their fields those named, or all."""
 
-    def __init__(self, first: int, stop: int | None, size: int):
-        self.first, self.stop, self.size = first, stop, size
+    def __init__(self, first: int, stop: int | None, size: int, fields: Collection[str] | None = None):
+        self.first, self.stop, self.size, self.fields = first, stop, size, fields
+
+    def has(self, *names: str) -> bool:
+        return self.fields is None or any(n in self.fields for n in names)
 
     def parts(self, at: int, n: int):
         """(a, b) of the records at, at + 1, … at + n - 1 that are wanted, counted from the first of them."""
@@ -131,7 +135,7 @@ def _fastq(w: _Window, file: str, mode: str, want: _Range, at: int, end: int | N
         for a, b in want.parts(index, n):
             ends = nl[4 * a : 4 * b]
             lines = np.concatenate([[begins[a]], ends[:-1] + 1])
-            yield _fastq_batch(file, index + a, w.data, lines, ends, mode)
+            yield _fastq_batch(file, index + a, w.data, lines, ends, mode, want)
         index += n
         w.drop(int(begins[n]))
         if (end is not None and w.position >= end) or want.over(index):
@@ -140,12 +144,12 @@ def _fastq(w: _Window, file: str, mode: str, want: _Range, at: int, end: int | N
             nl = w.newlines()
             if len(nl) == 3:  # an unterminated fourth line, which may be empty
                 for _ in want.parts(index, 1):
-                    yield _fastq_batch(file, index, w.data, np.append(0, nl + 1), np.append(nl, len(w.data)), mode)
+                    yield _fastq_batch(file, index, w.data, np.append(0, nl + 1), np.append(nl, len(w.data)), mode, want)
             return
         w.more()
 
 
-def _fastq_batch(file: str, first: int, data: bytes, begins: np.ndarray, ends: np.ndarray, mode: str) -> pa.RecordBatch:
+def _fastq_batch(file: str, first: int, data: bytes, begins: np.ndarray, ends: np.ndarray, mode: str, want: _Range) -> pa.RecordBatch:
     """A batch from the places of the lines of consecutive records."""
     buf = np.frombuffer(data, dtype=np.uint8)
     starts_with = lambda k, sign: (ends[k::4] > begins[k::4]) & (buf[np.minimum(begins[k::4], len(buf) - 1)] == sign)
@@ -153,7 +157,7 @@ def _fastq_batch(file: str, first: int, data: bytes, begins: np.ndarray, ends: n
     error = np.select([~starts_with(0, _AT), ~starts_with(2, _PLUS), lengths[1::4] != lengths[3::4]], [1, 2, 3], 0)
     bounds = np.stack([begins, ends], axis=1)
     bounds[::4, 0] = np.minimum(bounds[::4, 0] + 1, bounds[::4, 1])
-    header, seq, sep, qual = _pieces(data, bounds.ravel(), 4)
+    header, seq, sep, qual = _pieces(data, bounds.ravel(), 4, [want.has("id"), want.has("seq", "seq_raw"), want.has("sep"), want.has("qual")])
     errors = pa.DictionaryArray.from_arrays(pa.array(error - 1, pa.int32(), mask=error == 0), pa.array(list(RECORD_ERRORS))).dictionary_decode()
     return _batch(file, pa.array(np.arange(first, first + len(header)), pa.int64()), header, seq, seq, qual, sep, FASTQ, errors, mode)
 
@@ -181,7 +185,7 @@ def _fasta(w: _Window, file: str, want: _Range, at: int, end: int | None, index:
             n = min(n, int(np.searchsorted(begins + w.position, end)))
         nl = w.newlines() if n else None
         for a, b in want.parts(index, n):
-            yield _fasta_batch(file, index + a, data, begins[a:b] + 1, np.maximum(ends[a:b], begins[a:b] + 1), nl)
+            yield _fasta_batch(file, index + a, data, begins[a:b] + 1, np.maximum(ends[a:b], begins[a:b] + 1), nl, want)
         index += n
         if w.ended or (end is not None and n < len(begins) and begins[n] + w.position >= end):
             return
@@ -189,12 +193,12 @@ def _fasta(w: _Window, file: str, want: _Range, at: int, end: int | None, index:
         w.more()
 
 
-def _fasta_batch(file: str, first: int, data: bytes, begins: np.ndarray, ends: np.ndarray, nl: np.ndarray) -> pa.RecordBatch:
+def _fasta_batch(file: str, first: int, data: bytes, begins: np.ndarray, ends: np.ndarray, nl: np.ndarray, want: _Range) -> pa.RecordBatch:
     at = np.searchsorted(nl, begins)
     header = np.minimum(np.append(nl, len(data))[at], ends)
     raw = np.minimum(header + 1, ends)
-    ids, seq_raw = _pieces(data, np.stack([begins, header, raw, ends], axis=1).ravel(), 2)
-    many = (np.searchsorted(nl, ends) > np.searchsorted(nl, raw)).any()
+    ids, seq_raw = _pieces(data, np.stack([begins, header, raw, ends], axis=1).ravel(), 2, [want.has("id"), want.has("seq", "seq_raw")])
+    many = want.has("seq") and (np.searchsorted(nl, ends) > np.searchsorted(nl, raw)).any()
     seq = pc.replace_substring(seq_raw, b"\n", b"") if many else seq_raw
     none = pa.nulls(len(ids), pa.binary())
     return _batch(file, pa.array(np.arange(first, first + len(ids)), pa.int64()), ids, seq, seq_raw, none, none, FASTA, pa.nulls(len(ids), pa.string()), FAILFAST)
@@ -250,14 +254,14 @@ def _batch(file, index, ids, seq, raw, qual, sep, kind, error, mode) -> pa.Recor
     return batch
 
 
-def batches(stream, file: str, kind: str, mode: str = FAILFAST, start: int = 0, stop: int | None = None, size: int = 1024, at: int = 0, end: int | None = None, before: int = 0) -> Iterator[pa.RecordBatch]:
+def batches(stream, file: str, kind: str, mode: str = FAILFAST, start: int = 0, stop: int | None = None, size: int = 1024, at: int = 0, end: int | None = None, before: int = 0, fields: Collection[str] | None = None) -> Iterator[pa.RecordBatch]:
     """Record batches of a plain stream, of records start <= rec_index < stop; `size` rows to a batch at most. Reading ends at stop.
 
-    Of a split only what begins in at <= place < end is read: its stream stands a byte before `at`, and `before` lines (FASTQ) or records begin before.
+    Fields that aren't named are null. Of a split only what begins in at <= place < end is read: its stream stands a byte before `at`, and `before` lines (FASTQ) or records begin before.
     """
     if kind == "auto":
         kind = sniff_format(stream.peek(1)[:1])
-    w, want = _Window(stream, max(at - 1, 0)), _Range(start, stop, size)
+    w, want = _Window(stream, max(at - 1, 0)), _Range(start, stop, size, fields)
     if kind == FASTQ:
         yield from _fastq(w, file, mode, want, at, end, before)
     elif kind == SAM:
@@ -266,7 +270,7 @@ def batches(stream, file: str, kind: str, mode: str = FAILFAST, start: int = 0,
         yield from _fasta(w, file, want, at, end, before)
 
 
-def groups(found: Iterator[pa.RecordBatch], arity: int, file: str) -> Iterator[pa.RecordBatch]:
+def groups(found: Iterator[pa.RecordBatch], arity: int, file: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
     """(file, rec_index, members): consecutive records, which begin with a group's first, in groups of `arity`. A rest is an error."""
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -276,8 +280,8 @@ def groups(found: Iterator[pa.RecordBatch], arity: int, file: str) -> Iterator[p
         if rows >= arity:
             whole = pa.concat_batches(held)
             n = rows // arity * arity
-            kept = whole.slice(0, n).drop_columns(["file"])
-            names = ["rec_index", *(c for c in kept.schema.names if c != "rec_index")]
+            kept = whole.slice(0, n)
+            names = ["rec_index", *(c for c in columns if c not in ("file", "rec_index"))]
             members = pa.StructArray.from_arrays([kept.column(c) for c in names], names)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n + 1, arity), pa.int32()), members)
             first = pc.divide(whole.column("rec_index").take(pa.array(np.arange(0, n, arity))), arity)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.errors import FastxFormatError
-from seqloom.schema import BAM, DROPMALFORMED, FASTA, FASTQ, PERMISSIVE, RECORD_COLUMNS, SAM, ReadOptions, batch_for_bases
+from seqloom.schema import BAM, DROPMALFORMED, FASTA, FASTQ, PERMISSIVE, SAM, ReadOptions, batch_for_bases
 from seqloom.sources import plain
 from seqloom.sources.codec import BLOCK_BYTES, MAGIC_BYTES, beginning, sniff
 from seqloom.sources.datasource import load
@@ -92,7 +92,8 @@ def read_fastx(spark: SparkSession, paths: str | list[str], *, open_options: dic
         parts.append(load_splits(spark, files, kind, opts, _batch(opts, lambda kind=kind, files=files: load_splits(spark, files[:1], kind, _PEEK, 1)), _arity))
     for kind, files in spark_own.items():
         found = {FASTQ: plain.read_fastq, FASTA: plain.read_fasta}[kind](spark, files, opts.mode)
-        parts.append(found if opts.record_limit is None else found.where(F.col("rec_index") < opts.record_limit))
+        found = found if opts.record_limit is None else found.where(F.col("rec_index") < opts.record_limit)
+        parts.append(found if opts.columns is None else found.select(*(c for c in found.columns if c in ("file", "rec_index", *opts.columns, "_error"))))
     for kind, files in stream.items():
         parts.append(load(spark, files, opts, kind, _batch(opts, lambda kind=kind, files=files: load(spark, files[:1], _PEEK, kind, 1, **(open_options or {}))), arity=_arity, **(open_options or {})))
     for kind, files in stored.items():
@@ -115,12 +116,12 @@ def _batch(opts: ReadOptions, first: Callable[[], DataFrame]) -> int:
     return batch_for_bases(opts.bases_per_batch, row.n if row else 0)
 
 
-def read_zipped(spark: SparkSession, groups: list[list[str]], columns: list[str] | None = None, grouped: bool = False, **options) -> DataFrame | None:
+def read_zipped(spark: SparkSession, groups: list[list[str]], grouped: bool = False, **options) -> DataFrame | None:
     """(rec_index, r1, r2, …) of files in step, read in step: what combine.multi gives of their records, without a shuffle. grouped: with a group_id.
 
     The ranges of records of one file's splits are looked up in the others' counts, so of those at most a split more is passed over for each. Compressed
-    files are streamed from their beginning, a group to a task. Each r has these columns of a record, or all. None if only Spark opens some file, or
-    records may be dropped: then combine.multi has to join them.
+    files are streamed from their beginning, a group to a task. None if only Spark opens some file, or records may be dropped: then combine.multi has
+    to join them.
     """
     opts = ReadOptions.of(options)
     if len({len(g) for g in groups}) != 1 or not groups[0]:
@@ -145,10 +146,7 @@ def read_zipped(spark: SparkSession, groups: list[list[str]], columns: list[str]
         tuples.append(sides)
     split = {file for sides in tuples if not any(whole for *_, whole in sides) for file, *_ in sides}
     splits = [s for kind, files in plain_files.items() for s in plan_splits(spark, [(f, n) for f, n in files.items() if f in split], kind)]
-    fields = [f for f in RECORD_COLUMNS if columns is None or f in columns]
-    if opts.mode == PERMISSIVE and columns is None:
-        fields.append("_error")
-    return load(spark, [], opts, "zip", opts.records_per_batch, splits=packed(splits), tuples=tuples, fields=fields, grouped=grouped)
+    return load(spark, [], opts, "zip", opts.records_per_batch, splits=packed(splits), tuples=tuples, grouped=grouped)
 
 
 def batch_size(records: DataFrame, bases: int) -> int:

@@ -117,16 +117,16 @@ def load_splits(spark: SparkSession, files: list[tuple[str, int]], kind: str, op
     return load(spark, [], options, kind, batch, splits=packed(plan_splits(spark, files, kind)), most=step, cost=cost, arity=arity)
 
 
-def read_split(split: Split, kind: str, mode: str, first: int, stop: int | None, size: int, arity: int = 0):
+def read_split(split: Split, kind: str, mode: str, first: int, stop: int | None, size: int, arity: int = 0, fields=None):
     """Batches of a split's records with first <= rec_index < stop; with an arity of its groups, whose last may reach far into the next splits."""
     stream = open_file(split.file, max(split.start - 1, 0), split.size)
     try:
         if not arity:
-            yield from parse.batches(stream, split.file, kind, mode, first, stop, size, split.start, split.end, split.before)
+            yield from parse.batches(stream, split.file, kind, mode, first, stop, size, split.start, split.end, split.before, fields)
             return
         low, high = split.rows(kind, arity)
         ends = [x for x in (high, stop) if x is not None]
-        records = parse.batches(stream, split.file, kind, mode, max(low, first) * arity, min(ends) * arity if ends else None, size, split.start, None, split.before)
-        yield from parse.groups(records, arity, split.file)
+        records = parse.batches(stream, split.file, kind, mode, max(low, first) * arity, min(ends) * arity if ends else None, size, split.start, None, split.before, fields)
+        yield from parse.groups(records, arity, split.file, fields)
     finally:
         stream.close()

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.schema import BAM, ERROR_FIELD, FLAG_FIELD, PERMISSIVE, RECORD_COLUMNS, RECORD_SCHEMA, ReadOptions
+from seqloom.schema import BAM, ERROR_FIELD, FLAG_FIELD, PERMISSIVE, ReadOptions
 from seqloom.sources import bam, parse
 from seqloom.sources.codec import decompressed
 from seqloom.sources.plain import pinned
@@ -72,7 +72,9 @@ class _Lines(io.RawIOBase):
 
 def load_stored(spark: SparkSession, paths: list[str], kind: str, options: ReadOptions, batch: int) -> DataFrame:
     """The files' records; each file is one task's stream in bounded memory."""
-    parts = []
+    parts, extra = [], [FLAG_FIELD] if kind == BAM else [ERROR_FIELD] if options.mode == PERMISSIVE else []
+    fields = options.fields(extra)
+    names, schema = [f.name for f in fields], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     for known in (False, True):
         files = [p for p in paths if hadoop_codec(spark, p) == known]
         if not files:
@@ -98,15 +100,14 @@ def load_stored(spark: SparkSession, paths: list[str], kind: str, options: ReadO
                 raw = io.BufferedReader(_Lines(own, None if known else size), 1 << 20)
                 stream = decompressed(raw)
                 if kind == BAM:
-                    yield from bam.batches(stream, file, 0, options.record_limit, batch)
+                    records = bam.batches(stream, file, 0, options.record_limit, batch)
                 else:
-                    for r in parse.batches(stream, file, kind, options.mode, 0, options.record_limit, batch):
-                        yield r if options.mode == PERMISSIVE else r.select(RECORD_COLUMNS)
+                    records = parse.batches(stream, file, kind, options.mode, 0, options.record_limit, batch, fields=names)
+                for r in records:
+                    yield r.select(names)
                 for _ in own:  # past a limit
                     pass
 
-        extra = [FLAG_FIELD] if kind == BAM else [ERROR_FIELD] if options.mode == PERMISSIVE else []
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*RECORD_SCHEMA.fields, *extra])
         parts.append(_whole_files(spark, files).mapInArrow(parse_files, schema))
     out = parts[0]
     return out.unionByName(parts[1]) if len(parts) > 1 else out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.schema import ERROR_FIELD, PERMISSIVE, RECORD_COLUMNS, RECORD_SCHEMA, ReadOptions
+from seqloom.schema import ERROR_FIELD, PERMISSIVE, ReadOptions
 from seqloom.sources.remote import local_path, open_file
 from seqloom.storage import file_system
 
@@ -35,12 +35,13 @@ def read_stream(spark: SparkSession, folder: str, max_files: int | None = None,
                 # Workers open a local file and stream it; a store's comes as a row.
                 raw = open_file(path) if local else io.BytesIO(batch.column("content")[i].as_buffer())
                 with raw:
-                    yield from records(decompressed(raw), path, opts.format, opts.mode, 0, opts.record_limit, opts.records_per_batch)
+                    for r in records(decompressed(raw), path, opts.format, opts.mode, 0, opts.record_limit, opts.records_per_batch, fields=names):
+                        yield r.select(names)
 
-    fields = [*RECORD_SCHEMA.fields, ERROR_FIELD]
+    fields = opts.fields([ERROR_FIELD] if opts.mode == PERMISSIVE else [])
+    names = [f.name for f in fields]
     files = reader.load(folder).where(F.col("length") > 0).select("path", *([] if local else ["content"]))
-    out = files.mapInArrow(parse_files, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
-    return out if opts.mode == PERMISSIVE else out.select(*RECORD_COLUMNS)
+    return files.mapInArrow(parse_files, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
 
 
 def each_batch(records: DataFrame, function: Callable[[DataFrame, int], None], checkpoint: str, **trigger):

@@ -145,7 +145,7 @@ def test_files_read_in_step(spark, tmp_path):
                 assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
                 assert combine.read_in_step(spark, [files], record_limit=17).count() == 17
             both = combine.read_in_step(spark, [[paths["q"], paths["a"]], [paths["p"], paths["z"]]], grouped=True, columns=["seq"])
-            assert both.columns == ["group_id", "rec_index", "r1", "r2"] and both.select("r1.*").columns == ["seq"]
+            assert both.columns == ["group_id", "rec_index", "r1", "r2"] and both.select("r1.*").columns == ["file", "rec_index", "seq"]
             assert both.groupBy("group_id").count().sort("group_id").collect() == [(0, n), (1, n)]
             for bad in (["q", "short"], ["short", "q"], ["z", "short"], ["a", "p", "short"], ["q", "none"], ["none", "q"]):
                 for ask in ASKS.values():

@@ -9,6 +9,7 @@ import os
 import random
 import struct
 import threading
+import uuid
 from contextlib import contextmanager
 
 import pytest
@@ -185,6 +186,26 @@ def test_a_changed_file_is_an_error(spark, tmp_path):
         records.count()
 
 
+def test_only_the_columns_asked_for_are_built(spark, tmp_path, store):
+    """By every reader; validation doesn't depend on them."""
+    for data, kind, bad in ((fastq(50), FASTQ, b"@a\nA\n-\nI\n"), (fasta(50), FASTA, None)):
+        put(tmp_path / "p", data), put(tmp_path / "z.data", gzip.compress(data))
+        for at in (str(tmp_path), store):
+            for name in ("p", "z.data"):
+                for columns in (["seq"], ["id", "qual"], [], ["seq_raw", "format", "sep"]):
+                    got = reader.read_fastx(spark, f"{at}/{name}", columns=columns)
+                    assert got.columns == ["file", "rec_index", *(c for c in RECORD_COLUMNS if c in columns)]
+                    want = [tuple(dict(zip(NAMES, r, strict=True))[c] for c in got.columns[1:]) for r in parsed(data, kind)]
+                    assert sorted((tuple(bytes(x) if isinstance(x, bytearray) else x for x in r[1:]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+            if bad:
+                put(tmp_path / "bad", bad)
+                with pytest.raises(Exception, match="INVALID_SEPARATOR"):
+                    reader.read_fastx(spark, f"{at}/bad", columns=["id"]).count()
+                assert reader.read_fastx(spark, f"{at}/bad", columns=["id"], mode=PERMISSIVE).columns == ["file", "rec_index", "id", "_error"]
+    with pytest.raises(ValueError):
+        reader.read_fastx(spark, f"{store}/p", columns=["sequence"])
+
+
 @pytest.mark.parametrize("kind", [FASTQ, FASTA])
 def test_long_records_over_many_splits(spark, tmp_path, kind):
     lines = [b"ACGT" * 50_000, b"A", b"C" * 70_000, b"", b"G" * 300_000]
@@ -198,11 +219,11 @@ def test_long_records_over_many_splits(spark, tmp_path, kind):
 @pytest.fixture
 def store(spark, tmp_path):
     """A file system that only Hadoop opens, over a local folder; gs:// too."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    names = {"fs.viewfs.mounttable.shop.link./in": f"file://{tmp_path}", "fs.gs.impl": "org.apache.hadoop.fs.viewfs.ViewFileSystemOverloadScheme", "fs.viewfs.mounttable.bucket.link./in": f"file://{tmp_path}", "fs.viewfs.overload.scheme.target.gs.impl": "org.apache.hadoop.fs.LocalFileSystem"}
+    conf, shop = spark.sparkContext._jsc.hadoopConfiguration(), f"shop{uuid.uuid4().hex}"  # file systems are cached by their names
+    names = {f"fs.viewfs.mounttable.{shop}.link./in": f"file://{tmp_path}", "fs.gs.impl": "org.apache.hadoop.fs.viewfs.ViewFileSystemOverloadScheme", "fs.viewfs.mounttable.bucket.link./in": f"file://{tmp_path}", "fs.viewfs.overload.scheme.target.gs.impl": "org.apache.hadoop.fs.LocalFileSystem"}
     for k, v in names.items():
         conf.set(k, v)
-    yield "viewfs://shop/in"
+    yield f"viewfs://{shop}/in"
     for k in names:
         conf.unset(k)
 
