@@ -150,7 +150,7 @@ def sam_mate_check(spark, sf_dir):
 
 def _range(name: str, condition: str, doc: str, *args, **kinds) -> None:
     def f(spark, sf_dir):
-        return ranges.take_range(_orders(spark, sf_dir), *args, **kinds).select("rec_index")
+        return ranges.take_range(_orders(spark, sf_dir, columns=[]), *args, **kinds).select("rec_index")
 
     f.__name__, f.__doc__ = name, doc
     query(f"select o_orderkey as rec_index from orders where {condition}")(f)
@@ -238,7 +238,7 @@ def _collection(spark, sf_dir, names: list[str], **options) -> Collection:
 
 @query(" union all ".join(f"select {i} as file_ord, count(*) as n_records, cast(sum({_BYTES.format(_duck(k))}) as bigint) as byte_sum from {t}" for i, (t, k) in enumerate([("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey")])))
 def collection_single(spark, sf_dir):
-    r = _collection(spark, sf_dir, ["customer", "supplier", "part"]).single()
+    r = _collection(spark, sf_dir, ["customer", "supplier", "part"], options={"columns": ["seq"]}).single()
     return r.groupBy("file_ord").agg(F.count(F.lit(1)).alias("n_records"), F.sum(byte_sum("seq")).alias("byte_sum"))
 
 
@@ -263,7 +263,7 @@ def unique_format(spark, sf_dir):
 
 @query(f"select count(*) as n_records, cast(sum({_BYTES.format(S1)}) as bigint) as byte_sum from orders")
 def seq_sum_single(spark, sf_dir):
-    return aggregates.seq_sum(_orders(spark, sf_dir))
+    return aggregates.seq_sum(_orders(spark, sf_dir, columns=["seq"]))
 
 
 @query(f"select count(*) as n_groups, cast(sum({_BYTES.format(S1)} + {_BYTES.format(S2)}) as bigint) as byte_sum from orders")
@@ -284,12 +284,12 @@ def multi_seq_sum(spark, sf_dir):
 
 @query(f"select count(*) // 3 as n_groups, cast(sum({_BYTES.format(S1)}) as bigint) as byte_sum from orders")
 def multi_interleaved_seq_sum(spark, sf_dir):
-    return aggregates.seq_sum_groups(reader.read_groups(spark, fx.fastq(spark, sf_dir), 3, format="fastq"))
+    return aggregates.seq_sum_groups(reader.read_groups(spark, fx.fastq(spark, sf_dir), 3, format="fastq", columns=["seq"]))
 
 
 @query("select count(*) as n_records from orders")
 def count_only(spark, sf_dir):
-    return aggregates.count_records(_orders(spark, sf_dir))
+    return aggregates.count_records(_orders(spark, sf_dir, columns=[]))
 
 
 @query("select o_orderkey // 1024 as batch, string_agg(o_orderkey, ',' order by o_orderkey) as indices from orders group by 1")
@@ -313,7 +313,7 @@ class _Sum(process.Processor):
 
 @query(_SQL["seq_sum_single"])
 def processor_map_reduce(spark, sf_dir):
-    parts = process.process(_orders(spark, sf_dir).select("seq"), _Sum(), "n long, total long")
+    parts = process.process(_orders(spark, sf_dir, columns=["seq"]).select("seq"), _Sum(), "n long, total long")
     return parts.agg(F.sum("n").alias("n_records"), F.sum("total").alias("byte_sum"))
 
 
@@ -323,7 +323,7 @@ def processor_closure(spark, sf_dir):
         sums = [sum(r["seq"]) for r in rows]
         return [{"n": len(sums), "total": sum(sums)}]
 
-    parts = process.process(_orders(spark, sf_dir).select("seq"), total, "n long, total long")
+    parts = process.process(_orders(spark, sf_dir, columns=["seq"]).select("seq"), total, "n long, total long")
     return parts.agg(F.sum("n").alias("n_records"), F.sum("total").alias("byte_sum"))
 
 
