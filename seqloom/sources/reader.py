@@ -224,27 +224,24 @@ def from_gcs(spark: SparkSession, url: str, gcloud_args: list[str] | None = None
 
 
 def read_alignments(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Alignments of SAM and BAM files, with `flag`. CRAM needs its reference sequences and is refused."""
-    own, spark_own, stream, stored = [], [], [], []
+    """Alignments of SAM (plain or compressed) and BAM files, with `flag`. CRAM needs its reference sequences and is refused."""
+    own, spark_own, stream, stored = [], [], {}, {}
     for file, size in list_files(spark, [paths] if isinstance(paths, str) else list(paths)):
         head, local = read_bytes(spark, file, 0, MAGIC_BYTES), local_path(file) is not None
         if head.startswith(b"CRAM"):
             raise FastxFormatError(f"CRAM is not supported: {file}")
         if not sniff(head):
             own.append((file, size)) if local else spark_own.append(file)
-        elif beginning(read_bytes(spark, file, 0, BLOCK_BYTES), 4) == b"BAM\x01":
-            (stream if local else stored).append(file)
-        else:
-            raise FastxFormatError(f"compressed, and not a BAM file: {file}")
+            continue
+        kind = BAM if beginning(read_bytes(spark, file, 0, BLOCK_BYTES), 4) == b"BAM\x01" else SAM
+        (stream if local else stored).setdefault(kind, []).append(file)
     options, parts = ReadOptions(), []
     if own:
         parts.append(load_splits(spark, own, SAM, options, 1024))
     if spark_own:
         parts.append(plain.read_sam(spark, spark_own))
-    if stream:
-        parts.append(load(spark, stream, options, BAM, 1024))
-    if stored:
-        parts.append(load_stored(spark, stored, BAM, options, 1024))
+    parts += [load(spark, files, options, kind, 1024) for kind, files in stream.items()]
+    parts += [load_stored(spark, files, kind, options, 1024) for kind, files in stored.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

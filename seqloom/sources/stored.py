@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.schema import BAM, ERROR_FIELD, FLAG_FIELD, PERMISSIVE, ReadOptions
+from seqloom.schema import BAM, ERROR_FIELD, FLAG_FIELD, PERMISSIVE, SAM, ReadOptions
 from seqloom.sources import bam, parse
 from seqloom.sources.codec import decompressed
 from seqloom.sources.plain import pinned
@@ -72,7 +72,7 @@ class _Lines(io.RawIOBase):
 
 def load_stored(spark: SparkSession, paths: list[str], kind: str, options: ReadOptions, batch: int) -> DataFrame:
     """The files' records; each file is one task's stream in bounded memory."""
-    parts, extra = [], [FLAG_FIELD] if kind == BAM else [ERROR_FIELD] if options.mode == PERMISSIVE else []
+    parts, extra = [], [FLAG_FIELD] if kind in (BAM, SAM) else [ERROR_FIELD] if options.mode == PERMISSIVE else []
     fields = options.fields(extra)
     names, schema = [f.name for f in fields], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     for known in (False, True):

@@ -248,6 +248,11 @@ def test_files_in_a_store(spark, tmp_path, store):
     got = sorted((r.rec_index, bytes(r.id).decode(), r.flag, bytes(r.seq).decode()) for r in reader.read_alignments(spark, f"{store}/x.bam").collect())
     assert got == [(i, n, f, s) for i, (n, f, s, _) in enumerate(rows)]
     assert reader.read_alignments(spark, [f"{store}/x.bam", f"{store}/x.sam"]).count() == 70
+    put(tmp_path / "x.sam.gz", gzip.compress(SAM.encode())), put(tmp_path / "s.bin", zstandard.compress(SAM.encode()))
+    want = sorted(map(tuple, reader.read_alignments(spark, str(tmp_path / "x.sam")).drop("file").collect()))
+    for at in (str(tmp_path), store):
+        for name in ("x.sam.gz", "s.bin", "x.sam"):
+            assert sorted(map(tuple, reader.read_alignments(spark, f"{at}/{name}").drop("file").collect())) == want
     bad = put(tmp_path / "bad.data", gzip.compress(b"@a\nA\n-\nI\n"))
     for at in (bad, f"{store}/bad.data"):
         with pytest.raises(Exception, match="INVALID_SEPARATOR|InvalidSeparator"):
