@@ -39,11 +39,6 @@ def held_small(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> bool:
     return df.count() * (40 + 8 * len(df.columns)) <= limit_bytes
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's bound of a table's size; a plain scan's is its files' size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
 def small_rows(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> list | None:
     """All rows if their measured bytes stay within the limit, otherwise None."""
     length = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("binary")) if t in ("string", "binary") else F.lit(16), F.lit(16)) for c, t in df.dtypes), F.lit(64))
