@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import BROADCAST_BYTES, discard, held_small, majority_bits, map_arrow, materialize, text_or_empty
+from seqloom.llm.common import BROADCAST_BYTES, SLICE_BYTES, discard, held_small, majority_bits, map_arrow, materialize, text_or_empty
 
 SEED = 42
 #: A bucket's members are compared with each other up to this number; for more, listing the points around each is less work.
@@ -437,7 +437,7 @@ def near_dedup(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = NEA
 
     text = text_or_empty(F.col("text"))
     narrow = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
-    fps = materialize(map_arrow(narrow, work, ", ".join(f"{c} long" for c in ("d", "h", "node", *columns))), "wide")
+    fps = materialize(map_arrow(narrow, work, ", ".join(f"{c} long" for c in ("d", "h", "node", *columns)), SLICE_BYTES // 4), "wide")
     distinct = materialize(fps.groupBy("node").agg(F.min(F.struct("d", "h")).alias("least"), *(F.first(c).alias(c) for c in columns)), "distinct")
     roots = connected(near_links(distinct, plan)).withColumnRenamed("node", "n")
     rooted = distinct.join(roots, distinct.node == roots.n, "left").select("node", "least", F.coalesce("root", "node").alias("root"))

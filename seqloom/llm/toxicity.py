@@ -40,6 +40,8 @@ THRESHOLD = 0.7
 CACHE_TOKENS = 400_000
 #: The words and stems of a token take more room; and so many counts are held before they are given on.
 CACHE_FEATURES, HELD_COUNTS = 100_000, 300_000
+#: Characters whose trigrams are in memory at once.
+COUNTED_AT_ONCE = 1 << 19
 #: Longer tokens are decoded each time, so that the cache of spellings stays small.
 CACHED_LENGTH = 80
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "*": "abcdefghijklmnopqrstuvwxyz"}
@@ -63,8 +65,10 @@ def char_counts(docs: DataFrame) -> DataFrame:
     def work(batches):
         total = np.zeros(_ALPHABET**3, dtype=np.int64)
         for batch in batches:
-            x = _LUT[np.frombuffer(("  ".join(["", *batch.column("text").to_pylist(), ""])).lower().encode("latin-1", "replace"), dtype=np.uint8)]
-            total += np.bincount((x[:-2] * _ALPHABET + x[1:-1]) * _ALPHABET + x[2:], minlength=len(total))
+            data = np.frombuffer("  ".join(["", *batch.column("text").to_pylist(), ""]).lower().encode("latin-1", "replace"), dtype=np.uint8)
+            for i in range(0, len(data) - 2, COUNTED_AT_ONCE):
+                x = _LUT[data[i : i + COUNTED_AT_ONCE + 2]]
+                total += np.bincount((x[:-2] * _ALPHABET + x[1:-1]) * _ALPHABET + x[2:], minlength=len(total))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["gram", "n"])
 
