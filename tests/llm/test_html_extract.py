@@ -183,6 +183,63 @@ def test_boilerplate_goes_whatever_its_share(spark):
     spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def kept_of(pages):
+    state = {"seen": [], "groups": [], "closed": False}
+    for p in pages:
+        yield p, state
+        state = op.remember(state, p)
+
+
+def test_a_different_page_behind_many_copies(spark):
+    """More copies than are held whole lie on both sides of the only different page of a host. On host e each is edited in a word or two, on host m in so
+    many that what is kept of them can't tell for some pages whether all are copies; on host f one form is filled in."""
+    rng = random.Random(3)
+    rows, html = [], lambda host, lines: "".join(f"<div>{x}</div>" for x in [*(f"menu {host} {k}" for k in range(5)), *lines])
+    for host in "emf":
+        base = [[f"{host}{a}.{b}" for b in range(10)] for a in range(5)]
+        for i in range(61):
+            lines = [[w if host == "f" or rng.random() > {"e": 0.02, "m": 0.05}[host] else f"m{rng.randrange(5)}" for w in x] for x in base]
+            if host == "f":
+                lines.append([f"own{i}.{k}" for k in range(3)])
+            if i == 30:
+                lines = [[f"other {host} {k}"] for k in range(4)]
+            rows.append((len(rows), f"http://{host}.org/{i:03}", html(host, [" ".join(x) for x in lines])))
+    want = brute(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("1", "5"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = {r.page_id: r.text for r in op.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == want
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    pages = [{"host": u[7], "path": u, "marked": False, "h": hash(h), "lines": op.blocks(h)[1]} for _, u, h in rows]
+    found = [op.nearest(state, p) for p, state in kept_of(pages)]
+    assert any(x["open"] for x in found) and sum(x["different"] for x in found) > 70
+
+
+def test_what_is_kept_never_misses_a_different_page():
+    """Against all earlier pages, in ranges of any length; where it can't tell it says so."""
+    rng, opened, told = random.Random(8), 0, 0
+    for turn in range(30):
+        base, pages = [f"b{k}" for k in range(rng.choice([10, 20, 50]))], []
+        for i in range(80):
+            share = rng.choice([0, 0.02, 0.05]) if turn % 2 else 0.04
+            lines = [w if rng.random() >= share else f"m{rng.randrange(5)}" for w in base] + [f"own{i}.{k}" for k in range(rng.randrange(3) if turn % 3 else 0)]
+            lines = [f"x{rng.randrange(50)}"] * 9 if rng.random() < 0.02 else [] if rng.random() < 0.01 else lines
+            pages.append({"host": "h" if i < 60 else "k", "path": f"/{i:02}", "marked": rng.random() < 0.01, "h": hash(tuple(lines)), "lines": lines})
+        cuts, carried, at = sorted(rng.sample(range(1, 80), 4)), {"seen": [], "groups": [], "closed": False}, 0
+        for a, b in zip([0, *cuts], [*cuts, 80], strict=True):
+            state, alone = op._loaded(op._stored(carried)), {"seen": [], "groups": [], "closed": False}
+            for at, p in enumerate(pages[a:b], a):
+                got = op.nearest(state, p)
+                want = next((q for q in reversed(pages[:at]) if q["host"] == p["host"] and (q["marked"] or not op.copies(p["lines"], q["lines"]))), None)
+                assert got["open"] or got["different"] == (want is not None) and (not want or got["page"]["path"] == want["path"])
+                opened, told = opened + got["open"], told + (not got["open"])
+                state, alone = op.remember(state, p), op.remember(alone, p)
+                assert len(state["seen"]) <= op.VARIANTS and len(state["groups"]) <= op.VARIANTS + 1
+            carried = op.follow(carried, alone)
+    assert 0 < opened < told / 10
+
+
 def test_result_does_not_depend_on_partitions(spark):
     rng = random.Random(1)
     rows = [(i, f"http://h.org/{rng.choice('ab')}/{i}", "<div>top</div>" + "".join(f"<div>{rng.randrange(30)}</div>" for _ in range(6)) + "<div>end</div>") for i in range(80)]
