@@ -15,7 +15,7 @@ from seqloom.storage import file_system
 def read_stream(spark: SparkSession, folder: str, max_files: int | None = None, **options) -> DataFrame:
     """Records of the files that come into a folder. A file is read once, whole, when it is there: it must be moved in complete.
 
-    A file is streamed where workers can open it; one in a store that only Spark opens is a row in memory, of 2 GB at most. Compression and format are found by content. A file's records have its own rec_index, so a restarted stream gives the same rows.
+    A file is streamed where workers can open it; one in a store that only Spark opens is a row in memory, of 2 GB at most. Compression and format are found by content; a file of nothing, compressed or not, has no records. A file's records have its own rec_index, so a restarted stream gives the same rows.
     """
     opts = ReadOptions.of(options)
     reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
@@ -35,7 +35,10 @@ def read_stream(spark: SparkSession, folder: str, max_files: int | None = None,
                 # Workers open a local file and stream it; a store's comes as a row.
                 raw = open_file(path) if local else io.BytesIO(batch.column("content")[i].as_buffer())
                 with raw:
-                    for r in records(decompressed(raw), path, opts.format, opts.mode, 0, opts.record_limit, opts.records_per_batch, fields=names):
+                    stream = decompressed(raw)
+                    if not stream.peek(1):  # compressed nothing, as Spark's writers leave for an empty partition
+                        continue
+                    for r in records(stream, path, opts.format, opts.mode, 0, opts.record_limit, opts.records_per_batch, fields=names):
                         yield r.select(names)
 
     fields = opts.fields([ERROR_FIELD] if opts.mode == PERMISSIVE else [])

@@ -343,3 +343,13 @@ def test_stream(spark, tmp_path):
     (folder / "c.fq").write_bytes(b"@a\nA\n-\nI\n")
     each_batch(read_stream(spark, str(folder), mode=PERMISSIVE).where("_error is not null"), lambda df, n: seen.append((n, df.count())), str(tmp_path / "cp2")).awaitTermination()
     assert seen[-1][1] == 1
+
+
+def test_stream_passes_over_files_of_compressed_nothing(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, data in (("a.gz", gzip.compress(b"")), ("b.gz", gzip.compress(b"@r\nAC\n+\nII\n")), ("c", b"")):
+        (folder / name).write_bytes(data)
+    seen = []
+    each_batch(read_stream(spark, str(folder)), lambda df, n: seen.extend(r.rec_index for r in df.collect()), str(tmp_path / "cp")).awaitTermination()
+    assert seen == [0]
