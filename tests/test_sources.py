@@ -15,11 +15,12 @@ from contextlib import contextmanager
 import pytest
 import zstandard
 
-from seqloom import errors
+from seqloom import errors, storage
 from seqloom.operators import combine
 from seqloom.schema import FASTA, FASTQ, PERMISSIVE, RECORD_COLUMNS
 from seqloom.sources import parse, plain, reader
 from seqloom.sources.remote import GcsUrl, SshUrl
+from seqloom.storage import Pieces
 
 NAMES = ["rec_index", "id", "seq", "seq_raw", "qual", "sep", "format"]
 
@@ -391,3 +392,31 @@ def test_a_failed_command_is_an_error(spark, tmp_path):
     with pytest.raises(errors.RemoteError):
         CommandStream(["seqloom-no-such-command"])
     assert os.path.exists(path)
+
+
+def test_bytes_pass_the_driver_in_pieces(spark, tmp_path):
+    data, at = fastq(300), []
+
+    def pieces():
+        for i in range(0, len(data), 1000):
+            at.append(i)
+            yield data[i : i + 1000]
+
+    found = reader.from_bytes(spark, pieces())
+    assert len(at) == -(-len(data) // 1000) and collected(found) == collected(reader.from_bytes(spark, data))
+    assert collected(found) == sorted(parsed(data, FASTQ), key=repr)
+
+
+def test_pieces_are_asked_for_as_they_are_read():
+    asked = []
+    stream = Pieces(x for x in (b"ab", b"", b"cde") if not asked.append(x))
+    assert stream.read(1) == b"a" and asked == [b"ab"] and stream.readall() == b"bcde" and stream.read(1) == b""
+
+
+def test_file_of_another_store_is_read_and_written_in_pieces(spark, tmp_path):
+    data = fastq(50)
+    put(tmp_path / "x", data)
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.pieces.link./in", f"file://{tmp_path}")
+    with storage.open_bytes(spark, "viewfs://pieces/in/x") as stream:
+        storage.write_bytes(spark, "viewfs://pieces/in/y", stream)
+    assert (tmp_path / "y").read_bytes() == data
