@@ -6,7 +6,7 @@ import warnings
 
 import pytest
 
-from seqloom import errors, functions
+from seqloom import errors, functions, storage
 from seqloom.operators import aggregates, combine, process, ranges, sinks
 from seqloom.operators.collection import Collection
 from seqloom.schema import PERMISSIVE
@@ -353,3 +353,15 @@ def test_stream_passes_over_files_of_compressed_nothing(spark, tmp_path):
     seen = []
     each_batch(read_stream(spark, str(folder)), lambda df, n: seen.extend(r.rec_index for r in df.collect()), str(tmp_path / "cp")).awaitTermination()
     assert seen == [0]
+
+
+def test_joined_files_behind_a_head(spark, tmp_path):
+    for name, data in (("a", b"ab\n"), ("b", b""), ("c", b"c\xff\n" * 40_000)):
+        (tmp_path / name).write_bytes(data)
+    files = storage.list_files(spark, [str(tmp_path / x) for x in "ac"])
+    sinks.join_files(spark, files, str(tmp_path / "x"), b"; a note\n")
+    assert (tmp_path / "x").read_bytes() == b"; a note\nab\n" + b"c\xff\n" * 40_000
+    sinks.join_files(spark, files, str(tmp_path / "y"), cut=1)
+    assert (tmp_path / "y").read_bytes() == b"ab" + (b"c\xff\n" * 40_000)[:-1]
+    with pytest.raises(EOFError):
+        sinks.join_files(spark, [(str(tmp_path / "a"), 9)], str(tmp_path / "z"))
