@@ -45,3 +45,13 @@ def test_every_sql_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
+
+
+def test_unended_file_is_whole_without_the_drivers_memory(spark, monkeypatch):
+    """At 1 GB the driver got no bytes of the file, without an error."""
+    from seqloom.plans import fixtures as fx
+
+    monkeypatch.setattr(fx, "_made", {})
+    monkeypatch.setattr("seqloom.storage.read_bytes", lambda *a: b"")
+    monkeypatch.setattr(fx, "read_bytes", lambda *a: b"", raising=False)
+    assert entry.queries()["fastq_without_last_newline"](spark, SF).count() == fx.table(spark, SF, "orders").count()
