@@ -9,6 +9,7 @@ import pytest
 from seqloom import errors, functions, storage
 from seqloom.operators import aggregates, combine, process, ranges, sinks
 from seqloom.operators.collection import Collection
+from seqloom.plans import fixtures
 from seqloom.schema import PERMISSIVE
 from seqloom.sources import reader
 from seqloom.streaming import each_batch, read_stream
@@ -365,3 +366,26 @@ def test_joined_files_behind_a_head(spark, tmp_path):
     assert (tmp_path / "y").read_bytes() == b"ab" + (b"c\xff\n" * 40_000)[:-1]
     with pytest.raises(EOFError):
         sinks.join_files(spark, [(str(tmp_path / "a"), 9)], str(tmp_path / "z"))
+
+
+def test_encoded_files_hold_the_bytes_in_order(spark, tmp_path):
+    def encode(batches):
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                yield bytes([k % 256, 10, 255]) if k % 3 else b"\n"
+
+    rows = spark.range(0, 1000, 1, 7).where("id < 400 or id > 700")  # a partition of nothing
+    fixtures.encoded(spark, rows, encode, str(tmp_path / "x"), b"head")
+    want = b"".join(bytes([k % 256, 10, 255]) if k % 3 else b"\n" for k in range(1000) if k < 400 or k > 700)
+    assert (tmp_path / "x").read_bytes() == b"head" + want
+    fixtures.encoded(spark, rows, lambda batches: (b"" for _ in batches), str(tmp_path / "y"))
+    assert (tmp_path / "y").read_bytes() == b""
+
+
+def test_packed_files_are_members_of_the_text(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(k,) for k in range(500)], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(fixtures, "MEMBER_BYTES", 1000)
+    fixtures.packed(spark, str(tmp_path), gzip.compress, str(tmp_path / "x"))
+    text = gzip.decompress((tmp_path / "x").read_bytes())
+    with storage.open_bytes(spark, fixtures.fastq(spark, str(tmp_path))) as whole:
+        assert text == whole.read() and text.count(b"\n") == 2000
