@@ -55,3 +55,13 @@ def test_unended_file_is_whole_without_the_drivers_memory(spark, monkeypatch):
     monkeypatch.setattr("seqloom.storage.read_bytes", lambda *a: b"")
     monkeypatch.setattr(fx, "read_bytes", lambda *a: b"", raising=False)
     assert entry.queries()["fastq_without_last_newline"](spark, SF).count() == fx.table(spark, SF, "orders").count()
+
+
+def test_bam_is_made_by_the_workers(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from seqloom.plans import fixtures as fx
+
+    monkeypatch.setattr(fx, "_made", {})
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *a, **k: pytest.fail("rows are sent to the driver"))
+    assert entry.queries()["bam_to_records"](spark, SF).count() == fx.table(spark, SF, "orders").count()
