@@ -420,3 +420,13 @@ def test_file_of_another_store_is_read_and_written_in_pieces(spark, tmp_path):
     with storage.open_bytes(spark, "viewfs://pieces/in/x") as stream:
         storage.write_bytes(spark, "viewfs://pieces/in/y", stream)
     assert (tmp_path / "y").read_bytes() == data
+
+
+def test_compressed_standard_input_is_split(spark):
+    data = fastq(2000)
+    with split_bytes(spark, 20_000):
+        found = reader.from_stdin(spark, io.BytesIO(gzip.compress(data)))
+    assert found.rdd.getNumPartitions() > 1 and collected(found) == sorted(parsed(data, FASTQ), key=repr)
+    with pytest.raises(errors.FastxFormatError):
+        reader.from_stdin(spark, io.BytesIO(gzip.compress(b"")))
+    assert reader.from_stdin(spark, io.BytesIO(gzip.compress(b"")), format=FASTQ).count() == 0
