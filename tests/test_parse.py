@@ -10,7 +10,7 @@ import pytest
 import zstandard
 
 from seqloom import errors
-from seqloom.schema import DROPMALFORMED, FASTA, FASTQ, PERMISSIVE, ReadOptions, batch_for_bases
+from seqloom.schema import DROPMALFORMED, FAILFAST, FASTA, FASTQ, PERMISSIVE, ReadOptions, batch_for_bases
 from seqloom.sources import parse
 from seqloom.sources.codec import decompressed
 
@@ -117,3 +117,21 @@ def test_options():
     with pytest.raises(TypeError):
         ReadOptions.of({"threads": 4})
     assert (batch_for_bases(1000, 300), batch_for_bases(900, 300), batch_for_bases(5, 0)) == (4, 3, 1)
+
+
+def test_small_batches_are_slices_of_larger_ones(monkeypatch):
+    built = []
+    one = parse._fastq_batch
+    monkeypatch.setattr(parse, "_fastq_batch", lambda *a: built.append(1) or one(*a))
+    data = b"".join(b"@%d\nA\n+\nI\n" % i for i in range(1000)) + b"@x\nA\n-\nI\n"
+    read = lambda mode: parse.batches(io.BufferedReader(io.BytesIO(data)), "f", FASTQ, mode, 0, None, 37)
+    found = list(read(PERMISSIVE))
+    assert [b.num_rows for b in found] == [37] * 27 + [2] and len(built) == 1
+    assert [i for b in found for i in b.column("rec_index").to_pylist()] == list(range(1001))
+    assert [b.num_rows for b in read(DROPMALFORMED)] == [37] * 27 + [1]
+    seen = []
+    with pytest.raises(errors.InvalidSeparatorError, match="record 1000"):
+        seen.extend(b.num_rows for b in read(FAILFAST))
+    assert sum(seen) <= 999
+    first = read(FAILFAST)
+    assert sum(next(first).num_rows for _ in range(27)) == 999  # what comes before a bad batch is given
