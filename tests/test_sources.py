@@ -430,3 +430,12 @@ def test_compressed_standard_input_is_split(spark):
     with pytest.raises(errors.FastxFormatError):
         reader.from_stdin(spark, io.BytesIO(gzip.compress(b"")))
     assert reader.from_stdin(spark, io.BytesIO(gzip.compress(b"")), format=FASTQ).count() == 0
+
+
+def test_stored_fastq_is_dealt_by_its_bytes(spark, tmp_path, monkeypatch):
+    data = fastq(3000)
+    path = put(tmp_path / "x", data)
+    monkeypatch.setattr(plain, "DEALT_BYTES", len(data) // 5)
+    found = plain.read_fastq(spark, [path])
+    assert found.rdd.getNumPartitions() in (5, 6)
+    assert collected(found) == sorted(parsed(data, FASTQ), key=repr)
